@@ -2,20 +2,61 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.session import ship_package
+
+from . import line_dedup, simhash_mih, token_files, url_reputation, warc_zstd
 from .shared import read_table
-from .simhash_mih import near_duplicates
+
+#: Where the vocabularies are; the environment may name another folder.
+TOKENIZERS = os.environ.get("TEXTLOOM_TOKENIZERS") or os.path.dirname(public_tokenizers.path("README.md"))
+
+
+def vocabulary(name: str) -> str:
+    return f"{TOKENIZERS}/{name}"
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_digests(spark, read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
+
+
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels")
+    return url_reputation.judge_urls(read_table(spark, sf_dir, "pages"), url_reputation.page_outcomes(labels))
+
+
+def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zstd.archive_report(spark, read_table(spark, sf_dir, "pages"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return simhash_mih.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    f.__name__: _shipped(f)
+    for f in (op1_token_files, op2_line_dedup, op3_url_reputation, op4_warc_zstd, op5_simhash_near_dedup)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
+    "op3_url_reputation": url_reputation.oracle(),
+    "op4_warc_zstd": warc_zstd.ORACLE,
+}
