@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.session import ship_package
 
-from . import line_dedup, simhash_mih, token_files, url_reputation, warc_zstd
+from . import chat_format, decontaminate, line_dedup, simhash_mih, token_files, url_reputation, warc_zstd
 from .shared import read_table
 
 #: Where the vocabularies are; the environment may name another folder.
@@ -42,6 +42,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_mih.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_report(spark, chat_format.with_control_strings(read_table(spark, sf_dir, "conversations")))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -52,11 +60,13 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f)
-    for f in (op1_token_files, op2_line_dedup, op3_url_reputation, op4_warc_zstd, op5_simhash_near_dedup)
+    for f in (op1_token_files, op2_line_dedup, op3_url_reputation, op4_warc_zstd, op5_simhash_near_dedup, op7_decontamination, op10_chat_format)
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_url_reputation": url_reputation.oracle(),
     "op4_warc_zstd": warc_zstd.ORACLE,
+    "op7_decontamination": decontaminate.ORACLE,
+    "op10_chat_format": chat_format.ORACLE,
 }
