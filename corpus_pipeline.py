@@ -2,19 +2,54 @@
 
 from __future__ import annotations
 
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textloom.llm.bpe_duckdb import coding_report
+from textloom.llm.decontaminate import keep_uncontaminated
+from textloom.llm.line_dedup import keep_new_lines
+from textloom.llm.ordinal_quality import keep_good
+from textloom.llm.queries import vocabulary
 from textloom.llm.shared import materialize, read_table
 from textloom.llm.simhash_mih import keep_one_of_each
+from textloom.session import ship_package
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go unless the classifier gives the highest grade a probability of one half."""
+    ship_package(spark)
+    return keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated passages go, and documents of which nothing is left."""
+    return keep_new_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays: that of the least id."""
+    ship_package(spark)
     return keep_one_of_each(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return keep_uncontaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    ship_package(spark)
+    return coding_report(docs, vocabulary("byte_bpe_50k.tiktoken"), PATTERN)
+
+
 STAGES = [
+    ("ordinal_quality", quality),
+    ("line_dedup", line_dedup),
     ("simhash_near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("bpe_duckdb", tokens),
 ]
 
 #: Training a classifier cannot be said in SQL; tests hold the stages against brute force.

@@ -25,6 +25,19 @@ _SAFE_SPACE = re.compile(f"(?<=[{_SAFE}]) (?=[{_SAFE}])")
 _LAST_LETTER = "ɏ"
 
 
+def cut_at_spaces(text: str) -> list[str]:
+    """The text cut at safe spaces; joined by a space they are the text again."""
+    if _ODD.search(text) or "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
+        return _SAFE_SPACE.split(text)
+    return text.split(" ")
+
+
+def letters_and_tail(piece: str) -> tuple[str, str] | None:
+    """(space and letters, ASCII punctuation) of a piece that is nothing else, or None."""
+    word = piece.rstrip(string.punctuation)
+    return (word, piece[len(word) :]) if word[1:].isalpha() and max(word) <= _LAST_LETTER else None
+
+
 class _Pieces(dict):
     """Ids as bytes, by the piece without its leading space; fills itself."""
 
@@ -85,19 +98,13 @@ class PieceEncoder:
 
     def _encode_piece(self, piece: str) -> bytes:
         """Ids of a piece that begins with a space: letters and ASCII punctuation, or anything."""
-        word = piece.rstrip(string.punctuation)
-        if word[1:].isalpha() and max(word) <= _LAST_LETTER:
-            tail = piece[len(word) :]
-            return self._encode_split(word) + (self._encode_split(tail) if tail else b"")
-        return self._encode_whole(piece)
+        plain = letters_and_tail(piece)
+        if plain is None:
+            return self._encode_whole(piece)
+        return b"".join([self._encode_split(part) for part in plain if part])
 
     def pieces(self, text: str) -> list[str]:
-        """The text cut at safe spaces; joined by a space they are the text again."""
-        if not self.alone:
-            return [text]
-        if _ODD.search(text) or "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
-            return _SAFE_SPACE.split(text)
-        return text.split(" ")
+        return cut_at_spaces(text) if self.alone else [text]
 
     def encode(self, text: str) -> bytes:
         first, *rest = self.pieces(text)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.session import ship_package
 
-from . import chat_format, decontaminate, line_dedup, simhash_mih, token_files, url_reputation, warc_zstd
+from . import bpe_duckdb, chat_format, decontaminate, flac_media, line_dedup, ordinal_quality, simhash_mih, token_files, url_reputation, warc_zstd
 from .shared import read_table
 
 #: Where the vocabularies are; the environment may name another folder.
@@ -42,10 +42,22 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_mih.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_bpe_duckdb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_duckdb.coding_report(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac_media.media_report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_report(spark, chat_format.with_control_strings(read_table(spark, sf_dir, "conversations")))
 
@@ -60,8 +72,11 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f)
-    for f in (op1_token_files, op2_line_dedup, op3_url_reputation, op4_warc_zstd, op5_simhash_near_dedup, op7_decontamination, op10_chat_format)
-}
+    for f in (
+        op1_token_files, op2_line_dedup, op3_url_reputation, op4_warc_zstd, op5_simhash_near_dedup,
+        op6_ordinal_quality, op7_decontamination, op8_bpe_duckdb, op9_flac_media, op10_chat_format,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
