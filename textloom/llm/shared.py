@@ -2,59 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary folder stands in.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_DIR:
-            _OWN_DIR[app] = tempfile.mkdtemp(prefix="textloom-")
-        root = _OWN_DIR[app]
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/textloom/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it again.
-
-    This cuts the lineage with replicated files, gives the planner true sizes, and puts a plain
-    scan below a join, so that adaptive execution can split a skewed side of it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._textloom_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of :func:`materialize` that no returned plan reads any more."""
-    for table in tables:
-        path = getattr(table, "_textloom_path", None)
-        if path:
-            delete_path(table.sparkSession, path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+from textloom.session import delete_path, discard, materialize, new_path, shared_root
 
+__all__ = ["delete_path", "discard", "materialize", "new_path", "open_fs", "read_table", "row_tag", "shared_root", "write_atomically"]
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
