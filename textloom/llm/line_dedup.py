@@ -55,7 +55,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     covered = covered_lines(docs, id_col, text_col)
     covered = materialize(covered.select(F.col("id").alias("_line_id"), F.col("tag").alias("_line_tag"), F.col("covered").alias("_line_covered")), "covered-lines")
-    joined = docs.join(covered, F.col(id_col).eqNullSafe(F.col("_line_id")) & (row_tag(id_col, text_col) == F.col("_line_tag")), "left")
+    # a merge join at every size: texts are shuffled once, and a hot key's side can be split
+    joined = docs.join(covered.hint("merge"), F.col(id_col).eqNullSafe(F.col("_line_id")) & (row_tag(id_col, text_col) == F.col("_line_tag")), "left")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_line_covered")
     text = F.when(F.col("_line_covered").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
