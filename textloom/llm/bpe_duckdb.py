@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .piece_cache import cut_at_spaces, letters_and_tail
+from .piece_cache import cut_text, letters_and_tail, with_lead
 
 #: The pattern of byte_bpe_50k; only under it texts are cut at spaces first, which changes nothing.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -148,16 +148,16 @@ class Coder:
                 at = until
 
     def _split(self, piece: str) -> list[str]:
-        plain = letters_and_tail(piece) if self.cut and piece[:1] == " " else None
+        plain = letters_and_tail(piece) if self.cut else None
         return [x for x in plain if x] if plain else self.pattern.findall(piece)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, as unsigned 32-bit integers."""
         if len(self.pieces) > CACHE_WORDS:
             self.pieces.clear()
-        cut = [cut_at_spaces(t) if self.cut else [t] for t in texts]
+        cut = [cut_text(t) if self.cut else [t] for t in texts]
         known = self.pieces
-        new = {w: self._split(" " + w) for w in {w for words in cut for w in words[1:] if w not in known}}
+        new = {w: [x for part in with_lead(w) for x in self._split(part)] for w in {w for words in cut for w in words[1:] if w not in known}}
         first = [self._split(words[0]) for words in cut]
         self.learn({x for words in new.values() for x in words} | {x for words in first for x in words})
         merged = self.words

@@ -52,19 +52,17 @@ def shingle_hashes(words: Column) -> Column:
 
 
 def signatures(docs: DataFrame, text: str = "body") -> DataFrame:
-    """``docs`` keys with 64 minima of a hash family over shingles, for texts of 300 characters or more."""
+    """(path, signature): 64 minima of a hash family over shingles, for texts of 300 characters or more.
+
+    Shingles are rows and the minima one aggregate, combined before the shuffle, so a long text is never
+    gathered.
+    """
     words = F.split(F.trim(F.lower(F.substring(F.col(text), 1, MOST_CHARS))), r"\s+")
     mixed = [((a | 1) & 0x7FFFFFFF, b & 0x7FFFFFFFFFFF) for a, b in zip(split_mix(HASHES, 1), split_mix(HASHES, 2))]
-    low = lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF))
-    high = lambda h: F.shiftrightunsigned(h, 33)
-    hashed = docs.where(F.length(text) >= LEAST_CHARS).select("path", shingle_hashes(words).alias("h"))
-
-    def minimum(a: int, b: int) -> Column:
-        slot = lambda h: (low(h) * F.lit(a) + high(h) * F.lit(a >> 3) + F.lit(b)).bitwiseAND(F.lit((1 << 61) - 1)) % F.lit(2147483647)
-        return F.array_min(F.transform("h", slot))
-
-    minima = [minimum(a, b) for a, b in mixed]
-    return hashed.select("path", F.array(*minima).alias("signature"))
+    rows = docs.where(F.length(text) >= LEAST_CHARS).select("path", words.alias("w")).select("path", F.explode(shingle_hashes(F.col("w"))).alias("h"))
+    low, high = F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned("h", 33)
+    slot = [F.min((low * F.lit(a) + high * F.lit(a >> 3) + F.lit(b)).bitwiseAND(F.lit((1 << 61) - 1)) % F.lit(2147483647)) for a, b in mixed]
+    return rows.groupBy("path").agg(F.array(*slot).alias("signature"))
 
 
 def similarity(a: Column, b: Column) -> Column:
