@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import TOKEN, fold, split_words
 from ..plans import query as q
-from ..plans.compile import APPROXIMATE_ONLY, NAME_BOOST, Compiled, Options, Source, compile_query, count_in
+from ..plans.compile import APPROXIMATE_ONLY, CONTAINS_BOOST, FUZZY_BOOST, NAME_BOOST, Compiled, Options, Source, compile_query, count_in
 from .filters import NamePattern, has_attributes, in_folder, in_range, one_of
 from .matching import match_spans, snippet_column
 
@@ -101,7 +101,7 @@ def matching(docs: DataFrame, request: SearchRequest) -> DataFrame:
 
 def search(docs: DataFrame, request: SearchRequest) -> DataFrame:
     """Ranked hits: BM25 by site, boosted by the name, penalised without an exact occurrence."""
-    found = score_bm25(docs, matching(docs, request), _query_words(request.parsed()))
+    found = score_bm25(docs, matching(docs, request), _query_words(request.parsed()), options=request.options)
     penalty = F.when((F.col("exact") == 0) & (F.col("matches") > 0), F.lit(APPROXIMATE_ONLY)).otherwise(F.lit(1.0))
     return found.withColumn("score", F.col("score") * penalty).orderBy(F.desc("score"), "path").limit(request.limit)
 
@@ -111,28 +111,43 @@ def _query_words(query: q.Query) -> list[str]:
     return list(dict.fromkeys(words))
 
 
-def score_bm25(docs: DataFrame, found: DataFrame, words: list[str], body: str = "body", site: str = "site_id") -> DataFrame:
+def _measures(words: list[str], text: Column, folded: Column, options: Options) -> list[tuple[Column, float]]:
+    """(occurrences, weight) of each word: as it is, as a part of others, and with typos."""
+    plain = Options(whole_word=True)
+    out = []
+    for w in words:
+        exact = count_in(q.Word(w), text, folded, plain).exact
+        out.append((exact, 1.0))
+        if not options.whole_word:
+            out.append((count_in(q.Word(w), text, folded, Options(whole_word=False)).exact - exact, CONTAINS_BOOST))
+        if options.fuzzy and (approximate := count_in(q.Word(w), text, folded, Options(fuzzy=True)).fuzzy) is not None:
+            out.append((approximate, FUZZY_BOOST))
+    return out
+
+
+def score_bm25(docs: DataFrame, found: DataFrame, words: list[str], body: str = "body", site: str = "site_id", options: Options = Options()) -> DataFrame:
     """``found`` with a BM25 ``score`` of these words; statistics are those of each site.
 
     One aggregate over the lengths and word counts of all documents gives the statistics, combined before
-    its shuffle; it has one row for each site.
+    its shuffle; it has one row for each site.  Partial and approximate occurrences weigh less.
     """
     if not words:
         return found.withColumn("score", F.lit(0.0))
-    tf = lambda text: [count_in(q.Word(w), text, fold(text), Options()).exact for w in words]
     text = F.coalesce(F.col(body), F.lit(""))
-    length = F.regexp_count(fold(text), F.lit(TOKEN))
-    measured = docs.select(F.col(site).alias("_site"), length.alias("_len"), *[c.alias(f"_tf{i}") for i, c in enumerate(tf(text))])
-    stats = measured.groupBy("_site").agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(words))])
-    rows = found.withColumns({"_len": length} | {f"_tf{i}": c for i, c in enumerate(tf(text))}).join(stats, F.col(site).eqNullSafe(F.col("_site")), "left")
+    measures = _measures(words, text, fold(text), options)
+    columns = {"_len": F.regexp_count(fold(text), F.lit(TOKEN))} | {f"_tf{i}": c for i, (c, _) in enumerate(measures)}
+    measured = docs.select(F.col(site).alias("_site"), *[c.alias(k) for k, c in columns.items()])
+    stats = measured.groupBy("_site").agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(measures))])
+    rows = found.withColumns(columns).join(stats, F.col(site).eqNullSafe(F.col("_site")), "left")
     score = F.lit(0.0)
-    for i in range(len(words)):
+    for i, (_, weight) in enumerate(measures):
         idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
         own = F.col(f"_tf{i}")
-        score = score + idf * own * (K1 + 1) / (own + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-        if "name" in found.columns:
-            score = score + F.when(count_in(q.Word(words[i]), F.col("name"), fold(F.col("name")), Options()).exact > 0, NAME_BOOST * idf).otherwise(0.0)
-    return rows.withColumn("score", score).drop("_site", "_len", "_n", "_avg", *[f"_{x}{i}" for x in ("tf", "df") for i in range(len(words))])
+        score = score + weight * idf * own * (K1 + 1) / (own + K1 * (1 - B + B * F.col("_len") / F.greatest(F.col("_avg"), F.lit(1e-9))))
+    if "name" in found.columns:
+        for w in words:
+            score = score + F.when(count_in(q.Word(w), F.col("name"), fold(F.col("name")), Options()).exact > 0, F.lit(NAME_BOOST)).otherwise(0.0)
+    return rows.withColumn("score", score).drop("_site", "_n", "_avg", *columns, *[f"_df{i}" for i in range(len(measures))])
 
 
 def hits(docs: DataFrame, request: SearchRequest, most_snippets: int = 2) -> DataFrame:
