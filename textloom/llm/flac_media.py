@@ -315,6 +315,8 @@ def _parse(stream: bytes) -> dict:
 def decode(streams: list[bytes], verify_md5: bool = True) -> list[np.ndarray]:
     """Signed samples of each mono stream, with all checksums verified."""
     heads = [_parse(s) for s in streams]
+    if any(h["channels"] != 1 for h in heads):
+        raise ValueError("more than one channel")
     depths = {h["depth"] for h in heads}
     if len(depths) > 1:
         return [x for s in streams for x in decode([s], verify_md5)]
