@@ -3,6 +3,7 @@
 import math
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def normal(value):
-    if value is None or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NA or isinstance(value, float) and math.isnan(value):
         return "null"
     if isinstance(value, (bool, str, bytes)):
         return repr(value)
