@@ -1,9 +1,9 @@
 """Encoding with the tokenizers library, each distinct piece of text once per worker.
 
 A byte-level BPE splits text before it merges.  A single space between two visible characters always
-begins a new split, and so does punctuation that follows letters.  So a text is cut there, and the
-library encodes each distinct piece, with its leading space, by itself; the ids of the pieces are the
-ids of the text.  Cuts are made only between characters of which every Unicode version says that they
+begins a new split, a single line feed between them is one, and punctuation that follows letters begins
+one.  So a text is cut there, and the library encodes each distinct piece, with its leading space, by
+itself; the ids of the pieces are the ids of the text.  Cuts are made only between characters of which every Unicode version says that they
 are visible.
 """
 
@@ -12,11 +12,12 @@ from __future__ import annotations
 import os
 import re
 import string
+from array import array
 
 import numpy as np
 
-#: Of distinct pieces that a worker remembers; then it starts afresh.  Results do not depend on it.
-CACHE_PIECES = 700_000
+#: Of distinct pieces in a generation of what a worker remembers.  Results do not depend on it.
+CACHE_PIECES = 350_000
 
 #: A space beside anything else than these is not cut at.
 _SAFE = "!-~¡-¬®-ɏ"
@@ -25,30 +26,44 @@ _SAFE_SPACE = re.compile(f"(?<=[{_SAFE}]) (?=[{_SAFE}])")
 _LAST_LETTER = "ɏ"
 
 
-def cut_at_spaces(text: str) -> list[str]:
-    """The text cut at safe spaces; joined by a space they are the text again."""
-    if _ODD.search(text) or "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
+def cut_text(text: str) -> list[str]:
+    """The text cut in front of safe spaces and line feeds.
+
+    The first piece is as it is.  Each other one had a space before it, unless it begins with a line
+    feed, which is a split by itself between visible characters.
+    """
+    if _ODD.search(text) or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n":
         return _SAFE_SPACE.split(text)
-    return text.split(" ")
+    return text.replace("\n", " \n").split(" ")
+
+
+def with_lead(piece: str) -> list[str]:
+    """Parts of a piece of :func:`cut_text` that are encoded by themselves."""
+    return ["\n", piece[1:]] if piece[:1] == "\n" else [" " + piece]
 
 
 def letters_and_tail(piece: str) -> tuple[str, str] | None:
-    """(space and letters, ASCII punctuation) of a piece that is nothing else, or None."""
+    """(letters with or without a space, ASCII punctuation) of a piece that is nothing else, or None."""
     word = piece.rstrip(string.punctuation)
-    return (word, piece[len(word) :]) if word[1:].isalpha() and max(word) <= _LAST_LETTER else None
+    letters = word[1:] if word[:1] == " " else word
+    return (word, piece[len(word) :]) if letters.isalpha() and (letters.isascii() or max(letters) <= _LAST_LETTER) else None
 
 
 class _Pieces(dict):
-    """Ids as bytes, by the piece without its leading space; fills itself."""
+    """Ids as bytes by piece; fills itself, and forgets what two generations have not used."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
+        done = self.before.get(piece)
+        if done is None:
+            done = self.encode(piece)
         if len(self) >= CACHE_PIECES:
+            self.before = dict(self)
             self.clear()
-        done = self[piece] = self.encode(" " + piece)
+        self[piece] = done
         return done
 
 
@@ -63,12 +78,14 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenize = self.tokenizer.model.tokenize
         self.alone = self._splits_at_spaces()
+        self.newline = self._encode_whole("\n")
         # the library writes byte b as a printable character: itself, or the next free one from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
         self.spaced = _Pieces(self._encode_piece)
-        self.words: dict[str, bytes] = {}
+        self.words = _Pieces(self._encode_split)
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -81,32 +98,30 @@ class PieceEncoder:
         pre = self.tokenizer.pre_tokenizer
         if self.tokenizer.normalizer is not None or type(pre).__name__ != "ByteLevel" or pre.add_prefix_space or not pre.use_regex:
             return False
-        return [x for x, _ in pre.pre_tokenize_str("a b, c")] == ["a", "Ġb", ",", "Ġc"]
+        return [x for x, _ in pre.pre_tokenize_str("a b, c.\nd")] == ["a", "Ġb", ",", "Ġc", ".", "Ċ", "d"]
 
     def _encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode_split(self, part: str) -> bytes:
         """Ids of a part that the pattern does not split any more."""
-        done = self.words.get(part)
-        if done is None:
-            if len(self.words) >= CACHE_PIECES:
-                self.words.clear()
-            shown = part.encode().decode("latin-1").translate(self.shown)
-            done = self.words[part] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-        return done
+        # ASCII letters and punctuation are shown as themselves
+        shown = part.replace(" ", "Ġ") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
-    def _encode_piece(self, piece: str) -> bytes:
-        """Ids of a piece that begins with a space: letters and ASCII punctuation, or anything."""
-        plain = letters_and_tail(piece)
+    def _encode_part(self, part: str) -> bytes:
+        """Ids of letters and ASCII punctuation, or of anything."""
+        plain = letters_and_tail(part)
         if plain is None:
-            return self._encode_whole(piece)
-        return b"".join([self._encode_split(part) for part in plain if part])
+            return self._encode_whole(part)
+        word, tail = plain
+        return self.words[word] + self.words[tail] if tail else self.words[word]
 
-    def pieces(self, text: str) -> list[str]:
-        return cut_at_spaces(text) if self.alone else [text]
+    def _encode_piece(self, piece: str) -> bytes:
+        parts = with_lead(piece)
+        return self._encode_part(parts[0]) if len(parts) == 1 else self.newline + self._encode_part(parts[1])
 
     def encode(self, text: str) -> bytes:
-        first, *rest = self.pieces(text)
+        first, *rest = cut_text(text) if self.alone else [text]
         spaced = self.spaced
         return self._encode_whole(first) + b"".join([spaced[w] for w in rest])
