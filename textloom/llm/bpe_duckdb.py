@@ -3,7 +3,7 @@
 Words (matches of the split pattern) are token-position rows, at first one for each byte.  A step of
 the recursion joins neighbouring tokens to the merge table and contracts, in each word, the leftmost
 pair of the least rank; a word without such a pair is done.  Ordered aggregation gives the ids of a
-word.  Each distinct word of a worker is merged once.  Decoding joins ids to their bytes and
+word.  Each distinct word of a task is merged once.  Decoding joins ids to their bytes and
 aggregates them in order.
 """
 
@@ -20,28 +20,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_cache import cut_text, letters_and_tail, with_lead
+from .shared import return_memory
 
 #: The pattern of byte_bpe_50k; only under it texts are cut at spaces first, which changes nothing.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Of words and pieces that a worker remembers; then it starts afresh.  Results do not depend on it.
-CACHE_WORDS = 400_000
+#: Of words, and of pieces, in a generation of what a task remembers.  Results do not depend on it.
+CACHE_WORDS = 200_000
 #: Bytes of text that are encoded together, token rows of a recursion, and rows over all its steps.
-BATCH_BYTES, QUERY_ROWS, STEP_ROWS = 4 << 20, 300_000, 6_000_000
+BATCH_BYTES, QUERY_ROWS, STEP_ROWS = 2 << 20, 200_000, 4_000_000
 #: Longer words contract all occurrences of their least pair in a step where the order cannot matter.
 LONG_WORD = 48
 
 _STEPS = {
-    # one pair of each word in a step
+    # one pair of each word in a step; rows are linked to the next row (np) and its token (nid)
     "short": """
-WITH RECURSIVE step(w, p, id, live, depth) AS (
-  SELECT w, p, id, true, 0 FROM init
-  UNION ALL
-  SELECT w, p, CASE WHEN p = best & 1048575 THEN (best >> 20)::INTEGER ELSE id END, best IS NOT NULL, depth + 1
-  FROM (SELECT w, p, before, id, depth, min(c::BIGINT << 20 | p) OVER (PARTITION BY w) AS best
-        FROM (SELECT w, p, id, depth, lag(p) OVER o AS before, lead(id) OVER o AS next
-              FROM step WHERE live AND depth < {depth} WINDOW o AS (PARTITION BY w ORDER BY p)) s
-        LEFT JOIN merges m ON s.id = m.a AND s.next = m.b)
-  WHERE best IS NULL OR before IS NULL OR before <> best & 1048575)
+WITH RECURSIVE step(w, p, id, np, nid, live, depth) AS (
+  SELECT w, p, id, np, nid, true, 0 FROM init
+  UNION ALL (
+  WITH pairs AS MATERIALIZED (
+    SELECT s.w, s.p, s.id, s.np, s.nid, s.depth, m.c::BIGINT << 20 | s.p AS k
+    FROM step s LEFT JOIN merges m ON s.id = m.a AND s.nid = m.b WHERE s.live AND s.depth < {depth}),
+  best AS (SELECT w, min(k) AS k FROM pairs GROUP BY w),
+  fused AS MATERIALIZED (
+    SELECT best.w, best.k, (best.k >> 20)::INTEGER AS c, a.p AS spot, b.p AS gone, b.np, b.nid
+    FROM best LEFT JOIN pairs a ON a.w = best.w AND a.k = best.k LEFT JOIN pairs b ON b.w = best.w AND b.p = a.np)
+  SELECT t.w, t.p, CASE WHEN t.p = spot THEN c ELSE t.id END, CASE WHEN t.p = spot THEN fused.np ELSE t.np END,
+         CASE WHEN t.p = spot THEN fused.nid WHEN t.np = spot THEN c ELSE t.nid END, fused.k IS NOT NULL, t.depth + 1
+  FROM pairs t JOIN fused ON t.w = fused.w WHERE fused.k IS NULL OR t.p <> gone))
 SELECT w, p, id, live FROM step WHERE NOT live OR depth = {depth}""",
     # all pairs of the least rank, every second of a run of overlapping ones; the first alone where
     # the contracted token could form a pair of lower rank
@@ -82,14 +87,17 @@ class Coder:
         merges = np.array([(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], np.int32).reshape(-1, 3)
         a, b, c = merges.T
         unsafe = np.union1d(a[c < a], b[c < b])
+        self.shown = [str(i) for i in range(max(ranks.values()) + 1)]
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
         self._table("merges", a=a, b=b, c=c)
         self._table("safe", c=np.setdiff1d(np.unique(c), unsafe).astype(np.int32))
         # bytes as characters of the same number, so that they can be joined as text
         self._table("vocabulary", id=np.array(list(ranks.values()), np.int32), piece=[t.decode("latin-1") for t in ranks])
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Coder:
@@ -102,7 +110,7 @@ class Coder:
         rows = pa.table(columns)  # noqa: F841  read by name
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM rows")
 
-    def _merge(self, words: list[bytes], kind: str) -> list[np.ndarray]:
+    def _merge(self, words: list[bytes], kind: str) -> list[bytes]:
         """Ids of words by the recursive query, repeated on what a bounded number of steps leaves."""
         sizes = np.array([len(w) for w in words])
         w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
@@ -110,27 +118,34 @@ class Coder:
         ids = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         done = []
         while len(w):
-            init = pa.table({"w": w, "p": p, "id": ids})
+            last = np.append(w[1:] != w[:-1], True)
+            after = {"np": pa.array(np.append(p[1:], 0).astype(np.int32), mask=last), "nid": pa.array(np.append(ids[1:], 0).astype(np.int32), mask=last)}
+            init = pa.table({"w": w, "p": p, "id": ids} | after)
             self.con.register("init", init)
             got = self.con.execute(_STEPS[kind].format(depth=max(4, min(64, STEP_ROWS // len(w))))).fetchnumpy()
             self.con.unregister("init")
             live = got["live"].astype(bool)
             done.append([got[x][~live] for x in ("w", "p", "id")])
-            w, p, ids = (got[x][live] for x in ("w", "p", "id"))
+            order = np.lexsort((got["p"][live], got["w"][live]))
+            w, p, ids = (got[x][live][order] for x in ("w", "p", "id"))
         final = pa.table(dict(zip("wpi", (np.concatenate(x) for x in zip(*done)))))
         self.con.register("final", final)
         rows = self.con.execute("SELECT w, i FROM final ORDER BY w, p").fetchnumpy()
         self.con.unregister("final")
-        return np.split(rows["i"].astype("<u4"), np.searchsorted(rows["w"], np.arange(1, len(words))))
+        raw, ends = rows["i"].astype("<u4").tobytes(), (4 * np.searchsorted(rows["w"], np.arange(1, len(words) + 1))).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def learn(self, words: set[str]) -> None:
         """Fill the cache for words that it does not hold."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.old_words, self.words = self.words, {}
         ranks, todo = self.ranks, {"short": [], "long": []}
         for word in words:
             if word in self.words:
                 continue
+            if word in self.old_words:
+                self.words[word] = self.old_words[word]
+                continue
             raw = word.encode("utf-8")
             if raw in ranks:  # a whole word of the vocabulary is one token
                 self.words[word] = np.array([ranks[raw]], "<u4").tobytes()
@@ -144,9 +159,14 @@ class Coder:
                     size += len(rows[until][1])
                     until += 1
                 for (word, _), ids in zip(rows[at:until], self._merge([r for _, r in rows[at:until]], kind)):
-                    self.words[word] = ids.tobytes()
+                    self.words[word] = ids
                 at = until
 
+    def forget(self) -> None:
+        """Drop what was remembered, at the end of a task."""
+        self.words, self.old_words, self.pieces, self.old_pieces = {}, {}, {}, {}
+        return_memory()
+
     def _split(self, piece: str) -> list[str]:
         plain = letters_and_tail(piece) if self.cut else None
         return [x for x in plain if x] if plain else self.pattern.findall(piece)
@@ -154,16 +174,18 @@ class Coder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, as unsigned 32-bit integers."""
         if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
+            self.old_pieces, self.pieces = self.pieces, {}
         cut = [cut_text(t) if self.cut else [t] for t in texts]
         known = self.pieces
-        new = {w: [x for part in with_lead(w) for x in self._split(part)] for w in {w for words in cut for w in words[1:] if w not in known}}
+        missing = set().union(*cut) - known.keys()
+        known |= {w: self.old_pieces[w] for w in missing & self.old_pieces.keys()}
+        new = {w: [x for part in with_lead(w) for x in self._split(part)] for w in missing if w not in known}
         first = [self._split(words[0]) for words in cut]
         self.learn({x for words in new.values() for x in words} | {x for words in first for x in words})
         merged = self.words
         for piece, words in new.items():
             known[piece] = b"".join([merged[x] for x in words])
-        return [np.frombuffer(b"".join([merged[x] for x in head] + [known[w] for w in words[1:]]), "<u4") for head, words in zip(first, cut)]
+        return [np.frombuffer(b"".join([*map(merged.__getitem__, head), *map(known.__getitem__, words[1:])]), "<u4") for head, words in zip(first, cut)]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids, by ordered aggregation."""
@@ -194,6 +216,7 @@ def _encode_batches(batches, path: str, pattern: str):
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["id", "ids"])
+    coder.forget()
 
 
 def _decode_batches(batches, path: str, pattern: str):
@@ -229,7 +252,7 @@ def _report_batches(batches, path: str, pattern: str):
             ids = [np.asarray(x.values) for x in part.column(1)]
             texts = coder.decode(ids)
             columns = [
-                pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]),
+                pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(coder.shown.__getitem__, x.tolist())).encode()).hexdigest() for x in ids]),
                 pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
             ]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])

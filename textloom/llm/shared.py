@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.session import delete_path, discard, materialize, new_path, shared_root
 
-__all__ = ["delete_path", "discard", "materialize", "new_path", "open_fs", "read_table", "row_tag", "shared_root", "write_atomically"]
+__all__ = ["delete_path", "discard", "materialize", "new_path", "open_fs", "read_table", "return_memory", "row_tag", "shared_root", "write_atomically"]
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +20,20 @@ def row_tag(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
+def return_memory() -> None:
+    """Give freed memory of a Python worker, which outlives its task, back to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def open_fs(uri: str):
     """(filesystem, path) of pyarrow for a URI or a plain path, to be used inside tasks."""
     from pyarrow import fs
@@ -32,10 +46,14 @@ def write_atomically(uri: str, write) -> None:
 
     A task that is repeated after a lost executor replaces the file with equal bytes.
     """
+    from pyarrow import fs
+
     filesystem, path = open_fs(uri)
     folder = path.rpartition("/")[0]
     filesystem.create_dir(folder, recursive=True)
     own = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
     with filesystem.open_output_stream(own, compression=None) as stream:
         write(stream)
+    if filesystem.get_file_info(path).type != fs.FileType.NotFound:
+        filesystem.delete_file(path)  # some file systems do not rename onto a file
     filesystem.move(own, path)
