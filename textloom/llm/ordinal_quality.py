@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, return_memory
 
 #: The fit uses at most so many labelled rows: those whose ids have the least hashes.
 LABELLED_ROWS = 20_000
@@ -136,7 +136,7 @@ class _Weights(dict):
         self.weights = weights
 
     def __missing__(self, name: bytes) -> float:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[name] = float(self.weights[bucket(name)])
         return value
@@ -147,6 +147,8 @@ def _score_batches(batches, model: Model):
     for batch in batches:
         tails = [model.tails(math.fsum([known[f] for f in features(t.as_py())])) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([round(sum(t), 6) for t in tails]), pa.array([round(t[-1], 6) for t in tails])], ["id", "expected_grade", "tail"])
+    known.clear()
+    return_memory()
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
@@ -171,6 +173,8 @@ def _keep_batches(batches, model: Model, column: int, keep_at: float):
     for batch in batches:
         keep = [round(model.tails(math.fsum([known[f] for f in features(t.as_py())]))[-1], 6) >= keep_at for t in batch.column(column)]
         yield batch.filter(pa.array(keep, pa.bool_()))
+    known.clear()
+    return_memory()
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
