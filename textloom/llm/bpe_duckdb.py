@@ -25,9 +25,9 @@ from .shared import return_memory
 #: The pattern of byte_bpe_50k; only under it texts are cut at spaces first, which changes nothing.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Of words, and of pieces, in a generation of what a task remembers.  Results do not depend on it.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Bytes of text that are encoded together, token rows of a recursion, and rows over all its steps.
-BATCH_BYTES, QUERY_ROWS, STEP_ROWS = 2 << 20, 200_000, 4_000_000
+BATCH_BYTES, QUERY_ROWS, STEP_ROWS = 2 << 20, 100_000, 2_000_000
 #: Longer words contract all occurrences of their least pair in a step where the order cannot matter.
 LONG_WORD = 48
 
