@@ -129,6 +129,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc_zstd.read_warc(warc_zstd.write_warc(pages.limit(0), str(tmp_path / "e"))).count() == 0
 
 
+def test_warc_task_goes_on_in_further_files(spark, tmp_path):
+    """A task whose archives are full at once writes as many files as it takes, and loses no page."""
+    folder = str(tmp_path / "w")
+
+    def small_files(batches):
+        whole = warc_zstd.FILE_BYTES, warc_zstd.SAMPLE_RECORDS
+        warc_zstd.FILE_BYTES, warc_zstd.SAMPLE_RECORDS = 4, 3
+        try:
+            yield from warc_zstd._write_batches(batches, folder)
+        finally:
+            warc_zstd.FILE_BYTES, warc_zstd.SAMPLE_RECORDS = whole
+
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(10)], "page_id long, url string, html string").coalesce(1)
+    index = spark.createDataFrame(warc_zstd.plan_records(pages).coalesce(1).mapInArrow(small_files, "path string, n_records long").collect(), "path string, n_records long")
+    assert sorted(r["n_records"] for r in index.collect()) == [1, 3, 3, 3]
+    got = warc_zstd.read_warc(index).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in got) == [(i, f"<p>{i}</p>") for i in range(10)]
+
+
 # --- SimHash -------------------------------------------------------------------------------------
 
 

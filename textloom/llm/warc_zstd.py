@@ -13,6 +13,7 @@ import hashlib
 import re
 import struct
 from functools import partial
+from itertools import chain
 
 import pyarrow as pa
 import zstandard
@@ -140,12 +141,8 @@ def _write_batches(batches, folder: str):
         first = next(source, None)
         if first is None:
             break
-
-        def chained(first=first):
-            yield first
-            yield from source
-
-        write_atomically(path, lambda stream, rows=chained(): wrote.__setitem__(0, write_archive(stream, rows)))
+        # chain does not close the source when it is freed; a generator that delegates would, and end the task's records
+        write_atomically(path, lambda stream, rows=chain([first], source): wrote.__setitem__(0, write_archive(stream, rows)))
         yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [wrote[0]]}, pa.schema([("path", pa.string()), ("n_records", pa.int64())]))
         number += 1
 
