@@ -153,3 +153,11 @@ def test_meaning(spark):
     assert {r["k"]: round(r["score"], 6) for r in fused} == {1: round(2 / 61, 6), 2: round(2 / 62, 6)}
     q8 = df.select(meaning.quantize(F.col("embedding")).alias("q")).collect()
     assert q8[1]["q"]["vec"] == [95, 127]
+
+
+def test_passages_of_whole_texts(spark):
+    text = " ".join(f"w{i}" for i in range(5000))
+    docs = spark.createDataFrame([("s", "a", "", None, "a", ["a"], "text", "en", len(text), 0, 0, text)], DOCUMENTS)
+    whole = meaning.passages(docs).orderBy("passage").collect()
+    assert " ".join(r["text"].partition("\n")[2] or r["text"] for r in whole).split() == text.split()
+    assert meaning.passages(docs, most=meaning.MOST_PASSAGES).count() == 12

@@ -14,18 +14,21 @@ TARGET_WORDS, MOST_WORDS, MOST_PASSAGES = 120, 160, 12
 SENTENCE_ENDS = ".!?؟\n。"
 
 
-def split_passages(name: str, text: str) -> list[tuple[int, int, str]]:
-    """(start, end, text) of passages: cut at a sentence's end after 120 words, anywhere after 160."""
+def split_passages(name: str, text: str, most: int | None = MOST_PASSAGES) -> list[tuple[int, int, str]]:
+    """(start, end, text) of passages: cut at a sentence's end after 120 words, anywhere after 160.
+
+    ``most`` ends a text after so many passages; None splits it whole.
+    """
     out: list[tuple[int, int, str]] = []
     start, words = None, 0
 
     def close(a: int, b: int) -> None:
         body = text[a:b].strip()
-        if body and len(out) < MOST_PASSAGES:
+        if body and (most is None or len(out) < most):
             out.append((a, b, f"{name}\n{body}" if not out and name else body))
 
     for m in re.finditer(r"\S+|\s+", text):
-        if len(out) >= MOST_PASSAGES:
+        if most is not None and len(out) >= most:
             break
         if m[0].isspace():
             stop = m.start() if words >= MOST_WORDS else m.start() + m[0].index("\n") if words >= TARGET_WORDS and "\n" in m[0] else None
@@ -42,13 +45,13 @@ def split_passages(name: str, text: str) -> list[tuple[int, int, str]]:
     return out or ([(0, 0, name)] if name else [])
 
 
-def passages(docs: DataFrame, name: str = "name", body: str = "body") -> DataFrame:
-    """(site_id, path, file, passage, start, end, text)."""
+def passages(docs: DataFrame, name: str = "name", body: str = "body", most: int | None = None) -> DataFrame:
+    """(site_id, path, file, passage, start, end, text) of whole texts, or of the first ``most`` passages of each."""
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
 
     @F.pandas_udf(kind)
     def cut(names: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b, "text": t} for a, b, t in split_passages(n or "", x or "")] for n, x in zip(names, texts)])
+        return pd.Series([[{"start": a, "end": b, "text": t} for a, b, t in split_passages(n or "", x or "", most)] for n, x in zip(names, texts)])
 
     rows = docs.select("site_id", "path", "file", F.posexplode(cut(F.col(name), F.col(body))).alias("passage", "p"))
     return rows.select("site_id", "path", "file", "passage", "p.start", "p.end", "p.text")
@@ -107,8 +110,11 @@ def fuse(words: DataFrame, meaning: DataFrame, key: str, k: int = RRF_K) -> Data
     return both.select(key, (part("w") + part("m")).alias("score"), F.col("w").isNull().alias("only_meaning"))
 
 
-def build_index(docs: DataFrame, embed, batch: int = 32) -> DataFrame:
-    """(site_id, path, file, passage, start, end, vec): ``embed`` turns a list of texts into vectors."""
+def build_index(docs: DataFrame, embed, batch: int = 32, most: int | None = None) -> DataFrame:
+    """(site_id, path, file, passage, start, end, vec): ``embed`` turns a list of texts into vectors.
+
+    An interactive index may stop each text after ``most`` = MOST_PASSAGES passages.
+    """
     schema = "site_id string, path string, file string, passage int, start int, end int, vec array<float>"
 
     def run(batches):
@@ -117,4 +123,4 @@ def build_index(docs: DataFrame, embed, batch: int = 32) -> DataFrame:
                 part = pdf.iloc[at : at + batch]
                 yield part.drop(columns="text").assign(vec=[[float(x) for x in v] for v in embed(part["text"].tolist())])
 
-    return passages(docs).mapInPandas(run, schema)
+    return passages(docs, most=most).mapInPandas(run, schema)
