@@ -12,7 +12,7 @@ from textloom.llm.line_dedup import keep_new_lines
 from textloom.llm.ordinal_quality import keep_good
 from textloom.llm.queries import vocabulary
 from textloom.llm.shared import materialize, read_table
-from textloom.llm.simhash_mih import keep_one_of_each
+from textloom.llm.similar_text import keep_one_of_similar
 from textloom.session import ship_package
 
 
@@ -28,9 +28,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: that of the least id."""
+    """One document of each component of texts with a five-word similarity of 0.8 stays: that of the least id."""
     ship_package(spark)
-    return keep_one_of_each(docs)
+    return keep_one_of_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

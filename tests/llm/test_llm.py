@@ -11,6 +11,8 @@ import public_tokenizers
 import pytest
 import xxhash
 
+import corpus_pipeline
+
 from textloom.llm import bpe_duckdb, chat_format, decontaminate, flac_media, graph, line_dedup, ordinal_quality, simhash_mih, token_files, url_reputation, warc_zstd
 from textloom.llm.piece_cache import PieceEncoder
 from textloom.llm.queries import vocabulary
@@ -459,3 +461,46 @@ def test_pipeline_stages(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in final} == set(left)
     assert all(r["decoded_sha256"] == hashlib.sha256(left[r["doc_id"]].encode()).hexdigest() for r in final)
+
+
+# --- similar texts ---------------------------------------------------------------------------------
+
+
+def brute_similar(texts, threshold=0.8):
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    return [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9]
+
+
+def altered(text, n, seed):
+    """The text with ``n`` words replaced, so that similarities lie on both sides of 0.8."""
+    pick, words = random.Random(seed), text.split()
+    for at in pick.sample(range(len(words)), n):
+        words[at] = f"new{pick.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_pipeline_keeps_one_of_similar_texts(spark):
+    base = [prose(150, 10**6, s) for s in range(12)]
+    texts = [altered(b, n, i) for i, b in enumerate(base) for n in (0, 1, 2, 3, 4, 6)] + [base[0], "", None, " ", "a b", "A  b", "a b c d e f"]
+    step = base[1]
+    for i in range(5):  # a chain whose ends are unlike
+        step = altered(step, 2, 100 + i)
+        texts.append(step)
+    pairs = brute_similar(texts)
+    root = roots_of(pairs, range(len(texts)))
+    want = sorted({min(j for j in root if root[j] == root[i]) for i in root})
+    assert any(bin(simhash_mih.fingerprint(texts[a]) ^ simhash_mih.fingerprint(texts[b])).count("1") > 3 for a, b in pairs)
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents(spark, texts), "").orderBy("doc_id").collect()]
+    assert got == want
+
+
+def test_pipeline_keeps_a_text_of_each_group_where_ids_repeat(spark):
+    x, y = prose(100, 10**6, 1), prose(100, 10**6, 2)
+    docs = documents(spark, [x, y, altered(x, 1, 3), altered(y, 1, 4), x], [1, 5, 5, 6, None])
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == [(1, x), (5, y)]
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0

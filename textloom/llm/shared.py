@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.session import delete_path, discard, materialize, new_path, shared_root
+from textloom.session import delete_path, discard, materialize, new_path, return_memory, shared_root
 
 __all__ = ["delete_path", "discard", "materialize", "new_path", "open_fs", "read_table", "return_memory", "row_tag", "shared_root", "write_atomically"]
 
@@ -20,20 +20,6 @@ def row_tag(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def return_memory() -> None:
-    """Give freed memory of a Python worker, which outlives its task, back to the machine."""
-    import ctypes
-    import gc
-
-    import pyarrow
-
-    gc.collect()
-    pyarrow.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def open_fs(uri: str):
     """(filesystem, path) of pyarrow for a URI or a plain path, to be used inside tasks."""
     from pyarrow import fs

@@ -73,3 +73,17 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root))
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
+
+
+def return_memory() -> None:
+    """Give freed memory of a Python worker, which outlives its task, back to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
