@@ -161,3 +161,24 @@ def test_passages_of_whole_texts(spark):
     whole = meaning.passages(docs).orderBy("passage").collect()
     assert " ".join(r["text"].partition("\n")[2] or r["text"] for r in whole).split() == text.split()
     assert meaning.passages(docs, most=meaning.MOST_PASSAGES).count() == 12
+
+
+def test_similar_pairs_are_exact_and_all(spark):
+    """More than 200 near copies in one bucket, short texts, and a text that differs behind 200,000 characters."""
+    base = [f"word{i}" for i in range(60)]
+    bodies = {f"m{i:03d}": " ".join([*base[:30], f"own{i}", *base[30:]]) for i in range(210)}
+    long = " ".join(f"x{i}" for i in range(40000))
+    bodies |= {"s": "one two three four five six", "t": "One two three  four five six", "l": long, "l2": " ".join(long.split()[:30000] + [f"y{i}" for i in range(10000)])}
+    docs = spark.createDataFrame([("s", p, "", None, p, [p], "text", "en", len(b), 0, 0, b) for p, b in bodies.items()], DOCUMENTS)
+
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {p: shingles(b) for p, b in bodies.items()}
+    for threshold in (0.8, 0.5):
+        want = {(a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9)) for a in sets for b in sets if a < b}
+        got = [(r["a"], r["b"], round(r["similarity"], 9)) for r in dupes.similar_pairs(dupes.signatures(docs), threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == {w for w in want if w[2] >= threshold}
+    groups = dupes.similar_groups(dupes.similar_pairs(dupes.signatures(docs))).collect()
+    assert sorted(len(r["paths"]) for r in groups) == [2, 210]

@@ -1,19 +1,14 @@
-"""Exact duplicates by size and digest, near duplicates by MinHash over five-word shingles."""
+"""Exact duplicates by size and digest, near duplicates by the exact similarity of five-word shingles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .setjoin import all_pairs, texts_by_key
 
-SHINGLE, HASHES, BANDS = 5, 64, 16
-ROWS = HASHES // BANDS
-LEAST_CHARS, MOST_CHARS = 300, 200_000
-#: A larger bucket is compared as a chain of neighbours.
-BUCKET = 200
 SIMILARITY, LEAST_SIMILARITY = 0.8, 0.5
-_MASK = (1 << 64) - 1
 
 
 def exact_duplicates(docs: DataFrame, size: str = "size", content: str = "body") -> DataFrame:
@@ -33,60 +28,24 @@ def report_order(groups: DataFrame) -> DataFrame:
     return groups.orderBy(F.desc("wasted"), F.desc("size"), F.get("paths", F.lit(0)))
 
 
-def split_mix(n: int, seed: int = 0) -> list[int]:
-    """``n`` numbers of the published SplitMix64 generator."""
-    out = []
-    for _ in range(n):
-        seed = (seed + 0x9E3779B97F4A7C15) & _MASK
-        z = seed
-        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & _MASK
-        z = (z ^ z >> 27) * 0x94D049BB133111EB & _MASK
-        out.append(z ^ z >> 31)
-    return out
-
-
-def shingle_hashes(words: Column) -> Column:
-    """Distinct hashes of five consecutive words; fewer words are one shingle."""
-    n = F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, F.lit(SHINGLE)), " "))))
-
-
 def signatures(docs: DataFrame, text: str = "body") -> DataFrame:
-    """(path, signature): 64 minima of a hash family over shingles, for texts of 300 characters or more.
-
-    Shingles are rows and the minima one aggregate, combined before the shuffle, so a long text is never
-    gathered.
-    """
-    words = F.split(F.trim(F.lower(F.substring(F.col(text), 1, MOST_CHARS))), r"\s+")
-    mixed = [((a | 1) & 0x7FFFFFFF, b & 0x7FFFFFFFFFFF) for a, b in zip(split_mix(HASHES, 1), split_mix(HASHES, 2))]
-    rows = docs.where(F.length(text) >= LEAST_CHARS).select("path", words.alias("w")).select("path", F.explode(shingle_hashes(F.col("w"))).alias("h"))
-    low, high = F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned("h", 33)
-    slot = [F.min((low * F.lit(a) + high * F.lit(a >> 3) + F.lit(b)).bitwiseAND(F.lit((1 << 61) - 1)) % F.lit(2147483647)) for a, b in mixed]
-    return rows.groupBy("path").agg(F.array(*slot).alias("signature"))
-
-
-def similarity(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / F.lit(float(HASHES))
+    """(path, k, text): whole lower-cased texts that have words, with a key that equal ones share."""
+    lower = F.lower(text)
+    return docs.where(F.rlike(F.col(text), F.lit(r"\S"))).select("path", F.xxhash64(lower).alias("k"), lower.alias("text"))
 
 
 def similar_pairs(signed: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity) of texts whose signatures agree in a band and reach the threshold.
+    """(a, b, similarity): all pairs of texts whose sets of five-word shingles reach the threshold, exactly.
 
-    Equal signatures are one class of which the least path stands for all, so copies are not paired with
-    each other; a bucket of more than 200 classes is compared along a chain of neighbours.
+    Equal texts are one class of which the least path stands for all, so copies are not paired with
+    each other.
     """
     threshold = min(1.0, max(LEAST_SIMILARITY, threshold))
-    classes = signed.groupBy("signature").agg(F.min("path").alias("path"))
-    keys = F.array(*[F.xxhash64(F.lit(i), *[F.get("signature", F.lit(i * ROWS + j)) for j in range(ROWS)]) for i in range(BANDS)])
-    rows = classes.select("path", "signature", F.explode(keys).alias("band"))
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    small = rows.join(sizes.where(F.col("n") <= BUCKET), "band", "left_semi")
-    pairs = small.alias("x").join(small.alias("y"), F.expr("x.band = y.band and x.path < y.path")).select(F.expr("x.path").alias("a"), F.expr("y.path").alias("b"), F.expr("x.signature").alias("s"), F.expr("y.signature").alias("t"))
-    order = Window.partitionBy("band").orderBy("path")
-    large = rows.join(sizes.where(F.col("n") > BUCKET), "band", "left_semi")
-    chain = large.select(F.lag("path").over(order).alias("a"), F.col("path").alias("b"), F.lag("signature").over(order).alias("s"), F.col("signature").alias("t")).where("a is not null")
-    found = pairs.unionByName(chain).dropDuplicates(["a", "b"]).withColumn("similarity", similarity(F.col("s"), F.col("t"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
-    copies = signed.join(classes.withColumnRenamed("path", "a"), "signature").where("path <> a").select("a", F.col("path").alias("b"), F.lit(1.0).alias("similarity"))
+    classes = materialize(signed.groupBy("k").agg(F.min("path").alias("path")), "classes")
+    found = all_pairs(texts_by_key(signed.select("k", "text")), threshold)
+    x, y = classes.select(F.col("k").alias("a"), F.col("path").alias("p")), classes.select(F.col("k").alias("b"), F.col("path").alias("q"))
+    found = found.join(x, "a").join(y, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
+    copies = signed.select("k", F.col("path").alias("b")).join(classes.withColumnRenamed("path", "a"), "k").where("b <> a").select("a", "b", F.lit(1.0).alias("similarity"))
     return found.unionByName(copies)
 
 
