@@ -81,3 +81,9 @@ def test_detection_columns(spark):
     rows = {r["id"]: r for r in df.select("id", D.count_detections(F.col("t")).alias("n"), D.sensitive_values(F.col("t")).alias("s"), F.size(D.emails(F.col("t"))).alias("e"), D.cards(F.col("t")).alias("c")).collect()}
     assert rows[1]["n"] == {"email": 1, "ip": 1} and rows[2]["n"] == {} and rows[3]["n"] == {}
     assert rows[4]["n"]["card"] == 2 and rows[4]["s"] == ["4111 1111 1111 1111"] and rows[4]["c"] == ["4111111111111111"] * 2
+
+
+def test_all_sensitive_values(spark):
+    numbers = [f"{n}{'TRWAGMYFPDXBNJZSQVHLCKE'[n % 23]}" for n in range(10_000_000, 10_000_150)]
+    df = spark.createDataFrame([("; ".join(numbers),)], "t string")
+    assert df.select(D.sensitive_values(F.col("t"), ("dni",)).alias("s")).first()["s"] == numbers
