@@ -87,3 +87,11 @@ def test_all_sensitive_values(spark):
     numbers = [f"{n}{'TRWAGMYFPDXBNJZSQVHLCKE'[n % 23]}" for n in range(10_000_000, 10_000_150)]
     df = spark.createDataFrame([("; ".join(numbers),)], "t string")
     assert df.select(D.sensitive_values(F.col("t"), ("dni",)).alias("s")).first()["s"] == numbers
+
+
+def test_language_of_a_whole_text(spark):
+    from textloom.functions.langid import language
+
+    text = "this is the service agreement that takes effect on the date " * 350 + "le contrat de prestation prend effet dans les conditions pour la date " * 2000
+    df = spark.createDataFrame([(text,), (None,)], "t string")
+    assert [r["l"] for r in df.select(language(F.col("t")).alias("l")).collect()] == ["fr", "und"]

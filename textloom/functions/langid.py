@@ -11,8 +11,10 @@ from .stem import detect_language
 
 
 def language(text: Column) -> Column:
+    """The language of whole texts."""
+
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(detect_language)
+        return texts.map(lambda t: detect_language(t, None))
 
-    return run(F.substring(text, 1, 20_000))
+    return run(text)

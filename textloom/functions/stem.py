@@ -334,12 +334,12 @@ FREQUENT = {
 _SETS = {k: frozenset(v) for k, v in FREQUENT.items()}
 
 
-def detect_language(text: str | None) -> str:
-    """en, fr, es, ar or und, from the first 20 000 characters.
+def detect_language(text: str | None, most: int | None = 20_000) -> str:
+    """en, fr, es, ar or und, from the first ``most`` characters, or the whole text for None.
 
     Arabic by its letters, others by the share of their frequent words; a short text needs a clear lead.
     """
-    sample = (text or "")[:20_000].lower()
+    sample = (text or "")[:most].lower()
     letters = sum(c.isalpha() for c in sample)
     if letters and sum("؀" <= c <= "ۿ" for c in sample) > letters / 2:
         return "ar"
