@@ -504,3 +504,24 @@ def test_pipeline_keeps_a_text_of_each_group_where_ids_repeat(spark):
     got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert got == [(1, x), (5, y)]
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_bpe_of_very_long_words():
+    """Cut words, neighbourhoods, runs of equal pairs, and ranks below those of their parts, against the library."""
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_duckdb.load_ranks(RANKS), special_tokens={})
+    pick = random.Random(7)
+    draw = lambda kinds, n: "".join(pick.choice(kinds) for _ in range(n))
+    texts = [draw("abcdefghijklmnopqrstuvwxyz", 9000), draw("acgt", 9000), draw("0123456789", 6000), draw(["the", "tion", "ing", "er", "a"], 2000), "a" * 20_000, "=" * 3001, "the" * 3000, "wwwhhhaaaa" * 400, "abcabcabd" * 400, "日本語テキスト" * 500, draw("ab", 3000)]
+    coder = bpe_duckdb.Coder.of(RANKS, public_tokenizers.PATTERN)
+    for text, ids in zip(texts, coder.encode(texts)):
+        assert ids.tolist() == library.encode_ordinary(text), text[:40]
+        assert coder.decode([ids]) == [text.encode()]
+
+
+def test_bpe_decodes_nulls(spark):
+    coded = spark.createDataFrame([(1, None), (2, []), (None, [72, 71]), (None, [72, 71])], "id long, ids array<int>")
+    got = sorted(((r["id"] or 0, r["bytes"]) for r in bpe_duckdb.decode(coded, RANKS).collect()), key=str)
+    vocabulary = {v: k for k, v in bpe_duckdb.load_ranks(RANKS).items()}
+    assert got == sorted([(1, None), (2, b""), (0, vocabulary[72] + vocabulary[71]), (0, vocabulary[72] + vocabulary[71])], key=str)

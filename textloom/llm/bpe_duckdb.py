@@ -2,16 +2,27 @@
 
 Words (matches of the split pattern) are token-position rows, at first one for each byte.  A step of
 the recursion joins neighbouring tokens to the merge table and contracts, in each word, the leftmost
-pair of the least rank; a word without such a pair is done.  Ordered aggregation gives the ids of a
-word.  Each distinct word of a task is merged once.  Decoding joins ids to their bytes and
-aggregates them in order.
+pair of the least rank; a word without such a pair is done.  As in tiktoken, a word that is a token of
+the vocabulary as a whole is that token; a join finds these.  Distinct words are merged
+once for as long as a worker remembers them.  Decoding joins ids to their bytes and aggregates them in
+order.
+
+A word of more than ``LONG_WORD`` bytes is first cut where no token of the vocabulary lies across:
+no merge can cross such a place, so the parts are merged by themselves.  A part that is still longer
+than ``LONG_PART`` contracts, in a step, the leftmost least pair of each neighbourhood instead of that of
+the whole part.  Contractions spread from a pair only as far as tokens that occur in the part are long,
+so pairs that are least within three times that distance do not touch each other's order, and the
+result is that of one contraction at a time.  Equal pairs are contracted together, every second of a run
+of overlapping ones, unless one before them might form a pair of lower rank.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,48 +35,58 @@ from .shared import return_memory
 
 #: The pattern of byte_bpe_50k; only under it texts are cut at spaces first, which changes nothing.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Of words, and of pieces, in a generation of what a task remembers.  Results do not depend on it.
-CACHE_WORDS = 100_000
-#: Bytes of text that are encoded together, token rows of a recursion, and rows over all its steps.
-BATCH_BYTES, QUERY_ROWS, STEP_ROWS = 2 << 20, 100_000, 2_000_000
-#: Longer words contract all occurrences of their least pair in a step where the order cannot matter.
-LONG_WORD = 48
-
+#: Of words, and of pieces of text, in a generation of what a worker remembers.  Results do not depend on it.
+CACHE_WORDS, CACHE_PIECES = 300_000, 100_000
+#: Bytes of text that are encoded together, ids that are decoded together, token rows of a recursion,
+#: and rows over all its steps.
+BATCH_BYTES, DECODE_IDS, QUERY_ROWS, STEP_ROWS = 4 << 20, 1 << 18, 100_000, 2_000_000
+#: Bytes of a word that is not cut, and of a part that contracts one pair in a step.
+LONG_WORD, LONG_PART = 48, 256
+#: Of DuckDB, for rows of ordinary size; a part of more bytes gets ROW_BYTES for each.
+MEMORY_MB, ROW_BYTES = 400, 500
+
+#: Rows are (x, id, nx, nid): word << 32 | position, token, place and token of the next row.
 _STEPS = {
-    # one pair of each word in a step; rows are linked to the next row (np) and its token (nid)
-    "short": """
-WITH RECURSIVE step(w, p, id, np, nid, live, depth) AS (
-  SELECT w, p, id, np, nid, true, 0 FROM init
+    # one pair of each word in a step
+    "single": """
+WITH RECURSIVE step(x, id, nx, nid, live, depth) AS (
+  SELECT x, id, nx, nid, true, 0 FROM init
   UNION ALL (
   WITH pairs AS MATERIALIZED (
-    SELECT s.w, s.p, s.id, s.np, s.nid, s.depth, m.c::BIGINT << 20 | s.p AS k
+    SELECT s.x, s.x >> 32 AS w, s.id, s.nx, s.nid, s.depth, (m.c::BIGINT << 32) | (s.x & 4294967295) AS k
     FROM step s LEFT JOIN merges m ON s.id = m.a AND s.nid = m.b WHERE s.live AND s.depth < {depth}),
-  best AS (SELECT w, min(k) AS k FROM pairs GROUP BY w),
+  best AS (SELECT w, min(k) AS k, arg_min(nx, k) AS gone FROM pairs GROUP BY w),
   fused AS MATERIALIZED (
-    SELECT best.w, best.k, (best.k >> 20)::INTEGER AS c, a.p AS spot, b.p AS gone, b.np, b.nid
-    FROM best LEFT JOIN pairs a ON a.w = best.w AND a.k = best.k LEFT JOIN pairs b ON b.w = best.w AND b.p = a.np)
-  SELECT t.w, t.p, CASE WHEN t.p = spot THEN c ELSE t.id END, CASE WHEN t.p = spot THEN fused.np ELSE t.np END,
-         CASE WHEN t.p = spot THEN fused.nid WHEN t.np = spot THEN c ELSE t.nid END, fused.k IS NOT NULL, t.depth + 1
-  FROM pairs t JOIN fused ON t.w = fused.w WHERE fused.k IS NULL OR t.p <> gone))
-SELECT w, p, id, live FROM step WHERE NOT live OR depth = {depth}""",
-    # all pairs of the least rank, every second of a run of overlapping ones; the first alone where
-    # the contracted token could form a pair of lower rank
-    "long": """
-WITH RECURSIVE step(w, p, id, live, depth) AS (
-  SELECT w, p, id, true, 0 FROM init
-  UNION ALL
-  SELECT w, p, CASE WHEN taken THEN least ELSE id END, least IS NOT NULL, depth + 1
-  FROM (SELECT *, coalesce(lag(taken) OVER (PARTITION BY w ORDER BY p), false) AS gone
-        FROM (SELECT w, p, id, least, depth, hit AND CASE WHEN s.c IS NULL THEN p = first ELSE (row_number() OVER (PARTITION BY w, hit, k - h ORDER BY p)) % 2 = 1 END AS taken
-              FROM (SELECT *, min(CASE WHEN hit THEN p END) OVER (PARTITION BY w) AS first, row_number() OVER (PARTITION BY w, hit ORDER BY p) AS h
-                    FROM (SELECT *, coalesce(c = least, false) AS hit
-                          FROM (SELECT w, p, k, q.id, depth, c, min(c) OVER (PARTITION BY w) AS least
-                                FROM (SELECT w, p, id, depth, row_number() OVER o AS k, lead(id) OVER o AS next
-                                      FROM step WHERE live AND depth < {depth} WINDOW o AS (PARTITION BY w ORDER BY p)) q
-                                LEFT JOIN merges m ON q.id = m.a AND q.next = m.b))) x
-              LEFT JOIN safe s ON x.least = s.c))
-  WHERE NOT gone)
-SELECT w, p, id, live FROM step WHERE NOT live OR depth = {depth}""",
+    SELECT best.w, best.k, (best.k >> 32)::INTEGER AS c, (best.w << 32) | (best.k & 4294967295) AS spot, best.gone, b.nx, b.nid
+    FROM best LEFT JOIN pairs b ON b.x = best.gone)
+  SELECT t.x, CASE WHEN t.x = spot THEN c ELSE t.id END, CASE WHEN t.x = spot THEN fused.nx ELSE t.nx END,
+         CASE WHEN t.x = spot THEN fused.nid WHEN t.nx = spot THEN c ELSE t.nid END, fused.k IS NOT NULL, t.depth + 1
+  FROM pairs t JOIN fused ON t.w = fused.w WHERE fused.k IS NULL OR t.x <> gone))
+SELECT x, id, live FROM step WHERE NOT live OR depth = {depth}""",
+    # the least pairs of each neighbourhood in a step: of a run of overlapping equal ones every second;
+    # no further equal one where the contraction of one may form a pair of lower rank (loud)
+    "spread": """
+WITH RECURSIVE step(x, id, nx, nid, live, depth) AS (
+  SELECT x, id, nx, nid, true, 0 FROM init
+  UNION ALL (
+  WITH pairs AS (
+    SELECT s.x, s.x >> 32 AS w, s.id, s.depth, m.c, (m.c::BIGINT << 32) | (s.x & 4294967295) AS k
+    FROM step s LEFT JOIN merges m ON s.id = m.a AND s.nid = m.b WHERE s.live AND s.depth < {depth}),
+  near AS (
+    SELECT *, min(k) OVER (PARTITION BY w ORDER BY x RANGE BETWEEN {near} PRECEDING AND {near} FOLLOWING) AS least, count(k) OVER (PARTITION BY w) AS n,
+           lag(id) OVER o AS before, lead(id, 2) OVER o AS behind, lag(c) OVER o IS DISTINCT FROM c AS fresh FROM pairs WINDOW o AS (PARTITION BY w ORDER BY x)),
+  judged AS (
+    SELECT t.*, coalesce(t.c = least >> 32, false) AS fits, coalesce(l.c < t.c, false) OR coalesce(r.c < t.c, false) OR coalesce(d.c < t.c, false) AS loud
+    FROM near t LEFT JOIN merges l ON l.a = t.before AND l.b = t.c LEFT JOIN merges r ON r.a = t.c AND r.b = t.behind LEFT JOIN merges d ON d.a = t.c AND d.b = t.c),
+  runs AS (
+    SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY w ORDER BY x) AS run,
+           min(CASE WHEN loud THEN c END) OVER (PARTITION BY w ORDER BY x RANGE BETWEEN {near} PRECEDING AND CURRENT ROW) AS loudest FROM judged),
+  placed AS (SELECT *, bool_and(fits) OVER r AS clear, row_number() OVER r AS q FROM runs WINDOW r AS (PARTITION BY w, run ORDER BY x)),
+  hits AS (SELECT *, c IS NOT NULL AND (k = least OR clear AND q % 2 = 1 AND loudest IS DISTINCT FROM c) AS hit FROM placed),
+  taken AS (SELECT *, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY x), false) AS gone FROM hits),
+  fused AS (SELECT x, w, CASE WHEN hit THEN c ELSE id END AS id, n > 0 AS live, depth + 1 AS depth FROM taken WHERE NOT gone)
+  SELECT x, id, lead(x) OVER o, lead(id) OVER o, live, depth FROM fused WINDOW o AS (PARTITION BY w ORDER BY x)))
+SELECT x, id, live FROM step WHERE NOT live OR depth = {depth}""",
 }
 
 
@@ -74,6 +95,38 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class _Trie:
+    """All prefixes of a vocabulary as numbered nodes, to be walked from many places at once."""
+
+    def __init__(self, tokens):
+        node, edges, ends = {b"": 0}, [], set()
+        for token in tokens:
+            for i in range(1, len(token) + 1):
+                prefix = token[:i]
+                if prefix not in node:
+                    node[prefix] = len(node)
+                    edges.append((node[prefix[:-1]] << 8 | prefix[-1], node[prefix]))
+            ends.add(node[token])
+        edges.sort()
+        self.keys, self.nodes = (np.array(x, np.int64) for x in zip(*edges))
+        self.whole = np.zeros(len(node), bool)
+        self.whole[list(ends)] = True
+
+    def longest(self, raw: bytes) -> np.ndarray:
+        """The length of the longest token at each position."""
+        data, out = np.frombuffer(raw, np.uint8).astype(np.int64), np.ones(len(raw), np.int64)
+        at, node, depth = np.arange(len(raw)), np.zeros(len(raw), np.int64), 0
+        while len(at):
+            key = node << 8 | data[at + depth]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[found] == key
+            at, node, depth = at[hit], self.nodes[found[hit]], depth + 1
+            out[at[self.whole[node]]] = depth
+            inside = at + depth < len(raw)
+            at, node = at[inside], node[inside]
+        return out
+
+
 class Coder:
     """The vocabulary and its merge table in one DuckDB connection."""
 
@@ -84,16 +137,13 @@ class Coder:
 
         self.ranks, self.pattern, self.cut = load_ranks(path), regex.compile(pattern), pattern == SPACED_PATTERN
         ranks = self.ranks
-        merges = np.array([(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], np.int32).reshape(-1, 3)
-        a, b, c = merges.T
-        unsafe = np.union1d(a[c < a], b[c < b])
         self.shown = [str(i) for i in range(max(ranks.values()) + 1)]
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
-        self._table("merges", a=a, b=b, c=c)
-        self._table("safe", c=np.setdiff1d(np.unique(c), unsafe).astype(np.int32))
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": "", "preserve_insertion_order": False})
         # bytes as characters of the same number, so that they can be joined as text
-        self._table("vocabulary", id=np.array(list(ranks.values()), np.int32), piece=[t.decode("latin-1") for t in ranks])
+        self._table("vocabulary", id=np.array(list(ranks.values()), np.int32), piece=[t.decode("latin-1") for t in ranks], raw=list(ranks))
+        self.trie: _Trie | None = None
+        self.merging = False
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
@@ -110,62 +160,92 @@ class Coder:
         rows = pa.table(columns)  # noqa: F841  read by name
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM rows")
 
-    def _merge(self, words: list[bytes], kind: str) -> list[bytes]:
-        """Ids of words by the recursive query, repeated on what a bounded number of steps leaves."""
-        sizes = np.array([len(w) for w in words])
-        w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        p = (np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        ids = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        done = []
-        while len(w):
-            last = np.append(w[1:] != w[:-1], True)
-            after = {"np": pa.array(np.append(p[1:], 0).astype(np.int32), mask=last), "nid": pa.array(np.append(ids[1:], 0).astype(np.int32), mask=last)}
-            init = pa.table({"w": w, "p": p, "id": ids} | after)
+    def _prepare_merges(self) -> None:
+        """The merge table: every pair of tokens that make a token.  Who only decodes does not need it."""
+        if not self.merging:
+            ranks = self.ranks
+            a, b, c = zip(*[(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]) if len(ranks) > 256 else ((), (), ())
+            a, b, c = (np.array(x, np.int32) for x in (a, b, c))
+            self._table("merges", a=a, b=b, c=c)
+            self.merging = True
+
+    def _merge(self, parts: list[bytes], near: int = 0) -> list[bytes]:
+        """Ids of each part by the recursive query, repeated on what a bounded number of steps leaves."""
+        sizes = np.array([len(x) for x in parts], np.int64)
+        ends = np.cumsum(sizes)
+        x = np.repeat(np.arange(len(parts), dtype=np.int64) << 32, sizes) | np.arange(int(ends[-1])) - np.repeat(ends - sizes, sizes)
+        ids, kind = self.byte_id[np.frombuffer(b"".join(parts), np.uint8)], "spread" if near else "single"
+        need = max(MEMORY_MB, len(x) * ROW_BYTES >> 20)
+        self.con.execute(f"SET memory_limit = '{need}MB'")
+        places, tokens = [], []
+        while len(x):
+            last = np.append(x[1:] >> 32 != x[:-1] >> 32, True)
+            init = pa.table({"x": x, "id": ids, "nx": pa.array(np.append(x[1:], 0), mask=last), "nid": pa.array(np.append(ids[1:], 0).astype(np.int32), mask=last)})
             self.con.register("init", init)
-            got = self.con.execute(_STEPS[kind].format(depth=max(4, min(64, STEP_ROWS // len(w))))).fetchnumpy()
+            got = self.con.execute(_STEPS[kind].format(depth=max(1, min(64, STEP_ROWS // len(x))), near=near)).fetchnumpy()
             self.con.unregister("init")
             live = got["live"].astype(bool)
-            done.append([got[x][~live] for x in ("w", "p", "id")])
-            order = np.lexsort((got["p"][live], got["w"][live]))
-            w, p, ids = (got[x][live][order] for x in ("w", "p", "id"))
-        final = pa.table(dict(zip("wpi", (np.concatenate(x) for x in zip(*done)))))
-        self.con.register("final", final)
-        rows = self.con.execute("SELECT w, i FROM final ORDER BY w, p").fetchnumpy()
-        self.con.unregister("final")
-        raw, ends = rows["i"].astype("<u4").tobytes(), (4 * np.searchsorted(rows["w"], np.arange(1, len(words) + 1))).tolist()
+            places.append(got["x"][~live])
+            tokens.append(got["id"][~live])
+            order = np.argsort(got["x"][live])
+            x, ids = got["x"][live][order], got["id"][live][order]
+        place, token = np.concatenate(places), np.concatenate(tokens)
+        order = np.argsort(place)
+        raw, ends = token[order].astype("<u4").tobytes(), (4 * np.searchsorted(place[order], np.arange(1, len(parts) + 1) << 32)).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
+    def _merge_all(self, parts: list[bytes], near: int = 0) -> list[bytes]:
+        """:meth:`_merge` in queries of bounded size."""
+        out, at = [], 0
+        while at < len(parts):
+            until, size = at, 0
+            while until < len(parts) and (until == at or size + len(parts[until]) <= QUERY_ROWS):
+                size += len(parts[until])
+                until += 1
+            out += self._merge(parts[at:until], near)
+            at = until
+        return out
+
+    def _merge_long(self, raw: bytes) -> bytes:
+        """Ids of a long word, by parts that no token crosses."""
+        self.trie = self.trie or _Trie(self.ranks)
+        longest = self.trie.longest(raw)
+        crossed = np.zeros(len(raw) + 1, np.int64)
+        np.add.at(crossed, np.arange(len(raw)) + 1, 1)
+        np.subtract.at(crossed, np.arange(len(raw)) + longest, 1)
+        cuts = [0, *(np.flatnonzero(np.cumsum(crossed)[1:-1] == 0) + 1).tolist(), len(raw)]
+        parts = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        small = dict.fromkeys(x for x in parts if len(x) <= LONG_PART)
+        ids = dict(zip(small, self._merge_all(list(small))))
+        for part in parts:
+            if part not in ids:
+                ids[part] = self._merge([part], near=3 * int(self.trie.longest(part).max()))[0]
+        return b"".join([ids[x] for x in parts])
+
     def learn(self, words: set[str]) -> None:
-        """Fill the cache for words that it does not hold."""
+        """Remember the ids of words."""
         if len(self.words) > CACHE_WORDS:
             self.old_words, self.words = self.words, {}
-        ranks, todo = self.ranks, {"short": [], "long": []}
-        for word in words:
-            if word in self.words:
-                continue
-            if word in self.old_words:
-                self.words[word] = self.old_words[word]
-                continue
-            raw = word.encode("utf-8")
-            if raw in ranks:  # a whole word of the vocabulary is one token
-                self.words[word] = np.array([ranks[raw]], "<u4").tobytes()
-            else:
-                todo["short" if len(raw) <= LONG_WORD else "long"].append((word, raw))
-        for kind, rows in todo.items():
-            at = 0
-            while at < len(rows):
-                until, size = at, 0
-                while until < len(rows) and (until == at or size + len(rows[until][1]) <= QUERY_ROWS):
-                    size += len(rows[until][1])
-                    until += 1
-                for (word, _), ids in zip(rows[at:until], self._merge([r for _, r in rows[at:until]], kind)):
-                    self.words[word] = ids
-                at = until
-
-    def forget(self) -> None:
-        """Drop what was remembered, at the end of a task."""
-        self.words, self.old_words, self.pieces, self.old_pieces = {}, {}, {}, {}
-        return_memory()
+        known = self.words
+        new = [w for w in words if w not in known]
+        if self.old_words:
+            old = self.old_words
+            known |= {w: old[w] for w in new if w in old}
+            new = [w for w in new if w not in old]
+        if not new:
+            return
+        self._prepare_merges()
+        raws = [w.encode("utf-8") for w in new]
+        asked = pa.table({"w": np.arange(len(raws)), "raw": pa.array(raws, pa.binary())})
+        self.con.register("asked", asked)
+        whole = self.con.execute("SELECT w, id FROM asked JOIN vocabulary USING (raw)").fetchnumpy()
+        self.con.unregister("asked")
+        for i, token in zip(whole["w"].tolist(), whole["id"].astype("<u4")):
+            known[new[i]] = token.tobytes()
+        left = [(w, r) for w, r in zip(new, raws) if w not in known]
+        short = [x for x in left if len(x[1]) <= LONG_WORD]
+        known |= zip([w for w, _ in short], self._merge_all([r for _, r in short]))
+        known |= {w: self._merge_long(r) for w, r in left if len(r) > LONG_WORD}
 
     def _split(self, piece: str) -> list[str]:
         plain = letters_and_tail(piece) if self.cut else None
@@ -173,28 +253,55 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, as unsigned 32-bit integers."""
-        if len(self.pieces) > CACHE_WORDS:
+        gc.disable()  # nothing here makes cycles, and the lists of words would be searched for them
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.pieces) > CACHE_PIECES:
             self.old_pieces, self.pieces = self.pieces, {}
+        known, old = self.pieces, self.old_pieces
         cut = [cut_text(t) if self.cut else [t] for t in texts]
-        known = self.pieces
-        missing = set().union(*cut) - known.keys()
-        known |= {w: self.old_pieces[w] for w in missing & self.old_pieces.keys()}
-        new = {w: [x for part in with_lead(w) for x in self._split(part)] for w in missing if w not in known}
-        first = [self._split(words[0]) for words in cut]
-        self.learn({x for words in new.values() for x in words} | {x for words in first for x in words})
-        merged = self.words
-        for piece, words in new.items():
-            known[piece] = b"".join([merged[x] for x in words])
-        return [np.frombuffer(b"".join([*map(merged.__getitem__, head), *map(known.__getitem__, words[1:])]), "<u4") for head, words in zip(first, cut)]
+        coded = pa.array(chain.from_iterable([c[1:] for c in cut]), pa.large_string()).dictionary_encode()
+        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        missing = [x for x in pieces if x not in known]
+        known |= {x: old[x] for x in missing if x in old}
+        new = {x: [w for part in with_lead(x) for w in self._split(part)] for x in missing if x not in known}
+        first = [self._split(c[0]) for c in cut]
+        self.learn(set(chain(chain.from_iterable(new.values()), chain.from_iterable(first))))
+        words = self.words
+        for piece, parts in new.items():
+            known[piece] = words[parts[0]] if len(parts) == 1 else b"".join([words[x] for x in parts])
+        # ids of each piece in its places: one gather for all texts
+        blobs = [known[x] for x in pieces]
+        sizes = np.array([len(x) >> 2 for x in blobs], np.int64)
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(blobs), "<u4")))
+        flat = lists.take(pa.array(at)).flatten().to_numpy()
+        through = np.concatenate([[0], np.cumsum(sizes[at])])[np.concatenate([[0], np.cumsum([len(c) - 1 for c in cut])])]
+        heads = [np.frombuffer(b"".join([words[x] for x in f]), "<u4") for f in first]
+        return [np.concatenate([head, flat[a:b]]) for head, a, b in zip(heads, through, through[1:])]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids, by ordered aggregation."""
-        sizes = np.array([len(x) for x in ids])
-        rows = pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "p": np.arange(int(sizes.sum()), dtype=np.int32), "id": np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)})
-        self.con.register("coded", rows)
-        got = dict(self.con.execute("SELECT d, string_agg(piece, '' ORDER BY p) FROM coded JOIN vocabulary USING (id) GROUP BY d").fetchall())
-        self.con.unregister("coded")
-        return [got.get(i, "").encode("latin-1") for i in range(len(ids))]
+        parts = [(i, x[a : a + DECODE_IDS]) for i, x in enumerate(ids) for a in range(0, len(x), DECODE_IDS)]
+        out: list[list[bytes]] = [[] for _ in ids]
+        at = 0
+        while at < len(parts):
+            until, size = at, 0
+            while until < len(parts) and (until == at or size + len(parts[until][1]) <= DECODE_IDS):
+                size += len(parts[until][1])
+                until += 1
+            some = [x for _, x in parts[at:until]]
+            rows = pa.table({"d": np.repeat(np.arange(len(some), dtype=np.int32), [len(x) for x in some]), "p": np.arange(size, dtype=np.int32), "id": np.concatenate(some).astype(np.int32)})
+            self.con.register("coded", rows)
+            got = dict(self.con.execute("SELECT d, string_agg(piece, '' ORDER BY p) FROM coded JOIN vocabulary USING (id) GROUP BY d").fetchall())
+            self.con.unregister("coded")
+            for d, (i, _) in enumerate(parts[at:until]):
+                out[i].append(got[d].encode("latin-1"))
+            at = until
+        return [b"".join(x) for x in out]
 
 
 def _text_slices(batch, most: int = BATCH_BYTES):
@@ -216,7 +323,7 @@ def _encode_batches(batches, path: str, pattern: str):
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["id", "ids"])
-    coder.forget()
+    return_memory()
 
 
 def _decode_batches(batches, path: str, pattern: str):
@@ -224,42 +331,53 @@ def _decode_batches(batches, path: str, pattern: str):
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            texts = coder.decode([np.asarray(x.values) for x in part.column(1)])
+            texts = coder.decode([np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32) for x in part.column(1)])
+            texts = [t if x.is_valid else None for t, x in zip(texts, part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["id", "bytes"])
+    return_memory()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str = SPACED_PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of each whole text, without special tokens.
 
     A null text is empty and has no ids; repeated rows and null ids stay; an empty table stays empty;
-    other columns are ignored.  Whatever looks like a special token is ordinary text.
+    other columns are ignored.  Whatever looks like a special token is ordinary text.  Texts are taken
+    whole at any length; a task holds one text and some hundred bytes for each byte of the longest part
+    of a word that no token boundary cuts (see the module's text).
     """
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_encode_batches, path=ranks_path, pattern=pattern), f"id {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str = SPACED_PATTERN) -> DataFrame:
-    """(id, bytes) of ``coded(id, ids)``; an empty list gives no bytes."""
+    """(id, bytes) of ``coded(id, ids)``; an empty list gives no bytes, null gives null.
+
+    A null or unknown id within a list is an error.
+    """
     kind = dict(coded.dtypes)["id"]
     return coded.select("id", "ids").mapInArrow(partial(_decode_batches, path=ranks_path, pattern=pattern), f"id {kind}, bytes binary")
 
 
 def _report_batches(batches, path: str, pattern: str):
+    """Encoding and decoding of a slice in one worker, so that a task needs a single vocabulary."""
     coder = Coder.of(path, pattern)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            ids = [np.asarray(x.values) for x in part.column(1)]
+        for part in _text_slices(batch):
+            ids = coder.encode([t.as_py() or "" for t in part.column(1)])
             texts = coder.decode(ids)
             columns = [
-                pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(coder.shown.__getitem__, x.tolist())).encode()).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
+                pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(coder.shown.__getitem__, x.tolist())).encode()).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return_memory()
 
 
 def coding_report(docs: DataFrame, ranks_path: str, pattern: str = SPACED_PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): texts encoded, and their ids decoded again."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): texts encoded, and their ids decoded again.
+
+    Nulls, empty and long texts, repeated rows, other columns and empty tables as in :func:`encode`.
+    """
     kind = dict(docs.dtypes)[id_col]
     schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return encode(docs, ranks_path, pattern, id_col, text_col).mapInArrow(partial(_report_batches, path=ranks_path, pattern=pattern), schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_report_batches, path=ranks_path, pattern=pattern), schema)

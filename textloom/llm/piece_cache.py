@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-import string
 from array import array
 
 import numpy as np
@@ -23,7 +22,8 @@ CACHE_PIECES = 350_000
 _SAFE = "!-~¡-¬®-ɏ"
 _ODD = re.compile(f"[^ \n{_SAFE}]")
 _SAFE_SPACE = re.compile(f"(?<=[{_SAFE}]) (?=[{_SAFE}])")
-_LAST_LETTER = "ɏ"
+#: Letters up to U+024F, which every Unicode version knows, then ASCII punctuation.
+_PLAIN = re.compile(r"( ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 
 
 def cut_text(text: str) -> list[str]:
@@ -44,9 +44,8 @@ def with_lead(piece: str) -> list[str]:
 
 def letters_and_tail(piece: str) -> tuple[str, str] | None:
     """(letters with or without a space, ASCII punctuation) of a piece that is nothing else, or None."""
-    word = piece.rstrip(string.punctuation)
-    letters = word[1:] if word[:1] == " " else word
-    return (word, piece[len(word) :]) if letters.isalpha() and (letters.isascii() or max(letters) <= _LAST_LETTER) else None
+    plain = _PLAIN.fullmatch(piece)
+    return plain.groups() if plain else None
 
 
 class _Pieces(dict):
