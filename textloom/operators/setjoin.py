@@ -129,17 +129,27 @@ def all_pairs(texts: DataFrame, threshold: float, width: int = SHINGLE) -> DataF
     return verified(candidates, sets, threshold)
 
 
-def connecting_pairs(texts: DataFrame, components, threshold: float, width: int = SHINGLE) -> DataFrame:
+def connecting_pairs(texts: DataFrame, components, threshold: float, width: int = SHINGLE, first: DataFrame | None = None) -> DataFrame:
     """(a, b): verified pairs that connect what all pairs would connect.
 
     Each shared shingle first links its texts to the least of them.  ``components`` finds what these links
     connect, and only texts of a shingle that are still apart are then compared: all those outside the
-    shingle's largest component with all others.  A large group of near copies is not squared.
+    shingle's largest component with all others.  A large group of near copies is not squared.  Of ``first``,
+    candidates (a, b) that are known otherwise, those that reach the threshold are links from the start.
     """
-    met, sets = prefixes(texts, threshold, width)
-    least = met.groupBy("h").agg(F.min(F.struct("k", "n")).alias("m")).select("h", F.col("m.k").alias("a"), F.col("m.n").alias("xn"))
-    star = met.select("h", F.col("k").alias("b"), F.col("n").alias("yn")).join(least, "h").where((F.col("a") != F.col("b")) & _fitting(threshold))
-    near = materialize(verified(star.select("a", "b").distinct(), sets, threshold).select("a", "b"), "near")
+    buckets, sets = prefixes(texts, threshold, width)
+    before = None
+    if first is not None:
+        before = materialize(verified(first.select("a", "b").distinct(), sets, threshold).select("a", "b"), "before")
+        known = materialize(components(before), "roots")
+        met = materialize(buckets.join(known.withColumnRenamed("node", "k"), "k", "left").select("h", "k", "n", F.coalesce("root", "k").alias("p")), "met")
+        discard(known)
+    else:
+        met = buckets.withColumn("p", F.col("k"))
+    least = met.groupBy("h").agg(F.min(F.struct("k", "n", "p")).alias("m")).select("h", F.col("m.k").alias("a"), F.col("m.n").alias("xn"), F.col("m.p").alias("ap"))
+    star = met.select("h", F.col("k").alias("b"), F.col("n").alias("yn"), F.col("p").alias("bp")).join(least, "h").where((F.col("ap") != F.col("bp")) & _fitting(threshold))
+    near = verified(star.select("a", "b").distinct(), sets, threshold).select("a", "b")
+    near = materialize(near if before is None else near.unionByName(before), "near")
     roots = materialize(components(near), "roots")
     rooted = materialize(met.join(roots.withColumnRenamed("node", "k"), "k", "left").select("h", "k", "n", F.coalesce("root", "k").alias("root")), "rooted")
     groups = rooted.groupBy("h", "root").count().groupBy("h").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("apart")).where("apart > 1").select("h", "main")
@@ -149,5 +159,5 @@ def connecting_pairs(texts: DataFrame, components, threshold: float, width: int
     rest = x.join(y, "h").where((F.col("p") != F.col("q")) & _fitting(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     far = materialize(verified(rest, sets, threshold).select("a", "b"), "far")
     links = materialize(near.unionByName(far), "links")
-    discard(met, sets, near, roots, rooted, mixed, far)
+    discard(buckets, met, sets, near, roots, rooted, mixed, far, *([before] if before is not None else []))
     return links
