@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize, row_tag
+from .shared import materialize, row_tag
 
 WINDOW = 3
 
@@ -44,24 +44,30 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return spans.select("id", "tag", F.array_distinct(F.flatten("spans")).alias("covered"))
 
 
+def _reduced(docs: DataFrame, id_col: str, text_col: str, n_lines: str, n_removed: str) -> DataFrame:
+    """``docs`` with shortened texts and two counts under the given names, which replace columns of these names."""
+    covered = covered_lines(docs, id_col, text_col)
+    covered = materialize(covered.select(F.col("id").alias("_line_id"), F.col("tag").alias("_line_tag"), F.col("covered").alias("_line_covered")), "covered-lines")
+    # a merge join at every size: texts are shuffled once, and a hot key's side can be split
+    joined = docs.join(covered.hint("merge"), docs[id_col].eqNullSafe(covered["_line_id"]) & (row_tag(id_col, text_col) == covered["_line_tag"]), "left")
+    own, covers = docs[text_col], covered["_line_covered"]
+    lines = F.split(F.coalesce(own, F.lit("")), "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covers)
+    text = F.when(covers.isNull() | own.isNull(), own).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    kept = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in (n_lines, n_removed)]
+    return joined.select(*kept, F.size(lines).alias(n_lines), F.coalesce(F.size(covers), F.lit(0)).alias(n_removed))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages removed from its texts; all columns and rows stay.
 
     Adds ``n_lines`` and ``n_removed`` (they replace columns of these names).  Lines end at a line
     feed and are compared exactly.  A text of one or two lines is one window of its own length; a
     null text is null afterwards and counts as one empty line.  A text whose lines all go becomes
-    empty.  Rows equal in id and text count as one occurrence and are treated alike.  An empty table
-    stays empty.
+    empty.  Rows equal in id and text count as one occurrence and are treated alike.  A null id is the
+    least.  Texts are taken whole at any length.  An empty table stays empty.
     """
-    covered = covered_lines(docs, id_col, text_col)
-    covered = materialize(covered.select(F.col("id").alias("_line_id"), F.col("tag").alias("_line_tag"), F.col("covered").alias("_line_covered")), "covered-lines")
-    # a merge join at every size: texts are shuffled once, and a hot key's side can be split
-    joined = docs.join(covered.hint("merge"), F.col(id_col).eqNullSafe(F.col("_line_id")) & (row_tag(id_col, text_col) == F.col("_line_tag")), "left")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_line_covered")
-    text = F.when(F.col("_line_covered").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    out = joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")], F.size(lines).alias("n_lines"), F.coalesce(F.size("_line_covered"), F.lit(0)).alias("n_removed"))
-    return out
+    return _reduced(docs, id_col, text_col, "n_lines", "n_removed")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -70,9 +76,14 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_new_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` with the text that is left; rows of which nothing is left go."""
-    done = dedup_lines(docs, id_col, text_col)
-    return done.where("n_removed < n_lines").select(*docs.columns)
+    """Rows of ``docs`` with the text that is left; rows of which nothing is left go.
+
+    All columns keep their names and values but for the text, columns named ``n_lines`` or ``n_removed``
+    too.  Null and empty texts are one empty line: the first of them in the order of ids stays, later ones
+    go.  Rows equal in id and text stay or go together.  An empty table stays empty.
+    """
+    done = _reduced(docs, id_col, text_col, "_line_count", "_line_gone")
+    return done.where("_line_gone < _line_count").select(*docs.columns)
 
 
 ORACLE = """

@@ -9,15 +9,17 @@ bit, only the one whose bit is clear enumerates, which finds the same pairs once
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import connected_components
-from .shared import discard, materialize
+from .shared import discard, materialize, row_tag
 
 SEED = 42
 SHINGLE = 3
@@ -48,16 +50,16 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(_WEIGHT[2 * ones > n].sum(dtype=np.uint64))
 
 
-def _fingerprint_batches(batches):
+def _fingerprint_batches(batches, width: int):
     for batch in batches:
-        values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
+        values = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["id", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(id, fp): the fingerprint of each row as a signed long, whole texts, in Arrow batches."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_fingerprint_batches, width=width), schema)
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -116,10 +118,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component; all columns stay.
+    """One row of ``docs`` for each component of linked fingerprints; all columns stay.
 
-    Of rows with a null id nothing is dropped.
+    It is the row of the least id, null last, and of the least text key where texts share an id; of rows
+    equal in id and text, one stays.  Null and empty texts are one component.  An empty table stays empty.
+    """
+    keyed = docs.select(F.col(id_col).alias("id"), row_tag(id_col, text_col).alias("tag"), F.col(text_col).alias("text"))
+    key = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("tag", T.LongType())])
+    own = materialize(fingerprints(keyed.select(F.struct("id", "tag").cast(key).alias("key"), "text"), "key", "text").select("id.id", "id.tag", "fp"), "fingerprints")
+    roots = materialize(connected_components(linked_fingerprints(own.select("fp").distinct(), max_bits)), "roots")
+    rows = own.groupBy("fp", "id", "tag").agg(F.count("*").alias("n"))
+    rooted = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag", "n")).alias("m"))
+    kept = materialize(first.select(F.col("m.id").alias("_kept_id"), F.col("m.tag").alias("_kept_tag"), F.col("m.n").alias("_kept_n")), "kept")
+    discard(own, roots)
+    return one_row_each(docs, kept, id_col, row_tag(id_col, text_col), "_kept_tag")
+
+
+def one_row_each(docs: DataFrame, kept: DataFrame, id_col: str, tag: Column, tag_name: str) -> DataFrame:
+    """The rows of ``docs`` that ``kept(_kept_id, tag_name, _kept_n)`` names; of ``_kept_n`` equal ones, one.
+
+    Only rows that repeat are grouped again, the others are not shuffled for it.
     """
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, max_bits)
-    dropped = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped_id")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["_dropped_id"], "left_anti")
+    at = docs[id_col].eqNullSafe(kept["_kept_id"]) & (tag == kept[tag_name])
+    single = docs.join(kept.where("_kept_n = 1"), at, "left_semi")
+    several = docs.join(kept.where("_kept_n > 1"), at).drop("_kept_n").dropDuplicates(["_kept_id", tag_name])
+    return single.unionByName(several.select(*docs.columns))
