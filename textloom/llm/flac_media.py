@@ -1,7 +1,8 @@
 """Media columns: FLAC streams of 8-bit mono samples, written and read in numpy.
 
-A stream has blocks of 192 samples and a seek point for each frame, so that any sample is found
-without reading what stands before it.  Frames do not depend on each other: thousands are decoded in
+A stream has blocks of 192 samples and a seek point for each frame (every so many of a stream above 170
+MB), so that any sample is found without reading what stands before it.  A frame takes the shortest of the
+fixed predictors, a linear predictor of its own, a constant and plain samples.  Frames do not depend on each other: thousands are decoded in
 step, one Rice code of each at a time.  The reader takes constant, verbatim, fixed and linear-predictor
 subframes with partitioned Rice residuals (with their escape code), and verifies the CRC-8 of each
 frame header, the CRC-16 of each frame, and the MD5 of the samples.
@@ -23,6 +24,10 @@ RATE = 8000
 #: Frames that are worked on at once, and samples of a PCM block.
 FRAMES, PCM_BLOCK = 8192, 1 << 16
 MAX_ORDER, MAX_RICE = 2, 8
+#: Order of the linear predictor and bits of its coefficients, beside the fixed predictors.
+LPC_ORDER, LPC_BITS = 4, 10
+#: Of a seek table, which is one metadata block of less than 2^24 bytes.
+MOST_POINTS = (1 << 24) // 18 - 1
 
 _LEADING = np.array([16 if not v else 16 - int(v).bit_length() for v in range(1 << 16)], np.uint8)
 
@@ -63,36 +68,69 @@ def _frame_numbers(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
+def _predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, shifts) of each frame's linear predictor, by the Levinson recursion on exact autocorrelations."""
+    count = len(x)
+    auto = np.stack([(x[:, k:] * x[:, : BLOCK - k]).sum(axis=1) for k in range(LPC_ORDER + 1)], axis=1).astype(np.float64)
+    coefs, error = np.zeros((count, LPC_ORDER)), auto[:, 0] * (1 + 1e-9) + 1e-9
+    for i in range(LPC_ORDER):
+        reflect = (auto[:, i + 1] - sum((coefs[:, j] * auto[:, i - j] for j in range(i)), np.zeros(count))) / error
+        coefs[:, :i] -= reflect[:, None] * coefs[:, :i][:, ::-1].copy()
+        coefs[:, i] = reflect
+        error = np.maximum(error * (1 - reflect * reflect), 1e-9)
+    largest = np.maximum(np.abs(coefs).max(axis=1), 1e-6)
+    shift = np.clip(LPC_BITS - 2 - np.floor(np.log2(largest)).astype(np.int64), 0, 15)
+    top = (1 << (LPC_BITS - 1)) - 1
+    return np.clip(np.rint(coefs * (1 << shift)[:, None]), -top, top).astype(np.int32), shift.astype(np.int32)
+
+
+def _spread(values: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` bits of each value, the highest first, on a further axis."""
+    return (values[..., None] >> np.arange(n - 1, -1, -1) & 1).astype(np.uint8)
+
+
 def _encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, lengths) of frames: ``samples`` is (frames, 192), signed; numbers count within a stream."""
+    """(bytes, lengths) of frames: ``samples`` is (frames, 192), signed; numbers count within a stream.
+
+    Each frame takes the shortest of the fixed predictors and the linear one, constant or verbatim samples.
+    """
     count, x = len(samples), samples.astype(np.int32)
-    residuals = [x] + [np.diff(x, n=o, axis=1) for o in range(1, MAX_ORDER + 1)]
-    sizes = np.stack([np.abs(r).sum(axis=1) for r in residuals])
-    order = sizes.argmin(axis=0)
-    mean = np.maximum(1, 2 * sizes[order, np.arange(count)] // (BLOCK - order))
-    rice = np.minimum(MAX_RICE, np.log2(mean).astype(np.int64))
+    coefs, shift = _predictors(x)
+    guess = sum(coefs[:, j, None] * x[:, LPC_ORDER - 1 - j : BLOCK - 1 - j] for j in range(LPC_ORDER)) >> shift[:, None]
+    # (order, bits of the predictor, residuals) of each kind of subframe
+    kinds = [(o, 0, np.diff(x, n=o, axis=1) if o else x) for o in range(MAX_ORDER + 1)]
+    kinds.append((LPC_ORDER, 9 + LPC_ORDER * LPC_BITS, x[:, LPC_ORDER:] - guess))
+    rices, lengths, folded = [], [], []
+    for o, extra, residual in kinds:
+        u = (residual << 1) ^ (residual >> 31)
+        k = np.minimum(MAX_RICE, np.log2(np.maximum(1, 2 * np.abs(residual).sum(axis=1) // (BLOCK - o))).astype(np.int64))
+        rices.append(k)
+        folded.append(u)
+        lengths.append(18 + 8 * o + extra + (u >> k[:, None]).sum(axis=1) + (BLOCK - o) * (1 + k))
+    chosen = np.stack(lengths).argmin(axis=0)
     width = 8 + 8 * BLOCK
     bits = np.zeros((count, width), np.uint8)
     used = np.full(count, width)
     plain = np.ones(count, bool)
     same = (x == x[:, :1]).all(axis=1)
-    for o in range(MAX_ORDER + 1):
-        for k in np.unique(rice[(order == o) & ~same]):
-            at = np.flatnonzero((order == o) & (rice == k) & ~same)
-            u = residuals[o][at]
-            u = (u << 1) ^ (u >> 31)
-            quotient = u >> k
-            ends = np.cumsum(quotient + (1 + k), axis=1) + (18 + 8 * o)
-            fits = ends[:, -1] < width
-            at, u, quotient, ends = at[fits], u[fits], quotient[fits], ends[fits]
-            if not len(at):
-                continue
+    for kind, (o, extra, _) in enumerate(kinds):
+        ready = (chosen == kind) & ~same & (lengths[kind] < width)
+        for k in np.unique(rices[kind][ready]):
+            at = np.flatnonzero(ready & (rices[kind] == k))
+            u = folded[kind][at]
+            base = 8 + 8 * o + extra
+            ends = np.cumsum((u >> k) + (1 + k), axis=1) + base + 10
             plain[at], used[at] = False, ends[:, -1]
             rows = bits[at]
-            rows[:, :8] = np.unpackbits(np.array([(8 | o) << 1], np.uint8))
+            rows[:, :8] = np.unpackbits(np.array([(32 | o - 1 if extra else 8 | o) << 1], np.uint8))
             if o:
                 rows[:, 8 : 8 + 8 * o] = np.unpackbits((x[at, :o] & 0xFF).astype(np.uint8), axis=1)
-            rows[:, 14 + 8 * o : 18 + 8 * o] = [k >> 3 & 1, k >> 2 & 1, k >> 1 & 1, k & 1]
+            if extra:
+                head = 8 + 8 * o
+                rows[:, head : head + 4] = _spread(np.array([LPC_BITS - 1]), 4)
+                rows[:, head + 4 : head + 9] = _spread(shift[at], 5)
+                rows[:, head + 9 : base] = _spread(coefs[at], LPC_BITS).reshape(len(at), -1)
+            rows[:, base + 6 : base + 10] = _spread(np.array([k]), 4)
             flat, last = rows.reshape(-1), (np.arange(len(at)) * width)[:, None] + ends
             flat[last - (k + 1)] = 1
             for j in range(k):
@@ -134,15 +172,13 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     frames, sizes, out, done, first = b"".join(parts), np.concatenate(sizes), [], 0, 0
     for payload, count in zip(payloads, counts):
         own = sizes[first : first + count]
-        points = np.zeros(count, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
-        points["sample"], points["offset"], points["n"] = np.arange(count) * BLOCK, np.cumsum(own) - own, BLOCK
+        each = np.arange(0, count, -(-count // MOST_POINTS))  # every frame, or every so many of a very long stream
+        points = np.zeros(len(each), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+        points["sample"], points["offset"], points["n"] = each * BLOCK, (np.cumsum(own) - own)[each], BLOCK
         md5 = hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest()
         info = struct.pack(">HH", BLOCK, BLOCK) + int(own.min()).to_bytes(3) + int(own.max()).to_bytes(3) + (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8) + md5
-        size, tables, per = int(own.sum()), [], (1 << 24) // 18 - 1
-        for s in range(0, count, per):  # a metadata block has at most 2^24 bytes
-            table = points[s : s + per].tobytes()
-            tables.append(int(3 | 0x80 * (s + per >= count)).to_bytes(1) + len(table).to_bytes(3) + table)
-        out.append(b"fLaC\x00" + len(info).to_bytes(3) + info + b"".join(tables) + frames[done : done + size])
+        size, table = int(own.sum()), points.tobytes()
+        out.append(b"fLaC\x00" + len(info).to_bytes(3) + info + b"\x83" + len(table).to_bytes(3) + table + frames[done : done + size])
         done, first = done + size, first + count
     return out
 
@@ -322,37 +358,30 @@ def decode(streams: list[bytes], verify_md5: bool = True) -> list[np.ndarray]:
         return [x for s in streams for x in decode([s], verify_md5)]
     bits = _Bits(np.frombuffer(b"".join(streams), np.uint8))
     base = np.cumsum([0] + [len(s) for s in streams])
-    out: list[np.ndarray | None] = [None] * len(streams)
-    starts, ends, owner, through = [], [], [], []
+    starts, ends, owner = [], [], []
     for i, head in enumerate(heads):
-        points = np.concatenate(head["points"]) if head["points"] else np.zeros(0, [("sample", "u8"), ("offset", "u8"), ("n", "u2")])
-        n = points["n"].astype(np.int64)
-        whole = len(points) and int(n.sum()) == head["samples"] and (points["sample"].astype(np.int64) == np.cumsum(n) - n).all()
-        if whole:
-            own = base[i] + head["frames"] + points["offset"].astype(np.int64)
-            starts.append(own)
-            ends.append(np.append(own[1:], base[i + 1]))
-            owner.append(np.full(len(own), i))
-        else:
-            through.append(i)
-    if starts:
-        starts, ends, owner = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
-        parts: list[np.ndarray] = []
-        for at in range(0, len(starts), FRAMES):
-            some, behind = _decode_frames(bits, starts[at : at + FRAMES], heads[0]["depth"], ends[at : at + FRAMES])
-            if (behind != ends[at : at + FRAMES]).any():
-                raise ValueError("a frame does not end at the next seek point")
-            parts += some
-        first = np.searchsorted(owner, np.arange(len(streams) + 1))
-        for i in set(owner.tolist()):
-            out[i] = np.concatenate(parts[first[i] : first[i + 1]])
-    for i in through:  # without a full seek table a frame's end tells where the next one starts
-        at, some = int(base[i] + heads[i]["frames"]), []
-        while at < base[i + 1]:
-            x, behind = _decode_frames(bits, np.array([at]), heads[i]["depth"], base[i + 1 : i + 2])
-            some += x
-            at = int(behind[0])
-        out[i] = np.concatenate(some) if some else np.zeros(0, np.int64)
+        offsets = np.concatenate([p["offset"].astype(np.int64) for p in head["points"]] + [np.zeros(1, np.int64)])
+        own = base[i] + head["frames"] + np.unique(offsets)
+        own = own[own < base[i + 1]]
+        starts.append(own)
+        ends.append(np.append(own[1:], base[i + 1])[: len(own)])
+        owner.append(np.full(len(own), i))
+    at, ends, owner = (np.concatenate(x) for x in (starts, ends, owner))
+    # from each seek point on, one frame after the other; all points are in step
+    parts: list[list[np.ndarray]] = [[] for _ in at]
+    live = np.arange(len(at))
+    while len(live):
+        for k in range(0, len(live), FRAMES):
+            some = live[k : k + FRAMES]
+            frames, behind = _decode_frames(bits, at[some], heads[0]["depth"], ends[some])
+            for j, x in zip(some.tolist(), frames):
+                parts[j].append(x)
+            at[some] = behind
+        if (at > ends).any():
+            raise ValueError("a frame does not end at the next seek point")
+        live = live[at[live] < ends[live]]
+    first = np.searchsorted(owner, np.arange(len(streams) + 1))
+    out = [np.concatenate([np.zeros(0, np.int64), *(x for p in parts[first[i] : first[i + 1]] for x in p)]) for i in range(len(streams))]
     for head, x in zip(heads, out):
         if len(x) != head["samples"]:
             raise ValueError("the number of samples is wrong")
@@ -420,14 +449,21 @@ def _block_batches(batches):
 
 
 def read_pcm_blocks(media: DataFrame) -> DataFrame:
-    """(id, block, sample_offset, pcm): the decoded samples of ``media(id long, n_bytes, media)``."""
-    return media.select("id", "n_bytes", "media").mapInArrow(_block_batches, "id long, block long, sample_offset long, pcm binary")
+    """(id, block, sample_offset, pcm): the decoded samples of ``media(id, n_bytes, media)``.
+
+    Rows of null media have no blocks; ids are integers.
+    """
+    return media.where("media is not null").select(F.col("id").cast("long").alias("id"), "n_bytes", "media").select("id", "n_bytes", "media").mapInArrow(_block_batches, "id long, block long, sample_offset long, pcm binary")
 
 
 def feature(samples: np.ndarray) -> str:
-    """Length, energy, zero crossings and peak of a stream, as integers."""
+    """Length, energy, zero crossings, peak, and the autocorrelation at lags of 1, 2, 4, 8 and 16 samples.
+
+    All are exact integers, so equal streams have equal features wherever they are computed.
+    """
     x = samples.astype(np.int64)
-    return f"n={len(x)};energy={int((x * x).sum())};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};peak={int(np.abs(x).max(initial=0))}"
+    lags = ",".join(str(int((x[k:] * x[:-k]).sum())) for k in (1, 2, 4, 8, 16))
+    return f"n={len(x)};energy={int((x * x).sum())};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};peak={int(np.abs(x).max(initial=0))};lags={lags}"
 
 
 def _report_batches(batches):

@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, return_memory
+from .shared import discard, materialize, return_memory
 
 #: The fit uses at most so many labelled rows: those whose ids have the least hashes.
 LABELLED_ROWS = 20_000
+#: And so many features of these together (four bytes each reach the driver), in the same order.
+LABELLED_FEATURES = 40_000_000
 BUCKETS = 1 << 18
 #: Features of fewer labelled texts get no weight.
 LEAST_TEXTS = 8
@@ -43,7 +45,7 @@ def features(text: str | None) -> set[bytes]:
     """Names of a text's features: its distinct words and marks, and classes of its shape."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words, marks, lines = raw.translate(_WORDS_ONLY).split(), raw.translate(_MARKS_ONLY).split(), raw.split(b"\n")
-    found = {b"w" + w for w in set(words)} | {b"m" + m[:16] for m in set(marks)}
+    found = {b"w" + w for w in set(words)} | {b"m" + m for m in set(marks)}
     letters = len(raw) - len(raw.translate(None, _LETTERS))
     shape = (
         len(words).bit_length(), _share(len(raw) - len(raw.translate(None, _UPPER)), letters, 10), _share(len(raw) - len(raw.translate(None, _DIGIT)), len(raw), 10),
@@ -117,17 +119,26 @@ def graded(labels: DataFrame) -> DataFrame:
 def _bucket_batches(batches):
     for batch in batches:
         rows = [np.unique(np.array([bucket(f) for f in features(t.as_py())], np.int32)) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1)], ["buckets", "grade"])
+        yield pa.RecordBatch.from_arrays([pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1), batch.column(2)], ["n", "buckets", "grade", "place"])
 
 
-def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS) -> Model:
-    """Fit a model on at most ``rows`` rows of ``grades(id, grade)`` that have a text."""
+def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS, most: int = LABELLED_FEATURES) -> Model:
+    """Fit a model on at most ``rows`` rows of ``grades(id, grade)`` that have a text, and ``most`` features.
+
+    Rows are taken by the hash of their id.  A null text counts as an empty one; ids that several documents
+    share give a row for each.  Without a labelled document the model gives even odds.
+    """
     chosen = materialize(grades.orderBy(F.xxhash64("id"), "id").limit(rows), "labelled")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labelled = texts.join(F.broadcast(chosen), "id")  # at most ``rows`` rows of two numbers
-    got = labelled.select("text", F.col("grade").cast("int").alias("grade")).mapInArrow(_bucket_batches, "buckets binary, grade int").collect()
-    got.sort(key=lambda r: (bytes(r["buckets"]), r["grade"]))
-    return fit([np.frombuffer(r["buckets"], np.int32) for r in got], np.array([r["grade"] for r in got], np.int64))
+    labelled = texts.join(F.broadcast(chosen), "id").select("text", F.col("grade").cast("int").alias("grade"), F.xxhash64("id").alias("place"))  # at most ``rows`` rows of two numbers
+    got = materialize(labelled.mapInArrow(_bucket_batches, "n long, buckets binary, grade int, place long"), "labelled-features")
+    sizes = got.groupBy("place").agg(F.sum("n").alias("n")).orderBy("place").collect()
+    through = np.cumsum([r["n"] for r in sizes])
+    fits = [r["place"] for r, t in zip(sizes, through) if t <= most]
+    rows = got.where(F.col("place") <= fits[-1]).select("buckets", "grade").collect() if fits else []
+    discard(chosen, got)
+    rows.sort(key=lambda r: (bytes(r["buckets"]), r["grade"]))
+    return fit([np.frombuffer(r["buckets"], np.int32) for r in rows], np.array([r["grade"] for r in rows], np.int64))
 
 
 class _Weights(dict):
@@ -178,6 +189,11 @@ def _keep_batches(batches, model: Model, column: int, keep_at: float):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all columns."""
+    """The rows of ``docs`` that the classifier keeps, with all columns as they are.
+
+    A row stays if the probability of the highest grade is at least ``keep_at``.  A null text is judged as an
+    empty one; whole texts are judged at any length; equal texts are judged alike, repeated rows and null ids
+    included.  Without labels everything has the probability one half and stays; an empty table stays empty.
+    """
     model = train(docs, graded(labels), text_col=text_col)
     return docs.mapInArrow(partial(_keep_batches, model=model, column=docs.columns.index(text_col), keep_at=keep_at), docs.schema)

@@ -76,7 +76,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library takes out of a text before it splits; texts with one are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
         self.alone = self._splits_at_spaces()
         self.newline = self._encode_whole("\n")
@@ -121,6 +122,8 @@ class PieceEncoder:
         return self._encode_part(parts[0]) if len(parts) == 1 else self.newline + self._encode_part(parts[1])
 
     def encode(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return self._encode_whole(text)
         first, *rest = cut_text(text) if self.alone else [text]
         spaced = self.spaced
         return self._encode_whole(first) + b"".join([spaced[w] for w in rest])

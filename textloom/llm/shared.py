@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from textloom.session import delete_path, discard, materialize, new_path, return_memory, shared_root
 
-__all__ = ["delete_path", "discard", "materialize", "new_path", "open_fs", "read_table", "return_memory", "row_tag", "shared_root", "write_atomically"]
+__all__ = ["delete_path", "discard", "materialize", "new_path", "one_task_each", "open_fs", "read_table", "return_memory", "row_tag", "shared_root", "write_atomically"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +21,12 @@ def row_tag(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
+def one_task_each(files: DataFrame) -> DataFrame:
+    """A small table with each row, which names a file, in a partition of its own."""
+    spark, rows = files.sparkSession, files.collect()
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), files.schema)
+
+
 def open_fs(uri: str):
     """(filesystem, path) of pyarrow for a URI or a plain path, to be used inside tasks."""
     from pyarrow import fs

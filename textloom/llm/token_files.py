@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .piece_cache import PieceEncoder
-from .shared import discard, materialize, new_path, open_fs, write_atomically
+from .shared import discard, materialize, new_path, one_task_each, open_fs, write_atomically
 
 MAGIC = b"TLTOKEN1"
 #: Ids of a block; a document is never cut, so a block can hold one longer document.
@@ -140,8 +140,10 @@ def _write_batches(batches, folder: str, id_of: np.ndarray):
 
     rank_of = np.zeros(int(id_of.max(initial=0)) + 1, np.uint32)
     rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
-    number = TaskContext.get().partitionId()
-    path, held = f"{folder}/tokens-{number:06d}.tlt", {}
+    context = TaskContext.get()
+    number = context.partitionId()
+    # each attempt writes a file of its own; the index names that of the attempt that counts
+    path, held = f"{folder}/tokens-{number:06d}-{context.taskAttemptId()}.tlt", {}
 
     def rows():
         for batch in batches:
@@ -157,10 +159,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     """Encode ``docs`` and write token files; return their index (path, start, n_docs, n_ids).
 
     Whole texts are encoded, null as empty, and ``end_id`` ends each document.  Files hold ascending
-    ids, null ids first, rows of equal ids ordered by their tokens, and ranges of files do not
-    overlap; ``start`` is the number of ids before a file.  An empty table writes no rows.  Only
-    the counts by token, of which there are as many as the vocabulary has, and one row per file come
-    to the driver.  A repeated task writes equal bytes and renames the file into place.
+    ids, null ids first, rows of equal ids ordered by their compressed ids, and ranges of files do not
+    overlap; ``start`` is the number of ids before a file.  Document ids are longs.  An empty table writes
+    no rows.  Only the counts by token, of which there are as many as the vocabulary has, and one row per
+    file come to the driver.  A repeated task writes a file of its own, of which the index takes one.
+    Strings of added tokens in a text are read as the library reads them by default.  Other columns are
+    ignored.
     """
     spark = docs.sparkSession
     wide = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())])
@@ -184,14 +188,15 @@ def _read_batches(batches):
     for batch in batches:
         for path, start in zip(batch.column(0), batch.column(1)):
             filesystem, name = open_fs(path.as_py())
-            at, rows = start.as_py(), []
+            at, rows, held = start.as_py(), [], 0
             with filesystem.open_input_file(name) as stream:
                 for doc_id, ids in read_file(stream):
                     rows.append((doc_id, at, ids))
                     at += len(ids)
-                    if sum(len(r[2]) for r in rows[-1:]) > BLOCK_IDS or len(rows) >= 1024:
+                    held += len(ids)
+                    if held > BLOCK_IDS or len(rows) >= 1024:
                         yield rows
-                        rows = []
+                        rows, held = [], 0
             yield rows
 
 
@@ -219,7 +224,7 @@ def digest_token_files(index: DataFrame) -> DataFrame:
 
 
 def _one_task_each(index: DataFrame) -> DataFrame:
-    return index.select("path", "start").repartition(max(1, index.count()))
+    return one_task_each(index.select("path", "start"))
 
 
 def token_file_digests(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

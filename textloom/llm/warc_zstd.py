@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, new_path, open_fs, write_atomically
+from .shared import materialize, new_path, one_task_each, open_fs, write_atomically
 
 DICTIONARY_FRAME = 0x184D2A5D
 #: Payloads of fewer bytes are always written in full.
@@ -128,7 +128,8 @@ def read_archive(stream):
 def _write_batches(batches, folder: str):
     from pyspark import TaskContext
 
-    task = TaskContext.get().partitionId()
+    # each attempt writes files of its own; the index names those of the attempt that counts
+    task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
 
     def records():
         for batch in batches:
@@ -137,7 +138,7 @@ def _write_batches(batches, folder: str):
 
     source, number, wrote = records(), 0, [1]
     while wrote[0]:
-        path = f"{folder}/pages-{task:06d}-{number:04d}.warc.zst"
+        path = f"{folder}/pages-{task:06d}-{attempt}-{number:04d}.warc.zst"
         first = next(source, None)
         if first is None:
             break
@@ -168,7 +169,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
 
     A null html is an empty payload and a null url has no target; rows with a null id in a group of
     equal payloads revisit the largest id, rows of the largest id are all responses.  Each task fills
-    its own files and renames them into place.  An empty table writes no file.  Other columns are
+    its own files and renames them into place; a repeated task's files stand beside those that the index names.  An empty table writes no file.  Other columns are
     ignored.
     """
     return materialize(plan_records(pages).mapInArrow(partial(_write_batches, folder=folder), "path string, n_records long"), "warc-index")
@@ -194,7 +195,7 @@ def _read_batches(batches, keep_payload: bool):
 def read_warc(index: DataFrame, keep_payload: bool = True) -> DataFrame:
     """The records of the archives in ``index``, one task for each file; a revisit has no payload."""
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * keep_payload
-    return index.select("path").repartition(max(1, index.count())).mapInArrow(partial(_read_batches, keep_payload=keep_payload), schema)
+    return one_task_each(index.select("path")).mapInArrow(partial(_read_batches, keep_payload=keep_payload), schema)
 
 
 def archive_report(spark: SparkSession, pages: DataFrame) -> DataFrame:
