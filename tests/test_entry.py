@@ -1,6 +1,10 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import pandas as pd
@@ -48,3 +52,19 @@ def test_entry_runs(spark):
 
 def test_sql_belongs_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _entry_names(tmp_path, code):
+    root = Path(entry.__file__).resolve().parent
+    shutil.copytree(root / "textloom", tmp_path / "textloom", ignore=shutil.ignore_patterns("llm", "__pycache__") if "None" not in code else shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if "None" in code else [])):
+        shutil.copy(root / name, tmp_path / name)
+    run = subprocess.run([sys.executable, "-c", f"{code}\nimport __spark_entry__ as e\nprint(*e.queries(), *e.oracle_sql())"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+    return set(run.stdout.split())
+
+
+@pytest.mark.parametrize("code", ["", "import sys; sys.modules['zstandard'] = None"])
+def test_entry_without_the_training_data_operators(tmp_path, code):
+    """Without their folders, or one of their libraries, all other queries are still offered."""
+    names = _entry_names(tmp_path, code)
+    assert "word_search" in names and "pipeline" not in names and not any(n.startswith("op1") for n in names)

@@ -12,8 +12,9 @@ from .operators import dupes, filters, matching, meaning, search
 from .operators.search import SearchRequest
 from .plans import query as q
 from .plans.compile import Options, Source, compile_query
-from .session import ship_package
+from .session import new_path, ship_package
 from .sources import incremental, kinds
+from .store.index import SearchIndex, build_index
 from .streaming import alerts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,9 +43,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.documents_of(table(spark, sf_dir, "documents"))
 
 
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The word index of a folder's documents, built in the shared folder when it is first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(documents(spark, sf_dir), new_path(spark, "index"))
+    return _INDEXES[key]
+
+
 def found(spark: SparkSession, sf_dir: str, text_query: str, **options) -> DataFrame:
-    """(doc_id, matches) of a query over bodies."""
+    """(doc_id, matches) of a query over bodies: by the index, or from the texts what it cannot say."""
     parsed = q.parse(text_query, options.pop("regex", False))
+    index = indexed(spark, sf_dir)
+    if index.supports(parsed, Options(**options)):
+        return index.matches(parsed, Options(**options)).select("doc_id", "matches")
     compiled = compile_query(parsed, Source.of(F.coalesce(F.col("text"), F.lit("")), lines=parsed.lines), Options(**options))
     return table(spark, sf_dir, "documents").where(compiled.predicate).select("doc_id", compiled.matches.cast("long").alias("matches"))
 
@@ -143,14 +158,24 @@ _TERMS = ["the", "und", "les", "para"]
 
 @query(f"WITH {_T} SELECT doc_id, {' + '.join(map(_n, _TERMS))} AS matches FROM t WHERE matches > 0")
 def term_list_any(spark, d):
-    compiled = compile_query(q.with_terms(q.Query(), _TERMS), Source.of(F.coalesce(F.col("text"), F.lit(""))))
-    return table(spark, d, "documents").where(compiled.predicate).select("doc_id", compiled.matches.cast("long").alias("matches"))
+    return indexed(spark, d).any_term(_TERMS)
+
+
+#: As many terms as a list may have, of words that occur, phrases, and words that do not.
+_LONG_LIST = ["the", "of the", "und", "with"] + [f"absent{i}" for i in range(4996)]
+
+
+@query(
+    f"WITH {_T}, p AS (SELECT doc_id, toks, unnest(range(len(toks))) AS i FROM t), w AS (SELECT doc_id, toks[i + 1] AS a, toks[i + 2] AS b FROM p) "
+    "SELECT doc_id, count(*) FILTER (a IN ('the', 'und', 'with')) + count(*) FILTER (a = 'of' AND b = 'the') AS matches FROM w GROUP BY doc_id HAVING matches > 0"
+)
+def term_list_5000(spark, d):
+    return indexed(spark, d).any_term(_LONG_LIST)
 
 
 @query(f"WITH {_T} SELECT doc_id, {_n('the')} + {_n('a')} AS matches FROM t WHERE {_n('the')} > 0 AND {_n('a')} > 0")
 def term_list_all(spark, d):
-    compiled = compile_query(q.with_terms(q.Query(), ["the", "a"], True), Source.of(F.coalesce(F.col("text"), F.lit(""))))
-    return table(spark, d, "documents").where(compiled.predicate).select("doc_id", compiled.matches.cast("long").alias("matches"))
+    return indexed(spark, d).matches(q.with_terms(q.Query(), ["the", "a"], True)).select("doc_id", "matches")
 
 
 @query("SELECT page_id, url FROM pages WHERE lower(url) LIKE 'https://www.%' AND (lower(url) = 'https://www.ththen.example.com/en' OR starts_with(lower(url), 'https://www.ththen.example.com/en/'))")
@@ -214,20 +239,29 @@ _BM25 = (
 
 @query(_BM25 + "SELECT doc_id, round(score, 6) AS score FROM r WHERE a > 0 AND b > 0 ORDER BY score DESC, doc_id LIMIT 50")
 def bm25_topk(spark, d):
-    docs = table(spark, d, "documents")
-    compiled = compile_query(q.parse("with from"), Source.of(F.coalesce(F.col("text"), F.lit(""))))
-    scored = search.score_bm25(docs, docs.where(compiled.predicate), ["with", "from"], "text", "source")
+    index = indexed(spark, d)
+    scored = index.matches(q.parse("with from")).join(index.scores(["with", "from"]), "doc_id")
     return scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
+@query(_BM25 + "SELECT doc_id, round(score, 6) AS score, a + b AS exact, a + b AS matches FROM r WHERE a > 0 AND b > 0 ORDER BY r.score DESC, 'doc-' || doc_id || '.txt' LIMIT 50")
+def search_hits(spark, d):
+    listed = indexed(spark, d).search(SearchRequest("with from", limit=50), stems=False)
+    return listed.select("doc_id", F.round("score", 6).alias("score"), "exact", "matches")
+
+
+@query()
+def inflected_word(spark, d):
+    return indexed(spark, d).matches(q.parse("ering"), stems=True)
+
+
 @query(
     f"WITH {_T}, c AS (SELECT doc_id, {_n('therein')} AS e, len(list_filter(toks, lambda x: strlen(x) < 64 AND x <> 'therein' AND length(x) BETWEEN 6 AND 8 AND levenshtein(x, 'therein') <= 1)) AS z FROM t) "
     "SELECT doc_id, round(CASE WHEN e = 0 THEN (e + z) * 0.2 ELSE e + z END, 6) AS score FROM c WHERE e + z > 0"
 )
 def approx_penalty_rank(spark, d):
-    compiled = compile_query(q.parse("therein"), Source.of(F.coalesce(F.col("text"), F.lit(""))), Options(fuzzy=True))
-    rows = table(spark, d, "documents").where(compiled.predicate)
-    return rows.select("doc_id", F.round(F.when(compiled.exact == 0, compiled.matches * F.lit(0.2)).otherwise(compiled.matches.cast("double")), 6).alias("score"))
+    rows = indexed(spark, d).matches(q.parse("therein"), Options(fuzzy=True))
+    return rows.select("doc_id", F.round(F.when(F.col("exact") == 0, F.col("matches") * F.lit(0.2)).otherwise(F.col("matches").cast("double")), 6).alias("score"))
 
 
 @query(f"WITH {_T} SELECT doc_id, {_n('the')} AS matches, row_number() OVER (ORDER BY {_n('the')} DESC, 'doc-' || doc_id || '.txt') AS place FROM t WHERE matches > 0 ORDER BY place LIMIT 100")
@@ -248,7 +282,16 @@ _FACETS = (
 
 @query(_FACETS)
 def facets_without_own_filter(spark, d):
-    return search.facets(documents(spark, d), SearchRequest("the OR que", langs=["en"], sites=["src0", "src1", "src2"]))
+    return indexed(spark, d).facets(SearchRequest("the OR que", langs=["en"], sites=["src0", "src1", "src2"]))
+
+
+@query(
+    f"WITH {_T}, h AS (SELECT source AS site_id, lang FROM t WHERE ({_n('the')} > 0 OR {_n('que')} > 0) AND lang = 'en' AND source IN ('src0', 'src1', 'src2')) "
+    "SELECT 'lang' AS facet, lang AS key, count(*) AS n FROM h GROUP BY lang UNION ALL SELECT 'site', site_id, count(*) FROM h GROUP BY site_id "
+    "UNION ALL SELECT 'kind', 'text', count(*) FROM h HAVING count(*) > 0 UNION ALL SELECT 'year', '1970', count(*) FROM h HAVING count(*) > 0"
+)
+def facets_with_all_filters(spark, d):
+    return indexed(spark, d).facets(SearchRequest("the OR que", langs=["en"], sites=["src0", "src1", "src2"]), own=True)
 
 
 @query(
@@ -262,7 +305,7 @@ def facets_with_dates(spark, d):
 
 @query("SELECT source AS site_id, count(*) AS n FROM documents GROUP BY source")
 def facet_site_all(spark, d):
-    return documents(spark, d).groupBy("site_id").agg(F.count("*").alias("n"))
+    return indexed(spark, d).sites.select("site_id", "n")
 
 
 _MAIL = detectors.PATTERNS["email"]
@@ -316,7 +359,7 @@ _REPORT = ["the", "of the", "und", "les"]
     "SELECT term, count(DISTINCT doc_id) AS files, count(*) AS matches FROM x GROUP BY term"
 )
 def keyword_report(spark, d):
-    return search.keyword_report(table(spark, d, "documents"), _REPORT, "text")
+    return indexed(spark, d).keyword_report(_REPORT)
 
 
 @query(

@@ -17,10 +17,12 @@ _OWN_DIR: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder stands in.
+    Only where the session names none and has one machine (tests), a temporary folder stands in.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIR:
             _OWN_DIR[app] = tempfile.mkdtemp(prefix="textloom-")
