@@ -92,6 +92,23 @@ def within(docs: DataFrame, results: DataFrame, column: str = "path") -> DataFra
     return docs.join(results.select(column).distinct(), column, "left_semi")
 
 
+_NAME_REGEX = re.compile(r"(?P<not>!?)\s*(?P<word>/.+/)", re.S)
+_NAME_ITEM = re.compile(r"(?P<not>!?)\s*(?P<word>\S.*)", re.S)
+
+
+def name_pattern(item: str) -> str:
+    """The pattern of whole folded names that one item stands for; what a regular expression leaves open may be anything."""
+    regex = re.fullmatch(r"/(\^?)(.+?)((?<!\\)\$)?/", item, re.S)
+    if regex:
+        re.compile(item[1:-1])
+        head, body, tail = regex.groups()
+        return f"{'' if head else '.*'}(?:{body}){'' if tail else '.*'}"
+    # runs of wildcards and of other characters
+    pieces = [{"*": ".*", "?": "."}.get(x) or quoted(x) for x in re.findall(r"[*?]|[^*?]+", fold_text(item))]
+    edge = "" if re.search(r"[*?]", item) else ".*"
+    return edge + "".join(pieces) + edge
+
+
 @dataclass(frozen=True)
 class NamePattern:
     """Include and exclude patterns of folded names, each for a whole name."""
@@ -101,28 +118,15 @@ class NamePattern:
 
     @classmethod
     def parse(cls, text: str) -> NamePattern | None:
-        """Items parted by ``;`` or ``,``: globs, ``/regex/``, bare words (contained), ``!`` excludes."""
-        text = text.strip()
-        bare = text.removeprefix("!").lstrip()
-        items = [text] if len(bare) > 2 and bare[0] == bare[-1] == "/" else [x.strip() for x in re.split("[;,]", text)]
-        sides: dict[bool, list[str]] = {False: [], True: []}
-        for item in filter(None, items):
-            word = item[1:].strip() if item[0] == "!" else item
-            if word:
-                sides[item[0] == "!"].append(cls._whole(word))
-        return cls(tuple(sides[False]), tuple(sides[True])) if any(sides.values()) else None
-
-    @staticmethod
-    def _whole(item: str) -> str:
-        if len(item) > 2 and item[0] == item[-1] == "/":
-            body = item[1:-1]
-            re.compile(body)
-            starts, ends = body.startswith("^"), body.endswith("$") and not body.endswith("\\$")
-            body = body[starts : len(body) - ends]
-            return f"{'' if starts else '.*'}(?:{body}){'' if ends else '.*'}"
-        folded = fold_text(item)
-        parts = [".*" if c == "*" else "." if c == "?" else quoted(c) for c in folded]
-        return "".join(parts) if set("*?") & set(folded) else f".*{''.join(parts)}.*"
+        """Items parted by ``;`` or ``,``: globs, ``/regex/``, bare words (contained), ``!`` excludes.
+
+        A text that is one regular expression is not parted.
+        """
+        whole = _NAME_REGEX.fullmatch(text.strip())
+        items = [whole] if whole else [_NAME_ITEM.fullmatch(x.strip()) for x in re.split("[;,]", text)]
+        patterns = [(bool(m["not"]), name_pattern(m["word"])) for m in items if m]
+        include, exclude = (tuple(p for out, p in patterns if out is side) for side in (False, True))
+        return cls(include, exclude) if patterns else None
 
     def matches(self, names: Column) -> Column:
         """One included name is enough, one excluded name is too many, of an array of names."""
