@@ -11,7 +11,7 @@ from textloom.operators.search import SearchRequest, documents_of
 from textloom.plans import query as q
 from textloom.plans.compile import Options
 from textloom.store import index as module
-from textloom.store.index import build_index
+from textloom.store.index import SearchIndex, build_index, update_index
 
 TEXTS = {
     1: ("fr", "Un contrat signé. Deux contrats, trois CONTRATS de la contrée"), 2: ("es", "un contrato y dos contratos; contratación"), 3: ("en", "the contract of the contracts of the the the"),
@@ -74,3 +74,19 @@ def test_ranking_and_facets(index):
     assert [r["score"] for r in listed] == sorted((r["score"] for r in listed), reverse=True) and "body" not in listed[0].asDict()
     assert {(r["facet"], r["key"]): r["n"] for r in index.facets(SearchRequest("contrat", langs=["fr"]), own=True).collect() if r["facet"] == "lang"} == {("lang", "fr"): 1}
     assert {r["key"]: r["n"] for r in index.facets(SearchRequest("contrat", langs=["fr"])).collect() if r["facet"] == "lang"} == {"fr": 1, "und": 1}  # without its own filter
+
+
+def test_batches_of_changes(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = lambda rows: documents_of(spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], columns))
+    index = build_index(docs([(1, "old apple", "a"), (2, "apple pie apple", "a"), (3, "pear", "b")]), f"file://{tmp_path}/i")
+    index = update_index(index, docs([(1, "new plum", "a"), (4, "apple", "b")]), docs([(3, "pear", "b")]))
+    again = build_index(docs([(1, "new plum", "a"), (2, "apple pie apple", "a"), (4, "apple", "b")]), f"file://{tmp_path}/w")
+    for words in ("apple", "old", "plum", "pear", "appl*", '"apple pie"', "NOT apple", "LIKE appla"):
+        assert found(index, words) == found(again, words)
+    rank = lambda x: [(r["doc_id"], round(r["score"], 9)) for r in x.search(SearchRequest("apple OR plum")).collect()]
+    assert rank(index) == rank(again) and sorted(map(tuple, index.sites.collect())) == sorted(map(tuple, again.sites.collect()))
+    index = update_index(index, docs([(3, "pear apple", "b")]), docs([]))
+    assert found(SearchIndex(spark, index.folder), "pear") == {3: 1} and len(index.numbers) == 3
+    _ = (tmp_path / "i" / "g000002" / "sites" / "_SUCCESS").unlink()  # a batch that did not end
+    assert found(SearchIndex(spark, index.folder), "pear") == {}

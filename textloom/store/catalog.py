@@ -41,10 +41,6 @@ class SavedSearch:
     fresh: tuple[str, ...] = ()
 
 
-#: An alert remembers so many documents.
-MAX_SEEN = 20_000
-
-
 def write_json(path: Path, value: Any) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
     beside = path.with_name(f"{path.name}.{os.getpid()}.tmp")
@@ -124,7 +120,7 @@ class Catalog:
 
     def set_alert(self, search_id: str, on: bool, found: list[str] | None = None) -> None:
         """Turn an alert on, with what is found now as seen, or off, with nothing remembered."""
-        change = lambda s: replace(s, alert=on, seen=tuple((found or [])[:MAX_SEEN]) if on else (), fresh=())
+        change = lambda s: replace(s, alert=on, seen=tuple(found or ()) if on else (), fresh=())
         self._save("saved", [change(s) if s.id == search_id else s for s in self.searches()])
 
     def record(self, search_id: str, found: list[str], gone: list[str] | None = None) -> list[str]:
@@ -135,7 +131,7 @@ class Catalog:
             if s.id == search_id and s.alert:
                 seen = [p for p in s.seen if p not in set(gone or ())]
                 new = [p for p in dict.fromkeys(found) if p not in set(seen)]
-                s = replace(s, seen=tuple((seen + new)[-MAX_SEEN:]), fresh=tuple(dict.fromkeys([*s.fresh, *new])))
+                s = replace(s, seen=tuple(seen + new), fresh=tuple(dict.fromkeys([*s.fresh, *new])))
             rows.append(s)
         self._save("saved", rows)
         return new

@@ -4,12 +4,13 @@
 for a few tokens reads the row groups that hold them.  ``dictionary`` (lang, raw, token, df, stem, core) has each
 spelling once; partial words, typos and inflections are looked up there and come to the postings as tokens.
 ``documents`` has everything of a document but its text, and its ``length`` in tokens; ``sites`` the number and the
-mean length of each site's documents.  Word, phrase, term-list and boolean searches, BM25, facets and reports run
+mean length of each site's documents.  A batch of changes is a further generation of these tables.  Word, phrase, term-list and boolean searches, BM25, facets and reports run
 on these tables; regular expressions, NEAR, LINES, detectors and exact case read texts instead.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -41,24 +42,67 @@ def _cores(token: pd.Series) -> pd.Series:
     return token.map(core_length)
 
 
-def build_index(docs: DataFrame, folder: str, body: str = "body", key: str = "doc_id") -> SearchIndex:
-    """Write the index of ``docs(doc_id, site_id, lang, body, ...)`` into ``folder`` and open it.
-
-    Ids are unique and not null; a null text has no tokens.  Tokens are shuffled once, by document and spelling.
-    """
-    spark = docs.sparkSession
+def _write_generation(docs: DataFrame, folder: str, number: int, body: str, key: str) -> str:
+    """Write the postings, spellings and documents of ``docs`` as one generation; its folder."""
+    spark, path = docs.sparkSession, f"{folder}/g{number:06d}"
     spelled = docs.select(F.col(key).alias("doc_id"), "site_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.posexplode(F.regexp_extract_all(stem_input(F.coalesce(F.col(body), F.lit(""))), F.lit(RAW), 1)).alias("pos", "raw"))
     grouped = spelled.groupBy("doc_id", "site_id", "lang", "raw").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     postings = grouped.select(fold(F.col("raw")).alias("token"), "raw", "lang", "site_id", "doc_id", "tf", "positions").where("token <> ''")
-    postings.repartitionByRange("token").sortWithinPartitions("token", "doc_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
-    written = spark.read.parquet(f"{folder}/postings")
+    postings.repartitionByRange("token").sortWithinPartitions("token", "doc_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    written = spark.read.schema(postings.schema).parquet(f"{path}/postings")
     words = written.groupBy("lang", "raw", "token").agg(F.count("*").alias("df"))
-    words.withColumns({"stem": _stems("raw", "lang"), "core": _cores("token")}).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{folder}/dictionary")
+    words.withColumns({"stem": _stems("raw", "lang"), "core": _cores("token")}).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/dictionary")
     lengths = written.groupBy("doc_id").agg(F.sum("tf").alias("length")).withColumnRenamed("doc_id", "_id")
     plain = docs.select(F.col(key).alias("doc_id"), *[c for c in docs.columns if c not in (key, body)])
-    plain.join(lengths, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumn("length", F.coalesce("length", F.lit(0))).write.mode("overwrite").parquet(f"{folder}/documents")
-    spark.read.parquet(f"{folder}/documents").groupBy("site_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{folder}/sites")
-    return SearchIndex(spark, folder)
+    plain.join(lengths, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumn("length", F.coalesce("length", F.lit(0))).write.mode("overwrite").parquet(f"{path}/documents")
+    return path
+
+
+def _write_sites(spark: SparkSession, folder: str, number: int) -> None:
+    """The sites' statistics over all generations; they are written last and make a generation count."""
+    documents = _living(spark, folder, range(number + 1), "documents")
+    documents.groupBy("site_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{folder}/g{number:06d}/sites")
+
+
+def _generations(spark: SparkSession, folder: str) -> list[int]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files.listStatus(root) if re.fullmatch(r"g\d{6}", s.getPath().getName())]
+    return sorted(int(p.getName()[1:]) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "sites/_SUCCESS")))
+
+
+def _living(spark: SparkSession, folder: str, numbers, table: str) -> DataFrame:
+    """The rows of a table in all generations, without documents that later ones replaced or removed."""
+    parts = []
+    for n in numbers:
+        rows = spark.read.parquet(f"{folder}/g{n:06d}/{table}")
+        later = [spark.read.parquet(f"{folder}/g{m:06d}/removed") for m in numbers if m > n]
+        parts.append(rows.join(reduce(DataFrame.unionByName, later).distinct(), "doc_id", "left_anti") if later else rows)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def build_index(docs: DataFrame, folder: str, body: str = "body", key: str = "doc_id") -> SearchIndex:
+    """Write the index of ``docs(doc_id, site_id, lang, body, ...)`` into ``folder`` and open it.
+
+    Ids are unique and not null; a null text has no tokens.  Tokens are shuffled once, by document and spelling.
+    """
+    _write_generation(docs, folder, 0, body, key)
+    _write_sites(docs.sparkSession, folder, 0)
+    return SearchIndex(docs.sparkSession, folder)
+
+
+def update_index(index: SearchIndex, fresh: DataFrame, gone: DataFrame, body: str = "body", key: str = "doc_id") -> SearchIndex:
+    """The index after a batch: ``fresh`` documents are added or replaced, those of ``gone(doc_id)`` removed.
+
+    The batch is a generation of its own beside a list of the ids that older ones lose; only it is tokenized.  A
+    generation counts when it is complete, so a batch that was interrupted is written again.
+    """
+    number = index.numbers[-1] + 1
+    path = _write_generation(fresh, index.folder, number, body, key)
+    ids = fresh.select(F.col(key).alias("doc_id")).unionByName(gone.select(F.col(key).alias("doc_id")))
+    ids.distinct().write.mode("overwrite").parquet(f"{path}/removed")
+    _write_sites(index.spark, index.folder, number)
+    return SearchIndex(index.spark, index.folder)
 
 
 @dataclass(frozen=True)
@@ -129,8 +173,13 @@ def _phrase_count(words: tuple[str, ...]) -> Column:
 
 class SearchIndex:
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self.postings, self.dictionary, self.documents, self.sites = (spark.read.parquet(f"{folder}/{x}") for x in ("postings", "dictionary", "documents", "sites"))
+        self.spark, self.folder, self.numbers = spark, folder, _generations(spark, folder)
+        if not self.numbers:
+            raise FileNotFoundError(folder)
+        self.postings, self.documents = (_living(spark, folder, self.numbers, x) for x in ("postings", "documents"))
+        words = [spark.read.parquet(f"{folder}/g{n:06d}/dictionary") for n in self.numbers]
+        self.dictionary = words[0] if len(words) == 1 else reduce(DataFrame.unionByName, words).dropDuplicates(["lang", "raw", "token"])
+        self.sites = spark.read.parquet(f"{folder}/g{self.numbers[-1]:06d}/sites")
 
     def _rows(self, asked: list[_Asked]) -> tuple[DataFrame, list[tuple[Column, Column, Column]]]:
         """Postings of everything asked, and for each word clause its (exact, inflected, typo) flags on them."""
