@@ -15,8 +15,8 @@ from .filters import NamePattern, has_attributes, in_folder, in_range, one_of
 from .matching import match_spans, snippet_column
 
 K1, B = 1.2, 0.75
-#: Limits by default: of a search, of a live scan, of an export.
-LIMIT, SCAN_LIMIT, EXPORT_LIMIT = 200, 1000, 10_000
+#: Limits by default: of a search, of a live scan.
+LIMIT, SCAN_LIMIT = 200, 1000
 
 DOCUMENTS = T.StructType(
     [

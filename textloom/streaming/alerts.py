@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import delete_path
+
 #: Quiet time of a change source, retries, and the file number beyond which a whole site is searched.
 QUIET, RETRY_SECONDS, ATTEMPTS, FILE_THRESHOLD = "2 seconds", 3, 3, 10_000
 
@@ -21,6 +26,22 @@ def announce_once(found: DataFrame, keys: list[str], order: str) -> DataFrame:
     return found.groupBy(*keys).agg(F.min(order).alias(order))
 
 
+def retried(run: Callable[[], object], attempts: int = ATTEMPTS, pause: float = RETRY_SECONDS) -> object:
+    """The result of ``run``, tried again after a pause; the last failure is raised."""
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return run()
+        except Exception:
+            if not left:
+                raise
+            time.sleep(pause)
+
+
+def alert_scope(docs: DataFrame, changed: DataFrame, key: str = "path", most: int = FILE_THRESHOLD) -> DataFrame:
+    """The documents that an alert has to judge after a batch: the changed ones, or all if very many changed."""
+    return docs if changed.count() > most else docs.join(F.broadcast(changed.select(key).distinct()), key, "left_semi")
+
+
 def fresh_alerts(found: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     """Documents that an alert has not announced yet."""
     return found.dropDuplicates(keys).join(seen.select(*keys), keys, "left_anti")
@@ -39,16 +60,20 @@ def watch(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files
 def upsert_stream(changes: DataFrame, table: str, checkpoint: str, keys: tuple[str, ...] = ("path",), order: str = "modified") -> StreamingQuery:
     """Keep ``table`` (a Parquet folder) at the newest row of each key.
 
-    Each micro-batch writes a new version beside the current one; a pointer file names the version, so a
-    batch that is repeated after a failure writes the same version again.
+    Each micro-batch writes a new version beside the current one and drops those before it; a version counts
+    when it is complete, so a batch that is repeated after a failure writes the same version again.  Of rows
+    with equal ``order`` that of the greatest hash over all columns is the newest.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = batch.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_rank = 1").drop("_rank")
+        ranked = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(F.xxhash64(*batch.columns)))
+        newest = batch.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1").drop("_rank")
         before = current_version(spark, table, below=number)
         rows = newest if before is None else spark.read.parquet(f"{table}/v{before:012d}").join(newest.select(*keys), list(keys), "left_anti").unionByName(newest)
-        rows.write.mode("overwrite").parquet(f"{table}/v{number:012d}")
+        retried(lambda: rows.write.mode("overwrite").parquet(f"{table}/v{number:012d}"))
+        while before is not None and (older := current_version(spark, table, below=before)) is not None:
+            delete_path(spark, f"{table}/v{older:012d}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
