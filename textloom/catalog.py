@@ -401,6 +401,15 @@ def knn_passages(spark, d):
     return _nearest(spark, d, 40)
 
 
+@query(
+    "WITH s AS (SELECT q.vec_id AS question, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0) "
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS place FROM s) WHERE place <= 10"
+)
+def knn_all_questions(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return meaning.nearest_to_all(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 @query(f"WITH {_KNN}, n AS (SELECT * FROM k ORDER BY score DESC, vec_id LIMIT 200) SELECT label, arg_min(vec_id, -score * 1000000000 + vec_id / 100000000) AS vec_id, max(score) AS score FROM n GROUP BY label")
 def best_passage_per_doc(spark, d):
     return meaning.best_passage(_nearest(spark, d, 200), "label", "vec_id").select("label", "vec_id", "score")

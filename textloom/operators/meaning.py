@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,6 +91,44 @@ def nearest(vectors: DataFrame, question: list[float], k: int = PASSAGES, key: s
     return vectors.withColumn("score", score).orderBy(F.desc("score"), key).limit(k)
 
 
+#: Questions and vectors that are compared at once.
+QUESTION_BLOCK, VECTOR_BLOCK = 256, 2048
+
+
+def nearest_to_all(vectors: DataFrame, questions: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(question, key, score, place): the ``k`` nearest vectors of every question, exactly, the question itself included.
+
+    Questions and vectors are dealt into blocks of bounded size; each pair of blocks is one matrix product that
+    gives a block's best ``k``, of which the best over all blocks are kept.  Scores count to six places, ties by
+    key.  Rows of a null key or vector, and vectors of length zero, are left out.
+    """
+    kind = dict(vectors.dtypes)[key]
+
+    def dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
+        known = rows.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v"))
+        blocks = max(1, -(-known.count() // size))
+        return known.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("block")
+
+    def compare(batches):
+        for pdf in batches:
+            for asked, own in zip(pdf["asked"], pdf["own"]):
+                ids, sides = [], []
+                for rows in (asked, own):
+                    matrix = np.array([r["v"] for r in rows])
+                    length = np.sqrt((matrix * matrix).sum(axis=1))
+                    ids.append(np.array([r["id"] for r in rows])[length > 0])
+                    sides.append(matrix[length > 0] / length[length > 0, None])
+                scores = np.round(sides[0] @ sides[1].T, 6)
+                for question, line in zip(ids[0], scores):
+                    best = np.lexsort((ids[1], -line))[:k]
+                    yield pd.DataFrame({"question": question, key: ids[1][best], "score": line[best]})
+
+    pairs = dealt(questions, QUESTION_BLOCK, "asked").crossJoin(dealt(vectors, VECTOR_BLOCK, "own"))
+    found = pairs.mapInPandas(compare, f"question {kind}, {key} {kind}, score double")
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), key))
+    return found.withColumn("place", place.cast("long")).where(F.col("place") <= k)
+
+
 def best_passage(found: DataFrame, doc: str, passage: str) -> DataFrame:
     """The best passage of each document; of equal scores the first."""
     first = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), passage))

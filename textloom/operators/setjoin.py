@@ -10,6 +10,7 @@ the least hashes of the others.  Whatever meets in a prefix is verified on the c
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +51,12 @@ def texts_by_key(texts: DataFrame) -> DataFrame:
 
 
 def _counted_shingles(texts: DataFrame, threshold: float, width: int) -> DataFrame:
-    """(h, k, late, spare): the shingles of each text that may be in its prefix.
+    """(h, k, late, spare, early): the shingles of each text that may be in its prefix.
 
-    ``late`` marks those behind the counted ones; ``spare`` is the prefix's length less the text's rows.
+    ``late`` marks those behind the counted ones, of which the text has ``early``; ``spare`` is the prefix's length
+    less the text's rows.
     """
-    kind = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("late", pa.bool_()), ("spare", pa.int32())])
+    kind = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("late", pa.bool_()), ("spare", pa.int32()), ("early", pa.int32())])
 
     def run(batches):
         for batch in batches:
@@ -66,7 +68,7 @@ def _counted_shingles(texts: DataFrame, threshold: float, width: int) -> DataFra
                 early = hashes[first]
                 late = hashes[~first][: max(0, length - len(early))]
                 n = len(early) + len(late)
-                held.append((np.concatenate([early, late]), np.full(n, k), np.arange(n) >= len(early), np.full(n, length - n, np.int32)))
+                held.append((np.concatenate([early, late]), np.full(n, k), np.arange(n) >= len(early), np.full(n, length - n, np.int32), np.full(n, len(early), np.int32)))
                 size += n
                 if size > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], schema=kind)
@@ -76,7 +78,7 @@ def _counted_shingles(texts: DataFrame, threshold: float, width: int) -> DataFra
         held = None
         return_memory()
 
-    return texts.select("k", "text").mapInArrow(run, "h long, k long, late boolean, spare int")
+    return texts.select("k", "text").mapInArrow(run, "h long, k long, late boolean, spare int, early int")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -93,24 +95,32 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, threshold: float, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """((h, k, n), (k, n, shingles)): prefix shingles that several texts have, and the sets of these texts."""
+    """((h, k, n, pos), (k, n, shingles)): prefix shingles that several texts have, and the sets of these texts.
+
+    At least ``pos`` shingles of the text come before h in the order.
+    """
     rows = _counted_shingles(texts, threshold, width)
     counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
     # what is left out belongs to one text, comes first in the order, and takes up its part of the prefix
-    each = counted.groupBy("k", "spare").agg(F.count("*").cast("int").alias("common"), F.collect_list(F.struct("late", F.when(~F.col("late"), F.col("df")).alias("df"), "h")).alias("s"))
-    first = each.where("spare + common > 0").select("k", F.explode(F.slice(F.sort_array("s"), F.lit(1), F.col("spare") + F.col("common"))).alias("s"))
-    own = materialize(first.select("k", "s.h"), "prefixes")
+    each = counted.groupBy("k", "spare", "early").agg(F.count("*").cast("int").alias("common"), F.count_if(~F.col("late")).cast("int").alias("known"), F.collect_list(F.struct("late", F.when(~F.col("late"), F.col("df")).alias("df"), "h")).alias("s"))
+    first = each.where("spare + common > 0").select("k", (F.col("early") - F.col("known")).alias("before"), F.posexplode(F.slice(F.sort_array("s"), F.lit(1), F.col("spare") + F.col("common"))).alias("at", "s"))
+    own = materialize(first.select("k", "s.h", (F.col("before") + F.col("at")).alias("pos")), "prefixes")
     shared = own.groupBy("h").count().where("count > 1").select("h")
     met = materialize(own.join(shared, "h", "left_semi"), "met")
     sets = materialize(_sets(texts.join(met.select("k").distinct(), "k", "left_semi"), width), "sets")
-    out = materialize(met.join(sets.select("k", "n"), "k").select("h", "k", "n"), "buckets")
+    out = materialize(met.join(sets.select("k", "n"), "k").select("h", "k", "n", "pos"), "buckets")
     discard(own, met)
     return out, sets
 
 
 def _fitting(threshold: float):
-    """Sizes of two sets, xn and yn, that allow the similarity."""
-    return F.least("xn", "yn") >= F.greatest("xn", "yn") * F.lit(threshold) - F.lit(1e-9)
+    """Whether two texts with n shingles, that meet in one with pos others before it, can reach the similarity.
+
+    The first shingle that they share in the order leaves no more for them to share than what lies behind it, so a
+    pair that reaches the similarity passes with that one.
+    """
+    most = F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos"))
+    return most * (1 + threshold) >= (F.col("xn") + F.col("yn")) * threshold - 1e-9
 
 
 def verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -121,43 +131,71 @@ def verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return measured.where(F.col("similarity") >= threshold - 1e-9)
 
 
+def _side(met: DataFrame, key: str, x: str, *more) -> DataFrame:
+    return met.select("h", F.col("k").alias(key), F.col("n").alias(f"{x}n"), F.col("pos").alias(f"{x}pos"), *more)
+
+
 def all_pairs(texts: DataFrame, threshold: float, width: int = SHINGLE) -> DataFrame:
     """(a, b, similarity): every pair of different keys in ``texts(k, text)`` that reaches the threshold."""
     met, sets = prefixes(texts, threshold, width)
-    x, y = met.select("h", F.col("k").alias("a"), F.col("n").alias("xn")), met.select("h", F.col("k").alias("b"), F.col("n").alias("yn"))
-    candidates = materialize(x.join(y, "h").where((F.col("a") < F.col("b")) & _fitting(threshold)).select("a", "b").distinct(), "candidates")
+    both = _side(met, "a", "x").join(_side(met, "b", "y"), "h").where((F.col("a") < F.col("b")) & _fitting(threshold))
+    candidates = materialize(both.select("a", "b").distinct(), "candidates")
     return verified(candidates, sets, threshold)
 
 
+def _labelled(buckets: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """Rows of texts by shingle with a ``root``: the least neighbour in the links, or the text; equal roots are connected."""
+    if not links:
+        return buckets.withColumn("root", F.col("k"))
+    nearest = reduce(DataFrame.unionByName, links).groupBy(F.col("b").alias("k")).agg(F.min("a").alias("root"))
+    return materialize(buckets.join(nearest, "k", "left").withColumn("root", F.coalesce("root", "k")), "labelled")
+
+
+def _apart(rooted: DataFrame) -> DataFrame:
+    """(h, main): shingles whose texts have several roots, and the most frequent one."""
+    sizes = rooted.groupBy("h", "root").count().groupBy("h")
+    return sizes.agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
+
+
+def _star(rooted: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of each shingle's texts to its hub, of those outside the main root the one most like the others.
+
+    That is the text in which the least share of rarer shingles comes before: it has few of its own.
+    """
+    mixed = rooted.join(_apart(rooted), "h")
+    best = mixed.where("root <> main").groupBy("h").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "k", "n", "pos", "root")).alias("m"))
+    hubs = best.select("h", F.col("m.k").alias("a"), F.col("m.n").alias("xn"), F.col("m.pos").alias("xpos"), F.col("m.root").alias("p"))
+    met = rooted.select("h", F.col("k").alias("b"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("root").alias("q"))
+    pairs = met.join(hubs, "h").where((F.col("p") != F.col("q")) & (F.col("a") != F.col("b")) & _fitting(threshold))
+    return materialize(verified(pairs.select("a", "b").distinct(), sets, threshold).select("a", "b"), "near")
+
+
+#: Rounds of hubs before the texts that are still apart are compared in pairs.
+HUBS = 2
+
+
 def connecting_pairs(texts: DataFrame, components, threshold: float, width: int = SHINGLE, first: DataFrame | None = None) -> DataFrame:
     """(a, b): verified pairs that connect what all pairs would connect.
 
-    Each shared shingle first links its texts to the least of them.  ``components`` finds what these links
-    connect, and only texts of a shingle that are still apart are then compared: all those outside the
-    shingle's largest component with all others.  A large group of near copies is not squared.  Of ``first``,
-    candidates (a, b) that are known otherwise, those that reach the threshold are links from the start.
+    In a few rounds, each shared shingle links its texts to a hub.  ``components`` finds what the links connect,
+    and only texts of a shingle that are still apart are then compared: all those outside the shingle's largest
+    component with all others.  A large group of near copies that are like one of them is not squared.  Of ``first``, candidates (a, b) that
+    are known otherwise, those that reach the threshold are links from the start.
     """
     buckets, sets = prefixes(texts, threshold, width)
-    before = None
-    if first is not None:
-        before = materialize(verified(first.select("a", "b").distinct(), sets, threshold).select("a", "b"), "before")
-        known = materialize(components(before), "roots")
-        met = materialize(buckets.join(known.withColumnRenamed("node", "k"), "k", "left").select("h", "k", "n", F.coalesce("root", "k").alias("p")), "met")
-        discard(known)
-    else:
-        met = buckets.withColumn("p", F.col("k"))
-    least = met.groupBy("h").agg(F.min(F.struct("k", "n", "p")).alias("m")).select("h", F.col("m.k").alias("a"), F.col("m.n").alias("xn"), F.col("m.p").alias("ap"))
-    star = met.select("h", F.col("k").alias("b"), F.col("n").alias("yn"), F.col("p").alias("bp")).join(least, "h").where((F.col("ap") != F.col("bp")) & _fitting(threshold))
-    near = verified(star.select("a", "b").distinct(), sets, threshold).select("a", "b")
-    near = materialize(near if before is None else near.unionByName(before), "near")
+    links = [] if first is None else [materialize(verified(first.select("a", "b").distinct(), sets, threshold).select("a", "b"), "near")]
+    for _ in range(HUBS):
+        labelled = _labelled(buckets, links)
+        links.append(_star(labelled, sets, threshold))
+        discard(labelled)
+    near = materialize(reduce(DataFrame.unionByName, links), "near")
     roots = materialize(components(near), "roots")
-    rooted = materialize(met.join(roots.withColumnRenamed("node", "k"), "k", "left").select("h", "k", "n", F.coalesce("root", "k").alias("root")), "rooted")
-    groups = rooted.groupBy("h", "root").count().groupBy("h").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("apart")).where("apart > 1").select("h", "main")
-    mixed = materialize(rooted.join(groups, "h"), "mixed")
-    x = mixed.where("root <> main").select("h", F.col("k").alias("a"), F.col("n").alias("xn"), F.col("root").alias("p"))
-    y = mixed.select("h", F.col("k").alias("b"), F.col("n").alias("yn"), F.col("root").alias("q"))
+    rooted = materialize(buckets.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "rooted")
+    mixed = materialize(rooted.join(_apart(rooted), "h"), "mixed")
+    x = _side(mixed.where("root <> main"), "a", "x", F.col("root").alias("p"))
+    y = _side(mixed, "b", "y", F.col("root").alias("q"))
     rest = x.join(y, "h").where((F.col("p") != F.col("q")) & _fitting(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     far = materialize(verified(rest, sets, threshold).select("a", "b"), "far")
-    links = materialize(near.unionByName(far), "links")
-    discard(buckets, met, sets, near, roots, rooted, mixed, far, *([before] if before is not None else []))
-    return links
+    out = materialize(near.unionByName(far), "links")
+    discard(buckets, sets, *links, near, roots, rooted, mixed, far)
+    return out

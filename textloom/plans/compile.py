@@ -112,7 +112,7 @@ def count_in(clause: q.Clause, text: Column, folded: Column, options: Options) -
         return None if not words else Found(F.lit(0))
     if options.case_sensitive:
         raw = clause.text.strip()
-        pattern = rf"(?<![\p{{L}}\p{{N}}_]){quoted(raw)}(?![\p{{L}}\p{{N}}_])" if options.whole_word or len(words) > 1 else quoted(raw)
+        pattern = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]){quoted(raw)}(?![\p{{L}}\p{{M}}\p{{N}}_])" if options.whole_word or len(words) > 1 else quoted(raw)
         return Found(F.when(F.contains(text, F.lit(raw)), F.regexp_count(text, F.lit(pattern))).otherwise(F.lit(0)))
     exact = _count(folded, words, options.whole_word or len(words) > 1)
     if len(words) > 1 or isinstance(clause, q.Phrase):
