@@ -230,6 +230,12 @@ def test_links_against_all_pairs(spark, monkeypatch):
     assert roots == {n: r for n, r in roots_of(want, own).items() if n in roots} and set(roots) == {n for p in want for n in p}
 
 
+def test_exploded_segments_are_not_broadcast(spark):
+    links = simhash_mih.linked_fingerprints(spark.range(100).selectExpr("id * 7 as fp"))
+    joins = [line for line in links._jdf.queryExecution().executedPlan().toString().splitlines() if re.search(r"Join \[seg#\d+, key#\d+L, part#", line)]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(5, 5), (100, 101), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.connected_components(links).collect()}

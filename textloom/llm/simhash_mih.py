@@ -88,7 +88,8 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     probes = table.select("fp", "seg", "other", F.col("key").alias("own"), F.explode(F.concat(F.array("key"), flips)).alias("key"))
     left = _refine(probes.select("seg", "key", "other", F.struct("fp", (F.col("own") == F.col("key")).alias("same")).alias("fp")), hot)
     right = _refine(table, hot).select("seg", "key", "part", F.col("fp").alias("b"))
-    found = left.select("seg", "key", "part", F.col("fp.fp").alias("a"), "fp.same").join(right, ["seg", "key", "part"])
+    # the planner's size of a side leaves out the explosions, so it would broadcast many times its limit
+    found = left.select("seg", "key", "part", F.col("fp.fp").alias("a"), "fp.same").hint("merge").join(right.hint("merge"), ["seg", "key", "part"])
     # equal segments meet from both sides, so one order is enough; a flipped bit meets from one side only
     found = found.where((F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
