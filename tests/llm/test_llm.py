@@ -236,6 +236,13 @@ def test_exploded_segments_are_not_broadcast(spark):
     assert joins and all("SortMergeJoin" in line for line in joins)
 
 
+def test_kept_rows_are_not_broadcast(spark):
+    docs = documents(spark, ["a b", "c d", "c d"])
+    kept = spark.range(3).selectExpr("id as _kept_id", "id as _kept_tag", "id as _kept_n")
+    plan = simhash_mih.one_row_each(docs, kept, "doc_id", simhash_mih.row_tag("doc_id", "text"), "_kept_tag")
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(5, 5), (100, 101), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.connected_components(links).collect()}

@@ -139,9 +139,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def one_row_each(docs: DataFrame, kept: DataFrame, id_col: str, tag: Column, tag_name: str) -> DataFrame:
     """The rows of ``docs`` that ``kept(_kept_id, tag_name, _kept_n)`` names; of ``_kept_n`` equal ones, one.
 
-    Only rows that repeat are grouped again, the others are not shuffled for it.
+    Only rows that repeat are grouped again, the others are not shuffled for it.  ``kept`` has a row for each
+    group and grows with the table, so it is never broadcast.
     """
     at = docs[id_col].eqNullSafe(kept["_kept_id"]) & (tag == kept[tag_name])
-    single = docs.join(kept.where("_kept_n = 1"), at, "left_semi")
-    several = docs.join(kept.where("_kept_n > 1"), at).drop("_kept_n").dropDuplicates(["_kept_id", tag_name])
+    single = docs.join(kept.where("_kept_n = 1").hint("merge"), at, "left_semi")
+    several = docs.join(kept.where("_kept_n > 1").hint("merge"), at).drop("_kept_n").dropDuplicates(["_kept_id", tag_name])
     return single.unionByName(several.select(*docs.columns))
