@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -325,6 +326,34 @@ def test_likelihood_against_a_dense_form():
     assert {f for f in ordinal_quality.features("ab " + "!" * 40)} >= {b"wab", b"m" + b"!" * 40}
 
 
+def test_fit_needs_little_memory_beside_its_features():
+    pick = np.random.default_rng(5)
+    rows = [np.unique(pick.integers(0, 60_000, 1000)).astype(np.int32) for _ in range(2000)]
+    tracemalloc.start()
+    try:
+        ordinal_quality.fit(rows, pick.integers(0, 3, len(rows)), steps=2)
+        assert tracemalloc.get_traced_memory()[1] < 16 * sum(map(len, rows))
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("block", [1, 7, 40, 1000])
+def test_model_does_not_depend_on_blocks_or_partitions(spark, monkeypatch, block):
+    texts = [prose(n % 37, 5, n) for n in range(120)] + [prose(30, 5, 1)] * 5 + ["", None]
+    grades = [i % 3 for i in range(len(texts))]
+    buckets = [np.unique(np.array([ordinal_quality.bucket(f) for f in ordinal_quality.features(t)], np.int32)) for t in texts]
+    rows = sorted(zip(buckets, grades), key=lambda r: (r[0].tobytes(), r[1]))
+    rows, sorted_grades = [r for r, _ in rows], np.array([g for _, g in rows])
+    lone = [np.array([200_000 + i], np.int32) for i in range(3)]  # nothing of these is left
+    want, padded = ordinal_quality.fit(rows, sorted_grades), ordinal_quality.fit([*lone, *rows, *lone], np.array([0, 1, 2, *sorted_grades, 0, 1, 2]))
+    monkeypatch.setattr(ordinal_quality, "BLOCK", block)
+    table = spark.createDataFrame([(i, g) for i, g in enumerate(grades)], "id long, grade int")
+    got = ordinal_quality.train(documents(spark, texts).repartition(3), table)
+    assert want.weights.any() and (got.weights == want.weights).all() and (got.thresholds == want.thresholds).all()
+    again = ordinal_quality.fit([*lone, *rows, *lone], np.array([0, 1, 2, *sorted_grades, 0, 1, 2]))
+    assert (again.weights == padded.weights).all() and (again.thresholds == padded.thresholds).all()
+
+
 def test_labelled_features_are_bounded(spark):
     docs = documents(spark, [prose(40, 5, i) for i in range(60)])
     grades = spark.createDataFrame([(i, i % 3) for i in range(60)], "id long, grade int")

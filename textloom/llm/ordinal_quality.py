@@ -25,6 +25,8 @@ LABELLED_ROWS = 20_000
 #: And so many features of these together (four bytes each reach the driver), in the same order.
 LABELLED_FEATURES = 40_000_000
 BUCKETS = 1 << 18
+#: The fit goes through so many features at a time.
+BLOCK = 1 << 18
 #: Features of fewer labelled texts get no weight.
 LEAST_TEXTS = 8
 GRADES = 3
@@ -73,31 +75,64 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, step
 
     ``rows`` are buckets of each text.  Without rows, the model gives every text even odds.
     """
-    if not len(rows):
+    flat = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32, copy=False)
+    return fit_joined(flat, np.array([len(r) for r in rows], np.int64), grades, grades_n, steps, rate, ridge)
+
+
+def _blocks(sizes: np.ndarray) -> list[tuple[slice, slice]]:
+    """Consecutive rows of ``BLOCK`` features or, with the last row, less than a row more: their numbers and their features."""
+    ends, found, row, start = np.cumsum(sizes), [], 0, 0
+    while row < len(sizes):
+        last = min(int(np.searchsorted(ends, start + BLOCK)), len(sizes) - 1)
+        found.append((slice(row, last + 1), slice(start, int(ends[last]))))
+        row, start = last + 1, int(ends[last])
+    return found
+
+
+def fit_joined(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, grades_n: int = GRADES, steps: int = 200, rate: float = 0.1, ridge: float = 1.0) -> Model:
+    """:func:`fit` on the joined buckets of all texts, int32, which it overwrites, and their number in each text.
+
+    Beside ``flat`` it needs memory for one block of features and for a few numbers of each text and bucket.
+    """
+    n = len(sizes)
+    if not n:
         return Model(np.zeros(BUCKETS), np.zeros(grades_n - 1))
-    counts = np.bincount(np.concatenate(rows), minlength=BUCKETS)
-    number = np.full(BUCKETS, -1, np.int64)
+    blocks, counts = _blocks(sizes), np.zeros(BUCKETS, np.int64)
+    for _, part in blocks:
+        counts += np.bincount(flat[part], minlength=BUCKETS)
     used = np.flatnonzero(counts >= LEAST_TEXTS)
+    number = np.full(BUCKETS, -1, np.int32)
     number[used] = np.arange(len(used))
-    rows = [number[r][number[r] >= 0] for r in rows]
-    sizes, flat = np.array([len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
-    owner, n = np.repeat(np.arange(len(rows)), sizes), len(rows)
+    sizes, end = sizes.copy(), 0
+    for own, part in blocks:  # what stays moves forward only
+        renumbered = number[flat[part]]
+        known = renumbered >= 0
+        sizes[own] = np.bincount(np.repeat(np.arange(own.stop - own.start), sizes[own])[known], minlength=own.stop - own.start)
+        left = renumbered[known]
+        flat[end : end + len(left)] = left
+        end += len(left)
+    blocks = _blocks(sizes)
     above = np.array([(grades > j).mean() for j in range(grades_n - 1)]).clip(0.01, 0.99)
     first, gaps = -math.log(above[0] / (1 - above[0])), np.diff(np.log((1 - above) / above)).clip(0.1)
     params = np.concatenate([np.zeros(len(used)), [first], np.log(gaps)])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    each, k = np.arange(n), len(used)
+    each, k, score = np.arange(n), len(used), np.zeros(n)
     for step in range(1, steps + 1):
         gap = np.exp(params[k + 1 :])
         theta = params[k] + np.concatenate([[0], np.cumsum(gap)])
-        score = np.bincount(owner, params[:k][flat], minlength=n)
+        for own, part in blocks:
+            owner = np.repeat(np.arange(own.stop - own.start), sizes[own])
+            score[own] = np.bincount(owner, params[flat[part]], minlength=own.stop - own.start)
         tail = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(theta - score[:, None], -30, 30))), np.zeros((n, 1))], axis=1)
         slope = tail * (1 - tail)
         chance = np.maximum(tail[each, grades] - tail[each, grades + 1], 1e-9)
         by_score = -(slope[each, grades] - slope[each, grades + 1]) / chance
         # d/d theta_j: the tail of grade j + 1 falls with its threshold
         by_theta = np.array([((grades == j + 1) * slope[:, j + 1] / chance).sum() - ((grades == j) * slope[:, j + 1] / chance).sum() for j in range(grades_n - 1)])
-        gradient = np.concatenate([np.bincount(flat, by_score[owner], minlength=k) + ridge * params[:k], [by_theta.sum()], gap * np.cumsum(by_theta[::-1])[::-1][1:]]) / n
+        by_weight = np.zeros(k)
+        for own, part in blocks:  # adds in the order of the rows, whatever the blocks are
+            np.add.at(by_weight, flat[part].astype(np.intp), np.repeat(by_score[own], sizes[own]))
+        gradient = np.concatenate([by_weight + ridge * params[:k], [by_theta.sum()], gap * np.cumsum(by_theta[::-1])[::-1][1:]]) / n
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         params -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(BUCKETS)
@@ -135,10 +170,21 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
     sizes = got.groupBy("place").agg(F.sum("n").alias("n")).orderBy("place").collect()
     through = np.cumsum([r["n"] for r in sizes])
     fits = [r["place"] for r, t in zip(sizes, through) if t <= most]
-    rows = got.where(F.col("place") <= fits[-1]).select("buckets", "grade").collect() if fits else []
+    flat, lengths, found, end = np.empty(int(through[len(fits) - 1]) if fits else 0, np.int32), [], [], 0
+    if fits:
+        # in the order of buckets and grades, whatever the partitions: the fit's rounding follows the order.  Short keys make the ranges, since a sample of them reaches the driver
+        ranges = got.where(F.col("place") <= fits[-1]).select("buckets", "grade").repartitionByRange(F.substring("buckets", 1, 64))
+        for r in ranges.sortWithinPartitions("buckets", "grade").toLocalIterator():
+            own = np.frombuffer(r["buckets"], np.int32)
+            flat[end : end + len(own)] = own
+            lengths.append(len(own))
+            found.append(r["grade"])
+            end += len(own)
     discard(chosen, got)
-    rows.sort(key=lambda r: (bytes(r["buckets"]), r["grade"]))
-    return fit([np.frombuffer(r["buckets"], np.int32) for r in rows], np.array([r["grade"] for r in rows], np.int64))
+    model = fit_joined(flat, np.array(lengths, np.int64), np.array(found, np.int64))
+    del flat
+    return_memory()
+    return model
 
 
 class _Weights(dict):
