@@ -756,6 +756,20 @@ def test_pipeline_keeps_a_text_of_each_group_where_ids_repeat(spark):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
 
 
+def test_bpe_holds_the_pieces_of_few_texts_at_a_time():
+    coder, texts = bpe_duckdb.Coder.of(RANKS, public_tokenizers.PATTERN), [prose(4000, 20, i) for i in range(40)]
+    want = coder.encode(texts)
+    tracemalloc.start()
+    try:
+        got = coder.encode(texts)
+        assert tracemalloc.get_traced_memory()[1] < 8 * sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+    alone = [coder.encode([t])[0] for t in texts]
+    assert all((a == b).all() and (a == c).all() for a, b, c in zip(want, got, alone)) and coder.decode(want) == [t.encode() for t in texts]
+    assert [len(x) for x in coder.encode(["", ""])] == [0, 0]
+
+
 def test_bpe_of_very_long_words():
     """Cut words, neighbourhoods, runs of equal pairs, and ranks below those of their parts, against the library."""
     import tiktoken

@@ -40,6 +40,8 @@ CACHE_WORDS, CACHE_PIECES = 300_000, 100_000
 #: Bytes of text that are encoded together, ids that are decoded together, token rows of a recursion,
 #: and rows over all its steps.
 BATCH_BYTES, DECODE_IDS, QUERY_ROWS, STEP_ROWS = 4 << 20, 1 << 18, 100_000, 2_000_000
+#: Characters of texts whose pieces are strings at the same time.
+CUT_CHARS = 1 << 18
 #: Bytes of a word that is not cut, and of a part that contracts one pair in a step.
 LONG_WORD, LONG_PART = 48, 256
 #: Of DuckDB, for rows of ordinary size; a part of more bytes gets ROW_BYTES for each.
@@ -263,13 +265,20 @@ class Coder:
         if len(self.pieces) > CACHE_PIECES:
             self.old_pieces, self.pieces = self.pieces, {}
         known, old = self.pieces, self.old_pieces
-        cut = [cut_text(t) if self.cut else [t] for t in texts]
-        coded = pa.array(chain.from_iterable([c[1:] for c in cut]), pa.large_string()).dictionary_encode()
-        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # the strings of a few texts at a time, since those of all pieces are many times their text
+        heads, counts, coded = [], [], [pa.array([], pa.large_string()).dictionary_encode()]
+        for some in _text_groups(texts):
+            cut = [cut_text(t) if self.cut else [t] for t in some]
+            heads += [c[0] for c in cut]
+            counts += [len(c) - 1 for c in cut]
+            coded.append(pa.array(chain.from_iterable([c[1:] for c in cut]), pa.large_string()).dictionary_encode())
+            del cut
+        coded = pa.chunked_array(coded).unify_dictionaries()
+        pieces, at = coded.chunk(0).dictionary.to_pylist(), np.concatenate([c.indices.to_numpy() for c in coded.chunks])
         missing = [x for x in pieces if x not in known]
         known |= {x: old[x] for x in missing if x in old}
         new = {x: [w for part in with_lead(x) for w in self._split(part)] for x in missing if x not in known}
-        first = [self._split(c[0]) for c in cut]
+        first = [self._split(h) for h in heads]
         self.learn(set(chain(chain.from_iterable(new.values()), chain.from_iterable(first))))
         words = self.words
         for piece, parts in new.items():
@@ -279,9 +288,9 @@ class Coder:
         sizes = np.array([len(x) >> 2 for x in blobs], np.int64)
         lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(blobs), "<u4")))
         flat = lists.take(pa.array(at)).flatten().to_numpy()
-        through = np.concatenate([[0], np.cumsum(sizes[at])])[np.concatenate([[0], np.cumsum([len(c) - 1 for c in cut])])]
-        heads = [np.frombuffer(b"".join([words[x] for x in f]), "<u4") for f in first]
-        return [np.concatenate([head, flat[a:b]]) for head, a, b in zip(heads, through, through[1:])]
+        through = np.concatenate([[0], np.cumsum(sizes[at])])[np.concatenate([[0], np.cumsum(counts)])]
+        leads = [np.frombuffer(b"".join([words[x] for x in f]), "<u4") for f in first]
+        return [np.concatenate([lead, flat[a:b]]) for lead, a, b in zip(leads, through, through[1:])]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids, by ordered aggregation."""
@@ -304,6 +313,17 @@ class Coder:
         return [b"".join(x) for x in out]
 
 
+def _text_groups(texts: list[str], most: int = CUT_CHARS):
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= most:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
 def _text_slices(batch, most: int = BATCH_BYTES):
     at, size = 0, 0
     for i, text in enumerate(batch.column(1)):
