@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.session import ship_package
 
-from . import bpe_duckdb, chat_format, decontaminate, flac_media, line_dedup, ordinal_quality, simhash_mih, token_files, url_reputation, warc_zstd
+from . import bpe_duckdb, chat_format, decontaminate, drake_clusters, flac_media, line_dedup, ordinal_quality, pu_toxicity, simhash_mih, token_files, url_reputation, warc_zstd, whitening
 from .shared import read_table
 
 #: Where the vocabularies are; the environment may name another folder.
@@ -62,6 +62,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_report(spark, chat_format.with_control_strings(read_table(spark, sf_dir, "conversations")))
 
 
+def op11_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake_clusters.cluster_report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -75,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_files, op2_line_dedup, op3_url_reputation, op4_warc_zstd, op5_simhash_near_dedup,
         op6_ordinal_quality, op7_decontamination, op8_bpe_duckdb, op9_flac_media, op10_chat_format,
+        op11_drake_clusters, op12_whitening, op13_pu_toxicity,
     )
 }
 
@@ -84,4 +97,5 @@ ORACLES: dict[str, str] = {
     "op4_warc_zstd": warc_zstd.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
+    "op11_drake_clusters": drake_clusters.oracle(),
 }
