@@ -27,7 +27,7 @@ LABELLED_FEATURES = 40_000_000
 BUCKETS = 1 << 18
 #: The fit goes through so many features at a time.
 BLOCK = 1 << 18
-#: Features of fewer labelled texts get no weight.
+#: Features of fewer labelled texts get no weight: in a few texts a word says nothing of others.
 LEAST_TEXTS = 8
 GRADES = 3
 #: A text is kept if the probability of the highest grade is at least this.
@@ -70,13 +70,13 @@ class Model:
         return [1 / (1 + math.exp(min(700.0, max(-700.0, t - score)))) for t in self.thresholds]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, steps: int = 200, rate: float = 0.1, ridge: float = 1.0) -> Model:
+def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, steps: int = 200, rate: float = 0.1, ridge: float = 1.0, least: int = LEAST_TEXTS) -> Model:
     """Maximum likelihood with a ridge, by full-batch Adam; the same rows give the same model.
 
-    ``rows`` are buckets of each text.  Without rows, the model gives every text even odds.
+    ``rows`` are buckets of each text; those of fewer than ``least`` texts get no weight.  Without rows, the model gives every text even odds.
     """
     flat = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32, copy=False)
-    return fit_joined(flat, np.array([len(r) for r in rows], np.int64), grades, grades_n, steps, rate, ridge)
+    return fit_joined(flat, np.array([len(r) for r in rows], np.int64), grades, grades_n, steps, rate, ridge, least)
 
 
 def _blocks(sizes: np.ndarray) -> list[tuple[slice, slice]]:
@@ -89,7 +89,7 @@ def _blocks(sizes: np.ndarray) -> list[tuple[slice, slice]]:
     return found
 
 
-def fit_joined(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, grades_n: int = GRADES, steps: int = 200, rate: float = 0.1, ridge: float = 1.0) -> Model:
+def fit_joined(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, grades_n: int = GRADES, steps: int = 200, rate: float = 0.1, ridge: float = 1.0, least: int = LEAST_TEXTS) -> Model:
     """:func:`fit` on the joined buckets of all texts, int32, which it overwrites, and their number in each text.
 
     Beside ``flat`` it needs memory for one block of features and for a few numbers of each text and bucket.
@@ -100,7 +100,7 @@ def fit_joined(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, grades_n
     blocks, counts = _blocks(sizes), np.zeros(BUCKETS, np.int64)
     for _, part in blocks:
         counts += np.bincount(flat[part], minlength=BUCKETS)
-    used = np.flatnonzero(counts >= LEAST_TEXTS)
+    used = np.flatnonzero(counts >= least)
     number = np.full(BUCKETS, -1, np.int32)
     number[used] = np.arange(len(used))
     sizes, end = sizes.copy(), 0
@@ -157,10 +157,11 @@ def _bucket_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1), batch.column(2)], ["n", "buckets", "grade", "place"])
 
 
-def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS, most: int = LABELLED_FEATURES) -> Model:
+def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS, most: int = LABELLED_FEATURES, least: int = LEAST_TEXTS) -> Model:
     """Fit a model on at most ``rows`` rows of ``grades(id, grade)`` that have a text, and ``most`` features.
 
-    Rows are taken by the hash of their id.  A null text counts as an empty one; ids that several documents
+    Rows are taken by the hash of their id, the first whatever its size.  Features of fewer than ``least`` of these
+    texts get no weight.  A null text counts as an empty one; ids that several documents
     share give a row for each.  Without a labelled document the model gives even odds.
     """
     chosen = materialize(grades.orderBy(F.xxhash64("id"), "id").limit(rows), "labelled")
@@ -169,7 +170,7 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
     got = materialize(labelled.mapInArrow(_bucket_batches, "n long, buckets binary, grade int, place long"), "labelled-features")
     sizes = got.groupBy("place").agg(F.sum("n").alias("n")).orderBy("place").collect()
     through = np.cumsum([r["n"] for r in sizes])
-    fits = [r["place"] for r, t in zip(sizes, through) if t <= most]
+    fits = [r["place"] for k, (r, t) in enumerate(zip(sizes, through)) if t <= most or k == 0]
     flat, lengths, found, end = np.empty(int(through[len(fits) - 1]) if fits else 0, np.int32), [], [], 0
     if fits:
         # in the order of buckets and grades, whatever the partitions: the fit's rounding follows the order.  Short keys make the ranges, since a sample of them reaches the driver
@@ -181,7 +182,7 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
             found.append(r["grade"])
             end += len(own)
     discard(chosen, got)
-    model = fit_joined(flat, np.array(lengths, np.int64), np.array(found, np.int64))
+    model = fit_joined(flat, np.array(lengths, np.int64), np.array(found, np.int64), least=least)
     del flat
     return_memory()
     return model
@@ -221,7 +222,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labelled rows of ``docs`` and score all of it."""
+    """Fit on the labelled rows of ``docs`` and score all of it.
+
+    Null texts are empty ones, repeated rows and null ids stay, an empty table stays empty, and without labels every
+    text has even odds; see :func:`train` and :func:`score`.
+    """
     return score(docs, train(docs, graded(labels)))
 
 

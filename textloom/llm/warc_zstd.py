@@ -102,26 +102,35 @@ def write_archive(stream, records) -> int:
     return n
 
 
+#: Bytes that are read, and given to the decompressor, at a time; what a frame leaves of the latter is copied.
+READ_BYTES, FEED_BYTES = 1 << 20, 1 << 14
+
+
 def read_archive(stream):
-    """Yield the records of an open archive, one frame at a time."""
-    magic, size = struct.unpack("<II", stream.read(8))
+    """Yield the records of an open archive, one frame at a time.
+
+    An archive that ends within its head, its dictionary or a record is an error, not a shorter archive.
+    """
+    head = stream.read(8)
+    magic, size = struct.unpack("<II", head) if len(head) == 8 else (None, 0)
     if magic != DICTIONARY_FRAME:
         raise ValueError("the archive does not begin with a dictionary")
-    open_up = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(stream.read(size)))
-    held, more = b"", True
-    frame = open_up.decompressobj()
-    out: list[bytes] = []
-    while True:
-        if not held:
-            held = stream.read(1 << 20)
-            if not held:
-                break
-        out.append(frame.decompress(held))
-        held = frame.unused_data if frame.eof else b""
-        if frame.eof:
-            yield b"".join(out)
-            out, frame = [], open_up.decompressobj()
-    if any(out) or not more:
+    content = stream.read(size)
+    if len(content) < size:
+        raise ValueError("the archive ends within its dictionary")
+    open_up = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
+    frame, out, begun = open_up.decompressobj(), [], False
+    while whole := stream.read(READ_BYTES):
+        view = memoryview(whole)
+        for at in range(0, len(view), FEED_BYTES):
+            held = view[at : at + FEED_BYTES]
+            while held:
+                out.append(frame.decompress(held))
+                begun, held = not frame.eof, frame.unused_data if frame.eof else b""
+                if frame.eof:
+                    yield b"".join(out)
+                    out, frame = [], open_up.decompressobj()
+    if begun:
         raise ValueError("the archive ends within a record")
 
 
@@ -179,23 +188,29 @@ def _read_batches(batches, keep_payload: bool):
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
     kind = pa.schema([*fields, *([("payload", pa.binary())] if keep_payload else [])])
     for batch in batches:
-        for path in batch.column(0):
-            filesystem, name = open_fs(path.as_py())
-            rows, size = [], 0
+        for path, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            filesystem, name = open_fs(path)
+            rows, size, n = [], 0, 0
             with filesystem.open_input_stream(name, compression=None) as stream:
                 for raw in read_archive(stream):
                     rows.append(parse_record(raw))
-                    size += len(raw)
+                    size, n = size + len(raw), n + 1
                     if size > 8 << 20 or len(rows) >= 4096:
                         yield pa.RecordBatch.from_pylist(rows, kind)
                         rows, size = [], 0
+            if n != wanted:
+                raise ValueError(f"{path} has {n} records, not {wanted}")
             yield pa.RecordBatch.from_pylist(rows, kind)
 
 
 def read_warc(index: DataFrame, keep_payload: bool = True) -> DataFrame:
-    """The records of the archives in ``index``, one task for each file; a revisit has no payload."""
+    """The records of the archives in ``index(path, n_records)``, one task for each file; a revisit has no payload.
+
+    An archive that is missing, cut, or holds another number of records than the index says is an error; so is a
+    payload that does not fit its digest.  An empty index gives no rows.
+    """
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * keep_payload
-    return one_task_each(index.select("path")).mapInArrow(partial(_read_batches, keep_payload=keep_payload), schema)
+    return one_task_each(index.select("path", "n_records")).mapInArrow(partial(_read_batches, keep_payload=keep_payload), schema)
 
 
 def archive_report(spark: SparkSession, pages: DataFrame) -> DataFrame:
