@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import detectors, text
-from .operators import dupes, filters, matching, meaning, search
+from .operators import dupes, filters, intervals, matching, meaning, search
 from .operators.search import SearchRequest
 from .plans import query as q
 from .plans.compile import Options, Source, compile_query
-from .session import new_path, ship_package
+from .session import delete_path, new_path, ship_package
 from .sources import incremental, kinds
-from .store.index import SearchIndex, build_index
-from .streaming import alerts
+from .store.index import SearchIndex, _asked, build_index
+from .streaming import alerts, changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,18 +133,41 @@ def like_word(spark, d):
     return found(spark, d, "LIKE that")
 
 
-_W = r"[^\p{L}\p{N}_]"
+def _near(terms: list[str], chars: int) -> str:
+    """Occurrences of each term that have one of every other term within so many characters of the folded text."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return (
+        rf"WITH {_T}, g AS (SELECT doc_id, toks, regexp_split_to_array(f, '[\p{{L}}\p{{N}}_]+') AS gaps FROM t WHERE len(toks) > 0), u AS (SELECT doc_id, unnest(toks) AS w, unnest(gaps[1:len(toks)]) AS gap, unnest(range(len(toks))) AS i FROM g), "
+        "o AS (SELECT doc_id, w, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u), s AS (SELECT doc_id, w, e - length(w) AS s, e FROM o "
+        f"WHERE w IN ({listed})), m AS (SELECT DISTINCT a.doc_id, a.w, a.s, b.w AS other FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.w <> b.w AND greatest(b.s - a.e, a.s - b.e) <= {chars}) "
+        f"SELECT doc_id, count(*) AS matches FROM (SELECT doc_id, w, s FROM m GROUP BY ALL HAVING count(*) = {len(terms) - 1}) GROUP BY doc_id"
+    )
 
 
-def _near(a: str, b: str, n: int) -> str:
-    return rf"(?s)(?:^|{_W}){a}{_W}(?:.{{0,{n - 2}}}{_W})?{b}(?:{_W}|$)"
-
-
-@query(f"WITH {_T} SELECT doc_id, 1 AS matches FROM t WHERE regexp_matches(f, '{_near('with', 'from', 60)}') OR regexp_matches(f, '{_near('from', 'with', 60)}')")
+@query(_near(["with", "from"], 60))
 def near_words(spark, d):
     return found(spark, d, "with NEAR:60 from")
 
 
+@query(_near(["with", "from", "that"], 200))
+def near_chain(spark, d):
+    return found(spark, d, "with NEAR:200 from NEAR:250 that")
+
+
+@query(
+    rf"WITH {_T}, l AS (SELECT doc_id, unnest(string_split(f, chr(10))) AS line, unnest(range(len(string_split(f, chr(10))))) AS n FROM t) "
+    r"SELECT doc_id, n AS line, len(list_filter(regexp_extract_all(line, '[\p{L}\p{N}_]+'), lambda x: x = 'the')) AS spans FROM l WHERE spans > 0"
+)
+def line_hits(spark, d):
+    """The lines of each text, as boxes, with the number of spans of a word that lie in them: an overlap join by places."""
+    index = indexed(spark, d)
+    spans = index.occurrences([_asked(q.Word("the"), Options(), False)])
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(text.fold(F.col("text")), "\n", -1)).alias("line", "t"))
+    end = F.sum(F.length("t") + 1).over(Window.partitionBy("doc_id").orderBy("line")) - 1
+    boxes = lines.select("doc_id", "line", (end - F.length("t")).alias("start"), end.alias("end"))
+    return intervals.near_pairs(boxes, spans.select("doc_id", "start", "end"), ["doc_id"], overlap=True).groupBy("doc_id", F.col("l_line").cast("long").alias("line")).agg(F.count("*").alias("spans"))
+
+
 @query(
     r"WITH t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(array_to_string(string_split(coalesce(text, ''), chr(10))[2:3], chr(10)))), '[\p{L}\p{N}_]+') AS toks FROM documents) "
     f"SELECT doc_id, {_n('the')} AS matches FROM t WHERE matches > 0"
@@ -492,6 +515,71 @@ def alert_new_once(spark, d):
     return alerts.announce_once(errors, ["user_id", "event_type"], "event_id")
 
 
+#: Users as documents, whose events say that they match an alert, are gone, or are merely written.
+_ALERTS = {"errors": "error", "sales": "purchase"}
+_NEWS = (
+    "r AS (SELECT CASE event_type WHEN 'error' THEN 'errors' WHEN 'purchase' THEN 'sales' END AS alert, user_id::VARCHAR AS document, ts, event_id, false AS gone FROM events WHERE event_type IN ('error', 'purchase') "
+    "UNION ALL SELECT unnest(['errors', 'sales']), user_id::VARCHAR, ts, event_id, true FROM events WHERE event_type = 'signup'), "
+    "l AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY alert, document ORDER BY ts, event_id), true) AS before FROM r), "
+    "n AS (SELECT alert, document, event_id AS seq, ts, CASE WHEN gone THEN 'forgotten' ELSE 'announced' END AS news FROM l WHERE before <> gone) "
+)
+
+
+def _event_rows(events: DataFrame) -> DataFrame:
+    rows = events.select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), "event_type")
+    return changes.alert_rows(rows, {a: F.col("event_type") == e for a, e in _ALERTS.items()}, gone=F.col("event_type") == "signup")
+
+
+def _event_log(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
+    """The log of a stream over ``events`` that arrives in batches by time; the stream stops after each and starts again."""
+    own, events = changes.state_session(spark), table(spark, d, "events")
+    arriving, log, checkpoint = (new_path(spark, f"events-{x}") for x in ("arriving", "log", "checkpoint"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(micros, [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events.where((F.lit(True) if low is None else micros > low) & (F.lit(True) if high is None else micros <= high))
+        part.write.mode("append").parquet(arriving)
+        stream = own.readStream.schema(events.schema).parquet(arriving)
+        changes.write_log(changes.announcements(_event_rows(stream)), log, checkpoint).awaitTermination()
+    delete_path(spark, arriving)
+    return spark.read.schema(changes.LOG).parquet(log)
+
+
+@query(f"WITH {_NEWS} SELECT alert, document, seq, news FROM n")
+def alert_stream(spark, d):
+    return _event_log(spark, d).select("alert", "document", "seq", "news")
+
+
+@query(
+    f"WITH {_NEWS}, m AS (SELECT alert, document, arg_max(news, (ts, seq)) AS news, max(ts) AS ts FROM n GROUP BY ALL), k AS (SELECT CASE event_type WHEN 'error' THEN 'errors' ELSE 'sales' END AS alert, make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS read FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1) "
+    "SELECT alert, document, ts > read AS fresh FROM m JOIN k USING (alert) WHERE news = 'announced'"
+)
+def alert_fresh(spark, d):
+    """What the alerts have seen at the end, by a window over the whole log; a user looked at each halfway between its first and last match."""
+    rows = _event_rows(table(spark, d, "events"))
+    middle = F.expr("(unix_micros(min(at)) + unix_micros(max(at))) div 2")
+    reads = rows.where("kind = 'matches'").groupBy("alert").agg(F.timestamp_micros(middle).alias("at"))
+    return changes.seen_documents(changes.announced_so_far(rows), reads).select("alert", "document", "fresh")
+
+
+@query(
+    "WITH p AS (SELECT page_id, array_to_string(string_split(url, '/')[3:], '/') AS path, length(html) AS size, coalesce(toxic, 0) AS toxic, coalesce(quality, 1) AS quality, page_id % 4 AS part FROM pages LEFT JOIN labels ON page_id = doc_id), "
+    "m AS (SELECT path, sum(size)::BIGINT AS size, max(toxic) AS toxic, min(quality) AS quality FROM p GROUP BY path), "
+    "r AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:2], '/') AS folder FROM m WHERE quality = 0) "
+    "SELECT path, CASE WHEN quality = 0 THEN 'removed' ELSE 'changed' END AS action FROM m WHERE array_to_string(string_split(path, '/')[1:2], '/') IN (SELECT folder FROM r) AND len(string_split(path, '/')) >= 2 AND (quality = 0 OR toxic = 1) "
+    "UNION ALL SELECT path, 'removed' FROM m WHERE len(string_split(path, '/')) < 2 AND quality = 0"
+)
+def change_resolution(spark, d):
+    """Pages as files by their hosts and paths.  Those of low quality are gone, toxic ones have another size, and the folders of the former are reported."""
+    pages = table(spark, d, "pages").join(table(spark, d, "labels").withColumnRenamed("doc_id", "page_id"), "page_id", "left")
+    path = F.array_join(F.slice(F.split("url", "/", -1), 3, 2**30), "/")
+    files = pages.groupBy(path.alias("path")).agg(F.sum(F.length("html")).alias("size"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
+    files = files.select(F.lit("web").alias("site_id"), "path", "size", "toxic", "quality", F.lit(0).cast("long").alias("modified"))
+    manifest, there = files.select("site_id", "path", "size", "modified"), files.where("quality = 1").select("site_id", "path", (F.col("size") + F.col("toxic")).alias("size"), "modified", F.lit(False).alias("excluded"))
+    reports = files.where("quality = 0").select("site_id", F.array_join(F.slice(F.split("path", "/", -1), 1, 2), "/").alias("path"), F.lit(False).alias("rescan"))
+    return changes.resolve_reports(reports, there, manifest).select("path", "action")
+
+
 @query()
 def passages_split(spark, d):
     return meaning.passages(documents(spark, d)).select("path", "passage", "start", "end", "text")

@@ -10,28 +10,25 @@ import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .operators.filters import parse_date, parse_size, until_date
 from .operators.search import LIMIT, SCAN_LIMIT, SearchRequest, hits, live_scan
 from .plans.compile import InvalidQuery
 from .session import ship_package
 from .sinks.export import COLUMNS, csv_cell, result_rows
-from .sources.extract import SEPARATOR, extract_files
+from .sources.extract import extract_files
 from .store.catalog import Catalog
+from .store.index import SearchIndex, _generations, _has
+from .store.sync import documents_of_files, sync_folder
 
 
 def extracted_documents(spark: SparkSession, root: str, site_id: str = "") -> DataFrame:
     """The documents table of a folder."""
-    from .functions.langid import language
-
-    rows = extract_files(spark, root).where("skipped is null")
-    path = F.when(F.col("inner").isNotNull(), F.concat("path", F.lit(SEPARATOR), "inner")).otherwise(F.col("path"))
-    name = F.regexp_extract(path, r"([^/›]*)$", 1)
-    return rows.select(
-        F.lit(site_id).alias("site_id"), path.alias("path"), F.col("path").alias("file"), "inner", F.trim(name).alias("name"), F.array_distinct(F.array(F.trim(name), F.regexp_extract("path", "([^/]*)$", 1))).alias("name_raw"),
-        "kind", language(F.col("text")).alias("lang"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("modified", F.lit(0)).alias("modified"), F.lit(0).cast("long").alias("created"), F.coalesce("text", F.lit("")).alias("body"),
-    )
+    return documents_of_files(extract_files(spark, root), site_id)
+
+
+def is_index(spark: SparkSession, folder: str) -> bool:
+    return _has(spark, f"{folder}/g000000") or bool(_has(spark, folder) and _generations(spark, folder))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -40,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("search", "scan"):
         p = sub.add_parser(name)
         p.add_argument("query")
-        p.add_argument("where", help="a Parquet documents table, or a folder for scan")
+        p.add_argument("where", help="an index or a Parquet documents table, or a folder for scan")
         for flag in ("--regex", "--fuzzy", "--case", "--partial", "--name-only"):
             p.add_argument(flag, action="store_true")
         for option in ("--kind", "--lang", "--detect"):
@@ -51,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--format", choices=("text", "json", "jsonl", "csv"), default="text")
     p = sub.add_parser("index")
     p.add_argument("folder")
-    p.add_argument("table")
+    p.add_argument("index", help="the folder of the index; only what changed since the last time is read")
     p.add_argument("--site", default="site")
     p = sub.add_parser("sites")
     p.add_argument("catalog")
@@ -87,14 +84,13 @@ def main(argv: list[str] | None = None) -> int:
     ship_package(spark)
     try:
         if args.command == "index":
-            extracted_documents(spark, args.folder, args.site).write.mode("overwrite").partitionBy("site_id").parquet(args.table)
+            sync_folder(spark, args.folder, args.index, args.site)
             return 0
         request = request_of(args)
-        docs = extracted_documents(spark, args.where) if args.command == "scan" else spark.read.parquet(args.where)
         if args.command == "search":
-            listed = result_rows(hits(docs, request))
+            listed = result_rows(SearchIndex(spark, args.where).hits(request) if is_index(spark, args.where) else hits(spark.read.parquet(args.where), request))
         else:
-            listed = live_scan(docs, request, args.limit).select(*[c for c in COLUMNS if c != "snippet"])
+            listed = live_scan(extracted_documents(spark, args.where), request, args.limit).select(*[c for c in COLUMNS if c != "snippet"])
         rows = [r.asDict(recursive=True) for r in listed.collect()]  # at most the limit's rows
     except (InvalidQuery, ValueError) as error:
         print(error, file=sys.stderr)

@@ -152,7 +152,11 @@ def score_bm25(docs: DataFrame, found: DataFrame, words: list[str], body: str =
 
 def hits(docs: DataFrame, request: SearchRequest, most_snippets: int = 2) -> DataFrame:
     """The hits of a search with spans and snippets, which are made for the listed rows only."""
-    listed = search(docs, request)
+    return with_snippets(search(docs, request), request, most_snippets)
+
+
+def with_snippets(listed: DataFrame, request: SearchRequest, most_snippets: int = 2) -> DataFrame:
+    """Listed documents with ``body``, as result rows with spans and snippets."""
     spans = match_spans(F.col("body"), request.parsed(), request.options, F.col("lang"))
     return listed.withColumn("spans", spans).withColumn("snippets", snippet_column(F.col("body"), F.col("spans"), most_snippets)).select(
         "site_id", "path", "file", "inner", "name", "kind", "lang", "size", "modified", "score", "exact", "matches", "spans", "snippets"

@@ -560,8 +560,15 @@ def crawl(spark: SparkSession, root: str, exclusions: list[str] | None = None) -
     return rows.where(~excluded(F.col("relative"), exclusions or []))
 
 
-def extract_files(spark: SparkSession, root: str, exclusions: list[str] | None = None) -> DataFrame:
-    """The documents of every readable file below a root; a skipped file has one row with its reason."""
-    wanted = crawl(spark, root, exclusions).select("path")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+#: Up to so many wanted files are opened by name; of more, the whole folder is read and the others dropped.
+NAMED_FILES = 10_000
+
+
+def extract_files(spark: SparkSession, root: str, exclusions: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The documents of every readable file below a root, or of those of ``only(path)``; a skipped file has one row with its reason."""
+    wanted = crawl(spark, root, exclusions).select("path") if only is None else only.select("path")
+    named = [] if only is None else [re.sub(r"([\[\]{}*?,\\])", r"\\\1", r["path"]) for r in wanted.limit(NAMED_FILES + 1).collect()]  # names are not patterns
+    if only is not None and not named:
+        return spark.createDataFrame([], SCHEMA)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(named if 0 < len(named) <= NAMED_FILES else root).select("path", "content")
     return files.join(wanted, "path", "left_semi").mapInPandas(_extract_batches, SCHEMA)

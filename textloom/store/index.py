@@ -1,11 +1,15 @@
-"""A word index: postings clustered by token, a dictionary with stems, and documents without their bodies.
+"""A word index: postings clustered by token, ways from spellings to tokens, and documents without their bodies.
 
-``postings`` (token, raw, lang, site_id, doc_id, tf, positions) are ranged and sorted by token, so that a search
-for a few tokens reads the row groups that hold them.  ``dictionary`` (lang, raw, token, df, stem, core) has each
-spelling once; partial words, typos and inflections are looked up there and come to the postings as tokens.
+``postings`` (token, raw, lang, site_id, doc_id, named, tf, positions, starts) are ranged and sorted by token and
+document, so that a search for a few tokens reads the row groups that hold them; words of a document's name are
+``named``, and ``starts`` are characters of the folded text.  ``dictionary`` (lang, raw, token, df, stem, core) has each
+spelling once.  ``grams`` (gram, pos, length, token) are the trigrams of the tokens, padded at both ends: partial words
+and typos find their candidates there.  ``stems`` (stem, lang, raw, token, core) does so for inflected forms.
 ``documents`` has everything of a document but its text, and its ``length`` in tokens; ``sites`` the number and the
-mean length of each site's documents.  A batch of changes is a further generation of these tables.  Word, phrase, term-list and boolean searches, BM25, facets and reports run
-on these tables; regular expressions, NEAR, LINES, detectors and exact case read texts instead.
+mean length of each site's documents.  A batch of changes is a further generation of these tables; generations of
+about one size are merged, so that a read meets a logarithmic number of them.  Word, phrase, term-list and boolean
+searches, NEAR, BM25, facets and reports run on these tables; regular expressions, LINES, detectors and exact case read
+texts instead, which an index can keep as ``bodies`` (doc_id, body).
 """
 
 from __future__ import annotations
@@ -15,15 +19,17 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stem import stem
 from ..functions.text import MAX_TOKEN_BYTES, WORD, core_length, fold, fold_text, fuzzy_distance, split_words, stem_input, with_lam
-from ..operators.search import B, K1, SearchRequest
+from ..operators.intervals import mutual_counts
+from ..operators.search import B, K1, SearchRequest, hits, with_snippets
 from ..plans import query as q
 from ..plans.compile import APPROXIMATE_ONLY, CONTAINS_BOOST, FUZZY_BOOST, NAME_BOOST, STEM_BOOST, Options, count_in
+from ..session import delete_path, materialize
 
 #: A spelling: a word character, then word characters and marks.
 RAW = rf"([{WORD}][{WORD}\p{{M}}]*)"
@@ -42,52 +48,121 @@ def _cores(token: pd.Series) -> pd.Series:
     return token.map(core_length)
 
 
-def _write_generation(docs: DataFrame, folder: str, number: int, body: str, key: str) -> str:
+#: Length of the pieces of tokens by which spellings are found, and what stands before and behind a token.
+GRAM, BEFORE, BEHIND = 3, "\x02", "\x03"
+#: So many neighbouring generations of one size class are merged; each class is so many times the one below.
+TIER = 4
+#: Removed documents up to this number are broadcast, ids of eight bytes or a path each.
+BROADCAST_REMOVED = 100_000
+#: Places of words of the name begin here, so that no phrase runs from the name into the text.
+NAME_PLACES = 1 << 30
+
+
+def _write_postings(postings: DataFrame, path: str) -> DataFrame:
+    """Postings in order; a token of very many documents lies in several ranges."""
+    postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    return postings.sparkSession.read.schema(postings.schema).parquet(f"{path}/postings")
+
+
+def _write_spellings(words: DataFrame, path: str) -> None:
+    """The dictionary of ``words(lang, raw, token, df, stem, core)`` and the tables by which its tokens are found."""
+    words.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/dictionary")
+    written = words.sparkSession.read.schema(words.schema).parquet(f"{path}/dictionary")
+    length = F.length("token")
+    padded = F.concat(F.lit(BEFORE * (GRAM - 1)), F.col("token"), F.lit(BEHIND * (GRAM - 1)))
+    pieces = F.transform(F.sequence(F.lit(1), length + GRAM - 1), lambda i: F.substring(padded, i, F.lit(GRAM)))
+    grams = written.select("token").distinct().select("token", length.alias("length"), F.posexplode(pieces).alias("pos", "gram")).select("gram", "pos", "length", "token")
+    grams.repartitionByRange("gram", "token").sortWithinPartitions("gram", "token").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/grams")
+    stems = written.where("stem is not null").select("stem", "lang", "raw", "token", "core")
+    stems.repartitionByRange("stem", "raw").sortWithinPartitions("stem", "raw").write.mode("overwrite").parquet(f"{path}/stems")
+
+
+def _write_generation(docs: DataFrame, folder: str, number: int, body: str, key: str, bodies: bool) -> str:
     """Write the postings, spellings and documents of ``docs`` as one generation; its folder."""
-    spark, path = docs.sparkSession, f"{folder}/g{number:06d}"
-    spelled = docs.select(F.col(key).alias("doc_id"), "site_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.posexplode(F.regexp_extract_all(stem_input(F.coalesce(F.col(body), F.lit(""))), F.lit(RAW), 1)).alias("pos", "raw"))
-    grouped = spelled.groupBy("doc_id", "site_id", "lang", "raw").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    postings = grouped.select(fold(F.col("raw")).alias("token"), "raw", "lang", "site_id", "doc_id", "tf", "positions").where("token <> ''")
-    postings.repartitionByRange("token").sortWithinPartitions("token", "doc_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
-    written = spark.read.schema(postings.schema).parquet(f"{path}/postings")
+    path = f"{folder}/g{number:06d}"
+    fields = [(False, F.col(body), 0), *([(True, F.col("name"), NAME_PLACES)] if "name" in docs.columns else [])]
+    texts = F.array(*[F.struct(F.lit(named).alias("named"), F.lit(start).alias("start"), F.coalesce(text, F.lit("")).alias("text")) for named, text, start in fields])
+    each = docs.select(F.col(key).alias("doc_id"), "site_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(texts).alias("t"))
+    each = each.select("doc_id", "site_id", "lang", "t.named", "t.start", stem_input(F.col("t.text")).alias("text"))
+    pieces = F.arrays_zip(F.regexp_extract_all("text", F.lit(RAW), 1).alias("raw"), F.split("text", RAW, -1).alias("gap"))
+    spelled = each.select("doc_id", "site_id", "lang", "named", "start", F.posexplode(pieces).alias("pos", "p")).where("p.raw is not null")
+    spelled = spelled.select("doc_id", "site_id", "lang", "named", (F.col("start") + F.col("pos")).alias("pos"), "p.raw", fold(F.col("p.raw")).alias("token"), F.length(fold(F.col("p.gap"))).alias("gap"))
+    # one shuffle by document serves the running sum of lengths and the grouping of its words
+    through = F.sum(F.col("gap") + F.length("token")).over(Window.partitionBy("doc_id", "named").orderBy("pos"))
+    placed = spelled.withColumn("at", F.struct("pos", (through - F.length("token")).cast("int").alias("start")))
+    grouped = placed.groupBy("doc_id", "named", "site_id", "lang", "raw", "token").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("at"))
+    postings = grouped.select("token", "raw", "lang", "site_id", "doc_id", "named", "tf", F.col("at.pos").alias("positions"), F.col("at.start").alias("starts"))
+    written = _write_postings(postings.where("token <> ''"), path)
     words = written.groupBy("lang", "raw", "token").agg(F.count("*").alias("df"))
-    words.withColumns({"stem": _stems("raw", "lang"), "core": _cores("token")}).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/dictionary")
-    lengths = written.groupBy("doc_id").agg(F.sum("tf").alias("length")).withColumnRenamed("doc_id", "_id")
-    plain = docs.select(F.col(key).alias("doc_id"), *[c for c in docs.columns if c not in (key, body)])
+    _write_spellings(words.withColumns({"stem": _stems("raw", "lang"), "core": _cores("token")}), path)
+    lengths = written.where("not named").groupBy("doc_id").agg(F.sum("tf").alias("length")).withColumnRenamed("doc_id", "_id")
+    plain = docs.select(F.col(key).alias("doc_id"), *[c for c in docs.columns if c not in ("doc_id", body)])
     plain.join(lengths, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumn("length", F.coalesce("length", F.lit(0))).write.mode("overwrite").parquet(f"{path}/documents")
+    if bodies:
+        docs.select(F.col(key).alias("doc_id"), F.col(body).alias("body")).write.mode("overwrite").parquet(f"{path}/bodies")
     return path
 
 
-def _write_sites(spark: SparkSession, folder: str, number: int) -> None:
-    """The sites' statistics over all generations; they are written last and make a generation count."""
-    documents = _living(spark, folder, range(number + 1), "documents")
-    documents.groupBy("site_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{folder}/g{number:06d}/sites")
+def _commit(spark: SparkSession, folder: str, sizes: dict[int, tuple[int, int]]) -> None:
+    """Make the generations of ``sizes`` the live ones: who is removed, who is live, and last the sites, which make it count.
+
+    ``sizes`` has the numbers of documents and of removed ids of each generation, oldest first.
+    """
+    numbers = list(sizes)
+    path = f"{folder}/g{numbers[-1]:06d}"
+    parts = [spark.read.parquet(f"{folder}/g{n:06d}/removed").select("doc_id", F.lit(n).alias("upto")) for n in numbers[1:]]
+    if parts:
+        reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.max("upto").alias("upto")).write.mode("overwrite").parquet(f"{path}/dead")
+    live = F.array(*[F.struct(F.lit(n).alias("number"), F.lit(d).cast("long").alias("documents"), F.lit(r).cast("long").alias("removed")) for n, (d, r) in sizes.items()])
+    spark.range(1).select(F.inline(live)).coalesce(1).write.mode("overwrite").parquet(f"{path}/live")
+    documents = _living(spark, folder, sizes, "documents")
+    documents.groupBy("site_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/sites")
+
+
+def _has(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def _generations(spark: SparkSession, folder: str) -> list[int]:
+def _generations(spark: SparkSession, folder: str) -> dict[int, tuple[int, int]]:
+    """The live generations, those that the latest complete one names, with their numbers of documents and removed ids."""
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     found = [s.getPath() for s in files.listStatus(root) if re.fullmatch(r"g\d{6}", s.getPath().getName())]
-    return sorted(int(p.getName()[1:]) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "sites/_SUCCESS")))
+    complete = [p.getName() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "sites/_SUCCESS"))]
+    if not complete:
+        return {}
+    rows = spark.read.schema("number int, documents long, removed long").parquet(f"{folder}/{max(complete)}/live").collect()
+    return {r["number"]: (r["documents"], r["removed"]) for r in sorted(rows)}
 
 
-def _living(spark: SparkSession, folder: str, numbers, table: str) -> DataFrame:
-    """The rows of a table in all generations, without documents that later ones replaced or removed."""
-    parts = []
-    for n in numbers:
-        rows = spark.read.parquet(f"{folder}/g{n:06d}/{table}")
-        later = [spark.read.parquet(f"{folder}/g{m:06d}/removed") for m in numbers if m > n]
-        parts.append(rows.join(reduce(DataFrame.unionByName, later).distinct(), "doc_id", "left_anti") if later else rows)
-    return reduce(DataFrame.unionByName, parts)
+def _living(spark: SparkSession, folder: str, sizes: dict[int, tuple[int, int]], table: str) -> DataFrame:
+    """The rows of a table in the generations, without documents that later ones replaced or removed.
 
+    One anti join serves all: a removed document has the number of the last generation that removed it.
+    """
+    numbers = list(sizes)
+    parts = [spark.read.parquet(f"{folder}/g{n:06d}/{table}") for n in numbers]
+    if len(parts) == 1:
+        return parts[0]
+    dead = spark.read.parquet(f"{folder}/g{numbers[-1]:06d}/dead").withColumnRenamed("doc_id", "_dead")
+    if sum(removed for _, removed in sizes.values()) <= BROADCAST_REMOVED:
+        dead = F.broadcast(dead)
+    rows = reduce(DataFrame.unionByName, [p.withColumn("_number", F.lit(n)) for n, p in zip(numbers, parts)])
+    return rows.join(dead, (F.col("doc_id") == F.col("_dead")) & (F.col("_number") < F.col("upto")), "left_anti").drop("_number")
+
+
+def _size(spark: SparkSession, path: str, removed: bool) -> tuple[int, int]:
+    return spark.read.parquet(f"{path}/documents").count(), spark.read.parquet(f"{path}/removed").count() if removed else 0
 
-def build_index(docs: DataFrame, folder: str, body: str = "body", key: str = "doc_id") -> SearchIndex:
-    """Write the index of ``docs(doc_id, site_id, lang, body, ...)`` into ``folder`` and open it.
+
+def build_index(docs: DataFrame, folder: str, body: str = "body", key: str = "doc_id", bodies: bool = False) -> SearchIndex:
+    """Write the index of ``docs(doc_id, site_id, lang, body, ...)`` into ``folder`` and open it, with the texts if ``bodies``.
 
     Ids are unique and not null; a null text has no tokens.  Tokens are shuffled once, by document and spelling.
     """
-    _write_generation(docs, folder, 0, body, key)
-    _write_sites(docs.sparkSession, folder, 0)
+    path = _write_generation(docs, folder, 0, body, key, bodies)
+    _commit(docs.sparkSession, folder, {0: _size(docs.sparkSession, path, False)})
     return SearchIndex(docs.sparkSession, folder)
 
 
@@ -95,14 +170,77 @@ def update_index(index: SearchIndex, fresh: DataFrame, gone: DataFrame, body: st
     """The index after a batch: ``fresh`` documents are added or replaced, those of ``gone(doc_id)`` removed.
 
     The batch is a generation of its own beside a list of the ids that older ones lose; only it is tokenized.  A
-    generation counts when it is complete, so a batch that was interrupted is written again.
+    generation counts when it is complete, so a batch that was interrupted is written again.  Then generations of one
+    size are merged, as often as there are enough; folders that the last two states do not name are deleted.
     """
-    number = index.numbers[-1] + 1
-    path = _write_generation(fresh, index.folder, number, body, key)
+    spark, folder, number = index.spark, index.folder, index.numbers[-1] + 1
+    path = _write_generation(fresh, folder, number, body, key, index.bodies is not None)
     ids = fresh.select(F.col(key).alias("doc_id")).unionByName(gone.select(F.col(key).alias("doc_id")))
     ids.distinct().write.mode("overwrite").parquet(f"{path}/removed")
-    _write_sites(index.spark, index.folder, number)
-    return SearchIndex(index.spark, index.folder)
+    sizes = {**index.sizes, number: _size(spark, path, True)}
+    _commit(spark, folder, sizes)
+    before = sizes
+    while (first := merge_from([documents for documents, _ in sizes.values()])) is not None:
+        before, sizes = sizes, _merge(spark, folder, sizes, first)
+    _vacuum(spark, folder, {*index.sizes, *before, *sizes})
+    return SearchIndex(spark, folder)
+
+
+def merge_from(sizes: list[int]) -> int | None:
+    """The place from which on generations are merged into one, or None.
+
+    A class is a power of ``TIER`` documents.  The latest generations of a class or below are merged if ``TIER`` of them
+    are of that class; so fewer than ``TIER`` of each class stay, and a document is merged once for each class.
+    """
+    classes = [max(n, 1).bit_length() // 2 for n in sizes]  # by powers of four
+    for c in sorted(set(classes)):
+        first = len(classes)
+        while first and classes[first - 1] <= c:
+            first -= 1
+        if classes[first:].count(c) >= TIER:
+            return first
+    return None
+
+
+def _merge(spark: SparkSession, folder: str, sizes: dict[int, tuple[int, int]], first: int) -> dict[int, tuple[int, int]]:
+    """Write the generations from place ``first`` on as one new generation, and make it count; the live ones.
+
+    What later ones of the run removed is left out.  Ids that the run removed from older generations stay listed; the
+    oldest run has none before it.  Nothing is tokenized or stemmed again.
+    """
+    numbers = list(sizes)
+    run, number = numbers[first:], numbers[-1] + 1
+    path = f"{folder}/g{number:06d}"
+    parts = {t: _run_rows(spark, folder, run, t) for t in ("postings", "documents", "bodies") if t != "bodies" or _has(spark, f"{folder}/g{run[0]:06d}/bodies")}
+    written = _write_postings(parts["postings"], path)
+    known = reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/g{n:06d}/dictionary") for n in run]).groupBy("lang", "raw", "token").agg(F.first("stem").alias("stem"), F.first("core").alias("core"))
+    words = written.groupBy("lang", "raw", "token").agg(F.count("*").alias("df"))
+    _write_spellings(words.join(known, ["lang", "raw", "token"]).select("lang", "raw", "token", "df", "stem", "core"), path)
+    for table in set(parts) - {"postings"}:
+        parts[table].write.mode("overwrite").parquet(f"{path}/{table}")
+    if first:
+        removed = [spark.read.parquet(f"{folder}/g{n:06d}/removed") for n in run]
+        reduce(DataFrame.unionByName, removed).distinct().write.mode("overwrite").parquet(f"{path}/removed")
+    live = {**{n: sizes[n] for n in numbers[:first]}, number: _size(spark, path, first > 0)}
+    _commit(spark, folder, live)
+    return live
+
+
+def _run_rows(spark: SparkSession, folder: str, run: list[int], table: str) -> DataFrame:
+    """The rows of a table in a run of generations, without documents that later ones of the run replaced or removed."""
+    removed = [spark.read.parquet(f"{folder}/g{n:06d}/removed").select(F.col("doc_id").alias("_dead"), F.lit(n).alias("upto")) for n in run[1:]]
+    dead = reduce(DataFrame.unionByName, removed).groupBy("_dead").agg(F.max("upto").alias("upto"))
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/g{n:06d}/{table}").withColumn("_number", F.lit(n)) for n in run])
+    return rows.join(dead, (F.col("doc_id") == F.col("_dead")) & (F.col("_number") < F.col("upto")), "left_anti").drop("_number")
+
+
+def _vacuum(spark: SparkSession, folder: str, keep: set[int]) -> None:
+    """Delete complete generations that are not kept; readers of the state before the last still find theirs."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    for status in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root):
+        name = status.getPath().getName()
+        if re.fullmatch(r"g\d{6}", name) and int(name[1:]) < max(keep) and int(name[1:]) not in keep:
+            delete_path(spark, f"{folder}/{name}")
 
 
 @dataclass(frozen=True)
@@ -122,6 +260,8 @@ class _Asked:
 
 
 def indexable(clause: q.Clause, options: Options) -> bool:
+    if isinstance(clause, q.Near):
+        return all(indexable(t, options) for t in clause.terms)
     return isinstance(clause, (q.Word, q.Phrase, q.Like, q.Exact)) and not options.case_sensitive
 
 
@@ -139,23 +279,10 @@ def _asked(clause: q.Clause, options: Options, stems: bool) -> _Asked | None:
     return _Asked(words, False, frozenset(filter(None, (word, with_lam(word)))), clause.text.strip() if stems and not isinstance(clause, q.Exact) else None, not options.whole_word, typos)
 
 
-def _inflected(raw: str) -> Column:
-    """Spellings of a language that have the word's stem there and about its length."""
-    wanted, near = {g: s for g in STEMMED if (s := stem(raw, g))}, core_length(fold_text(raw))
-    same = [(F.col("lang") == g) & (F.col("stem") == s) for g, s in wanted.items()]
-    return (reduce(lambda a, b: a | b, same) if same else F.lit(False)) & F.col("core").between(near - 1, near + 1)
-
-
-def _conditions(asked: _Asked) -> tuple[Column, Column, Column]:
-    """(exact or contained, inflected, with typos) on dictionary rows, without overlaps."""
-    word, token = asked.words[0], F.col("token")
-    exact = token.isin(*asked.exact) if asked.exact else F.lit(False)
-    if asked.partial and asked.exact:
-        exact = exact | F.contains(token, F.lit(word))
-    forms = ~exact & _inflected(asked.forms) if asked.forms and asked.exact else F.lit(False)
-    n, d = len(word), asked.typos
-    typos = F.lit(False) if not d else ~exact & ~forms & (F.octet_length(token) < MAX_TOKEN_BYTES) & F.length(token).between(n - d, n + d) & (F.levenshtein(token, F.lit(word), d) >= 0)
-    return exact, forms, typos
+def _trigrams(word: str) -> list[tuple[str, int]]:
+    """(gram, place) of a padded word, as :func:`_write_spellings` cuts tokens."""
+    padded = BEFORE * (GRAM - 1) + word + BEHIND * (GRAM - 1)
+    return [(padded[i : i + GRAM], i) for i in range(len(word) + GRAM - 1)]
 
 
 def _moved(places: Column, k: int) -> Column:
@@ -173,37 +300,102 @@ def _phrase_count(words: tuple[str, ...]) -> Column:
 
 class SearchIndex:
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.numbers = spark, folder, _generations(spark, folder)
-        if not self.numbers:
+        self.spark, self.folder, self.sizes = spark, folder, _generations(spark, folder)
+        if not self.sizes:
             raise FileNotFoundError(folder)
-        self.postings, self.documents = (_living(spark, folder, self.numbers, x) for x in ("postings", "documents"))
+        self.numbers = list(self.sizes)
+        self.postings, self.documents = (_living(spark, folder, self.sizes, x) for x in ("postings", "documents"))
+        self.bodies = _living(spark, folder, self.sizes, "bodies") if _has(spark, f"{folder}/g{self.numbers[0]:06d}/bodies") else None
         words = [spark.read.parquet(f"{folder}/g{n:06d}/dictionary") for n in self.numbers]
         self.dictionary = words[0] if len(words) == 1 else reduce(DataFrame.unionByName, words).dropDuplicates(["lang", "raw", "token"])
+        self.grams, self.stems = (reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/g{n:06d}/{t}") for n in self.numbers]) for t in ("grams", "stems"))
         self.sites = spark.read.parquet(f"{folder}/g{self.numbers[-1]:06d}/sites")
 
+    def _containing(self, word: str) -> DataFrame:
+        """(token) of the tokens that contain a word: those that have all its trigrams, or one that begins with a shorter word."""
+        inner = list(dict.fromkeys(word[i : i + GRAM] for i in range(len(word) - GRAM + 1)))
+        if inner:
+            some = self.grams.where(F.col("gram").isin(inner)).groupBy("token").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(inner))
+        else:
+            some = self.grams.where(F.startswith("gram", F.lit(word))).select("token").distinct()
+        return some.where(F.contains("token", F.lit(word))).select("token")
+
+    def _misspelt(self, word: str, distance: int) -> DataFrame:
+        """(token) of the tokens within an edit distance of a word.
+
+        An edit touches at most ``GRAM`` trigrams and moves the others by one place at most, so tokens of about the
+        word's length with enough of its trigrams at about their places are the candidates.
+        """
+        n, grams = len(word), _trigrams(word)
+        rows = self.grams.where(F.col("length").between(n - distance, n + distance))
+        if n + GRAM - 1 - GRAM * distance > 0:
+            places = reduce(lambda a, b: a | b, [(F.col("gram") == g) & F.col("pos").between(i - distance, i + distance) for g, i in grams])
+            met = rows.where(F.col("gram").isin([g for g, _ in grams]) & places).distinct().groupBy("token", "length").agg(F.count("*").alias("n"))
+            some = met.where(F.col("n") >= F.greatest(F.lit(n), F.col("length")) + GRAM - 1 - GRAM * distance)
+        else:
+            some = rows.where("pos = 0").select("token").distinct()
+        return some.where((F.octet_length("token") < MAX_TOKEN_BYTES) & (F.levenshtein("token", F.lit(word), distance) >= 0)).select("token")
+
+    def _forms(self, raw: str) -> DataFrame:
+        """(token, lang, raw) of spellings of a language that have the word's stem there and about its length."""
+        wanted, near = {g: s for g in STEMMED if (s := stem(raw, g))}, core_length(fold_text(raw))
+        same = [(F.col("stem") == s) & (F.col("lang") == g) for g, s in wanted.items()]
+        return self.stems.where((reduce(lambda a, b: a | b, same) if same else F.lit(False)) & F.col("core").between(near - 1, near + 1)).select("token", "lang", "raw")
+
+    def candidates(self, asked: list[_Asked]) -> DataFrame | None:
+        """(clause, way, token, lang, raw): the tokens that clauses with partial words, typos or stems ask for; None without such.
+
+        ``way`` is ``c`` for exact or contained, ``z`` for typos, both whatever the spelling, and ``s`` for inflected forms.
+        """
+        found, none = [], F.lit(None).cast("string")
+        for i, a in enumerate(asked):
+            if a.plain or not a.exact:
+                continue
+            add = lambda way, rows, i=i: found.append(rows.select(F.lit(i).alias("clause"), F.lit(way).alias("way"), "token", *[c if c in rows.columns else none.alias(c) for c in ("lang", "raw")]))
+            if a.partial:
+                add("c", self._containing(a.words[0]))
+            if a.forms:
+                add("s", self._forms(a.forms))
+            if a.typos:
+                add("z", self._misspelt(a.words[0], a.typos))
+        return reduce(DataFrame.unionByName, found).distinct() if found else None
+
     def _rows(self, asked: list[_Asked]) -> tuple[DataFrame, list[tuple[Column, Column, Column]]]:
-        """Postings of everything asked, and for each word clause its (exact, inflected, typo) flags on them."""
+        """Postings of everything asked, and for each word clause its (exact, inflected, typo) flags on them, without overlaps."""
         static = {w for a in asked for w in (a.words if a.phrase else a.exact)}
-        wide = [i for i, a in enumerate(asked) if not a.plain]
-        flags = [(F.col("token").isin(*a.exact) if a.exact else F.lit(False), F.lit(False), F.lit(False)) for a in asked]
-        if not wide:
-            return self.postings.where(F.col("token").isin(*static)), flags
-        each = {i: _conditions(asked[i]) for i in wide}
-        named = [c.alias(f"f{i}_{k}") for i in wide for k, c in enumerate(each[i])]
-        found = self.dictionary.select("token", "lang", "raw", *named).where(reduce(lambda a, b: a | b, [F.col(f"f{i}_{k}") for i in wide for k in range(3)]))
+        exact = [F.col("token").isin(*a.exact) if a.exact else F.lit(False) for a in asked]
+        none = F.lit(False)
+        found = self.candidates(asked)
+        if found is None:
+            return self.postings.where(F.col("token").isin(*static)), [(e, none, none) for e in exact]
         some = found.limit(STATIC_TOKENS + 1).collect()
-        rows = self.postings
         if len(some) <= STATIC_TOKENS:
-            found = F.broadcast(self.spark.createDataFrame(some, found.schema))
-            rows = rows.where(F.col("token").isin(*(static | {r["token"] for r in some})))
-        rows = rows.join(found, ["token", "lang", "raw"], "left")
-        for i in wide:
-            flags[i] = tuple(F.coalesce(F.col(f"f{i}_{k}"), F.lit(False)) for k in range(3))
-        return rows.where(F.col("token").isin(*static) | reduce(lambda a, b: a | b, [flags[i][k] for i in wide for k in range(3)])), flags
-
-    def _counts(self, asked: list[_Asked]) -> DataFrame:
-        """(doc_id, site_id, c0, s0, z0, c1, ...): exact, inflected and approximate occurrences of each clause."""
+            rows = self.postings.where(F.col("token").isin(*(static | {r["token"] for r in some})))
+            tokens = lambda i, way: [r["token"] for r in some if (r["clause"], r["way"]) == (i, way)]
+            spelled = lambda i: [F.struct(F.lit(r["token"]).alias("token"), F.lit(r["lang"]).alias("lang"), F.lit(r["raw"]).alias("raw")) for r in some if (r["clause"], r["way"]) == (i, "s")]
+            hit = lambda i, way: F.col("token").isin(*t) if (t := tokens(i, way)) else none
+            form = lambda i: F.struct("token", "lang", "raw").isin(*f) if (f := spelled(i)) else none
+        else:
+            # one inner join by token, which adaptive execution can split, and forms beside it; what is not asked for is never kept
+            found = materialize(found, "spellings")
+            flag = lambda i, way: F.coalesce(F.max((F.col("clause") == i) & (F.col("way") == way)), none)
+            each = [(i, way) for i in range(len(asked)) for way in "cz"]
+            named = [self.spark.createDataFrame([(w,) for w in static], "token string").select(F.lit(-1).alias("clause"), F.lit("").alias("way"), "token")] if static else []
+            by_token = reduce(DataFrame.unionByName, [found.select("clause", "way", "token"), *named]).groupBy("token").agg(*[flag(i, way).alias(f"{way}_{i}") for i, way in each])
+            by_form = found.where("way = 's'").groupBy("token", "lang", "raw").agg(*[flag(i, "s").alias(f"s_{i}") for i in range(len(asked))])
+            rows = self.postings.join(by_token, "token").join(by_form, ["token", "lang", "raw"], "left")
+            hit = lambda i, way: F.col(f"{way}_{i}")
+            form = lambda i: F.coalesce(F.col(f"s_{i}"), none)
+        flags = []
+        for i, e in enumerate(exact):
+            own = e | hit(i, "c")
+            flags.append((own, ~own & form(i), ~own & ~form(i) & hit(i, "z")))
+        return rows, flags
+
+    def _counts(self, asked: list[_Asked], names: bool = False) -> DataFrame:
+        """(doc_id, site_id, c0, s0, z0, c1, ...): exact, inflected and approximate occurrences of each clause, with those in ``names`` or without."""
         rows, flags = self._rows(asked)
+        rows = rows if names else rows.where("not named")
         total = lambda flag: F.sum(F.when(flag, F.col("tf")).otherwise(0))
         columns = []
         for i, a in enumerate(asked):
@@ -214,8 +406,8 @@ class SearchIndex:
     def supports(self, query: q.Query, options: Options) -> bool:
         return not query.lines and all(indexable(c, options) for g in [*query.must, query.must_not] for c in g)
 
-    def matches(self, query: q.Query, options: Options = Options(), stems: bool = False) -> DataFrame:
-        """(doc_id, exact, matches) of the documents that a query of words and phrases matches.
+    def matches(self, query: q.Query, options: Options = Options(), stems: bool = False, names: bool = False) -> DataFrame:
+        """(doc_id, exact, matches) of the documents that a query of words, phrases and NEAR chains matches, in their texts or ``names`` too.
 
         Inflected forms count as exact ones.  Excluded clauses take exact occurrences only.  Clauses without a
         token are ignored; an empty query matches nothing, one of exclusions all other documents.
@@ -223,25 +415,65 @@ class SearchIndex:
         if not self.supports(query, options):
             raise ValueError("this query reads texts")
         asked: list[_Asked] = []
-        groups = []
+        chains: list[tuple[q.Near, Options, bool]] = []
+        groups: list[list[str]] = []
+
+        def place(clause: q.Clause, options: Options, stems: bool) -> str | None:
+            """The number of a clause among the words and phrases, or the chains; None for one without a token."""
+            if isinstance(clause, q.Near):
+                chains.append((clause, options, stems))
+                return f"n{len(chains) - 1}"
+            if a := _asked(clause, options, stems):
+                asked.append(a)
+            return str(len(asked) - 1) if a else None
+
         for group in query.must:
-            own = [a for c in group if (a := _asked(c, options, stems))]
-            if own:
-                groups.append(range(len(asked), len(asked) + len(own)))
-                asked += own
-        wanted = len(asked)
+            if own := [p for c in group if (p := place(c, options, stems)) is not None]:
+                groups.append(own)
         strict = Options(False, False, options.whole_word)
-        asked += [a for c in query.must_not if (a := _asked(c, strict, False))]
-        if not asked:
+        without = [p for c in query.must_not if (p := place(c, strict, False)) is not None]
+        if not asked and not chains:
             return self.documents.select("doc_id", F.lit(0).cast("long").alias("exact"), F.lit(0).cast("long").alias("matches")).limit(0)
-        rows = self._counts(asked)
+        tables = [self._counts(asked, names).drop("site_id")] if asked else []
+        for k, (near, own, forms) in enumerate(chains):
+            counted = self.near_matches(near, own, forms, names)
+            tables.append(counted.select("doc_id", F.col("matches").alias(f"cn{k}"), *[F.lit(0).cast("long").alias(f"{c}n{k}") for c in "sz"]))
         if not groups:
-            rows = self.documents.select("doc_id").join(rows.drop("site_id"), "doc_id", "left").na.fill(0)
+            tables.insert(0, self.documents.select("doc_id"))
+        rows = reduce(lambda a, b: a.join(b, "doc_id", "full" if groups else "left"), tables)
+        rows = rows if len(tables) == 1 else rows.na.fill(0)
         exact = lambda i: F.col(f"c{i}") + F.col(f"s{i}")
         every = lambda i: exact(i) + F.col(f"z{i}")
         add = lambda xs: reduce(lambda a, b: a + b, xs, F.lit(0)).cast("long")
-        tests = [reduce(lambda a, b: a | b, [every(i) > 0 for i in g]) for g in groups] + [exact(i) == 0 for i in range(wanted, len(asked))]
-        return rows.where(reduce(lambda a, b: a & b, tests)).select("doc_id", add(exact(i) for i in range(wanted)).alias("exact"), add(every(i) for i in range(wanted)).alias("matches"))
+        tests = [reduce(lambda a, b: a | b, [every(i) > 0 for i in g]) for g in groups] + [exact(i) == 0 for i in without]
+        wanted = [i for g in groups for i in g]
+        return rows.where(reduce(lambda a, b: a & b, tests)).select("doc_id", add(exact(i) for i in wanted).alias("exact"), add(every(i) for i in wanted).alias("matches"))
+
+    def occurrences(self, asked: list[_Asked], names: bool = False) -> DataFrame:
+        """(doc_id, named, term, start, end): where each clause occurs, in characters of the folded text or name."""
+        rows, flags = self._rows(asked)
+        rows = rows if names else rows.where("not named")
+        any_of = lambda i: reduce(lambda a, b: a | b, flags[i])
+        hits = [F.when(F.col("token").isin(*a.words) if a.phrase else any_of(i), F.lit(i)) for i, a in enumerate(asked)]
+        each = rows.select("doc_id", "named", "token", F.explode(F.array(*hits)).alias("term"), F.arrays_zip("positions", "starts").alias("at")).where("term is not null")
+        each = each.select("doc_id", "named", "token", "term", F.explode("at").alias("at")).select("doc_id", "named", "token", "term", F.col("at.positions").alias("pos"), F.col("at.starts").alias("start"), (F.col("at.starts") + F.length("token")).alias("end"))
+        found = [each.where(F.col("term").isin([i for i, a in enumerate(asked) if not a.phrase])).select("doc_id", "named", "term", "start", "end")]
+        for i, a in enumerate(asked):
+            if a.phrase:
+                # a row for each place of the phrase that a token can have, and the phrase where all its places are met
+                at = F.array(*[F.when(F.col("token") == w, F.lit(k)) for k, w in enumerate(a.words)])
+                placed = each.where(F.col("term") == i).select("*", F.explode(at).alias("k")).where("k is not null")
+                runs = placed.groupBy("doc_id", "named", "term", (F.col("pos") - F.col("k")).alias("first")).agg(F.count_distinct("k").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+                found.append(runs.where(F.col("n") == len(a.words)).select("doc_id", "named", "term", "start", "end"))
+        return reduce(DataFrame.unionByName, found)
+
+    def near_matches(self, near: q.Near, options: Options = Options(), stems: bool = False, names: bool = False) -> DataFrame:
+        """(doc_id, matches): the occurrences of a chain's terms that have every other term within its characters."""
+        asked = [_asked(t, options, stems) for t in near.terms]
+        if not all(asked):
+            return self.documents.select("doc_id", F.lit(0).cast("long").alias("matches")).limit(0)
+        places = self.occurrences(asked, names).withColumn("field", F.struct("doc_id", "named")).select("field", "term", "start", "end")
+        return mutual_counts(places, len(asked), near.chars, "field").groupBy("field.doc_id").agg(F.sum("matches").alias("matches"))
 
     def scores(self, words: list[str], options: Options = Options(), stems: bool = False) -> DataFrame:
         """(doc_id, score): BM25 of words with the statistics of each site; forms, parts and typos weigh less."""
@@ -269,18 +501,29 @@ class SearchIndex:
         score, and lowered without an exact occurrence.
         """
         query, filters = request.parsed(), request.filters()
-        found = self.matches(query, request.options, stems)
+        found = self.matches(query, request.options, stems, names=True)
         kept = self.documents.where(filters["site"] & filters["kind"] & filters["lang"] & filters["other"]).join(found, "doc_id")
-        words = list(dict.fromkeys(w for g in query.must for c in g for w in split_words(c.text)))
+        words = list(dict.fromkeys(w for g in query.must for c in g if not isinstance(c, q.Near) for w in split_words(c.text)))
         scored = kept.join(self.scores(words, request.options, stems), "doc_id", "left") if words else kept.withColumn("score", F.lit(0.0))
         named = reduce(lambda a, b: a + b, [F.when(count_in(q.Word(w), F.col("name"), fold(F.col("name")), Options()).exact > 0, F.lit(NAME_BOOST)).otherwise(0.0) for w in words], F.lit(0.0))
         penalty = F.when((F.col("exact") == 0) & (F.col("matches") > 0), F.lit(APPROXIMATE_ONLY)).otherwise(F.lit(1.0))
         return scored.withColumn("score", (F.coalesce("score", F.lit(0.0)) + named) * penalty).orderBy(F.desc("score"), "path").limit(request.limit)
 
+    def texts(self) -> DataFrame:
+        """The documents with their texts, for searches that read these."""
+        return self.documents.join(self.bodies, "doc_id")
+
+    def hits(self, request: SearchRequest, most_snippets: int = 2) -> DataFrame:
+        """The hits of any request with spans and snippets; only listed documents' texts are read where postings can answer."""
+        if not self.supports(request.parsed(), request.options) or request.name_only or not request.parsed():
+            return hits(self.texts(), request, most_snippets)
+        listed = self.search(request)
+        return with_snippets(listed.join(self.bodies, "doc_id"), request, most_snippets).orderBy(F.desc("score"), "path")
+
     def facets(self, request: SearchRequest, stems: bool = False, own: bool = False) -> DataFrame:
         """(facet, key, n) of the documents that match; each facet without its own filter, or with all (``own``)."""
         query, filters = request.parsed(), request.filters()
-        rows = self.documents.join(self.matches(query, request.options, stems), "doc_id").where(filters["other"])
+        rows = self.documents.join(self.matches(query, request.options, stems, names=True), "doc_id").where(filters["other"])
         flags = {k: f for k, f in filters.items() if k != "other"}
         passed = lambda name: reduce(lambda a, b: a & b, [f for k, f in flags.items() if own or k != name], F.lit(True))
         keys = {"kind": F.col("kind"), "lang": F.col("lang"), "year": F.year(F.timestamp_seconds(F.col("modified"))).cast("string"), "site": F.col("site_id")}
@@ -297,7 +540,8 @@ class SearchIndex:
         rows += [(t, 0, 1, lam) for t in dict.fromkeys(terms) if len(words := split_words(t)) == 1 and (lam := with_lam(words[0]))]
         table = self.spark.createDataFrame(rows, "term string, place int, size int, token string")
         tokens = {r[3] for r in rows}
-        postings = self.postings.where(F.col("token").isin(*tokens)) if len(tokens) <= STATIC_TOKENS else self.postings
+        postings = self.postings.where("not named")
+        postings = postings.where(F.col("token").isin(*tokens)) if len(tokens) <= STATIC_TOKENS else postings
         found = postings.select("token", "doc_id", "tf", "positions").join(F.broadcast(table), "token")  # as long as the list that came in
         single = found.where("size = 1").groupBy("term", "doc_id").agg(F.sum("tf").alias("n"))
         if all(r[2] == 1 for r in rows):
