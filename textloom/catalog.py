@@ -408,50 +408,50 @@ def near_dup_groups(spark, d):
     return dupes.similar_groups(dupes.similar_pairs(dupes.signatures(documents(spark, d))))
 
 
-_Q = "(SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)"
-_KNN = f"k AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], q.e), 6) AS score FROM embeddings, {_Q} q)"
+#: Every vector whose id is divisible by 100 is a question, asked of all vectors.
+_KNN = (
+    "s AS (SELECT q.vec_id AS question, v.vec_id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS place FROM s)"
+)
 
 
 def _nearest(spark, d, k: int) -> DataFrame:
+    """(question, vec_id, label, score, place) of the nearest vectors of every question."""
     vectors = table(spark, d, "embeddings")
-    question = vectors.where("vec_id = 0").first()["embedding"]
-    found = meaning.nearest(vectors, question, k)
-    return found.select("vec_id", "label", F.round("score", 6).alias("score"))
+    found = meaning.nearest_to_all(vectors, vectors.where("vec_id % 100 = 0"), k)
+    return found.join(vectors.select("vec_id", "label"), "vec_id")
 
 
-@query(f"WITH {_KNN} SELECT * FROM k ORDER BY score DESC, vec_id LIMIT 40")
+@query(f"WITH {_KNN} SELECT question, vec_id, label, score FROM k WHERE place <= 40")
 def knn_passages(spark, d):
-    return _nearest(spark, d, 40)
+    return _nearest(spark, d, 40).select("question", "vec_id", "label", "score")
 
 
-@query(
-    "WITH s AS (SELECT q.vec_id AS question, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0) "
-    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, vec_id) AS place FROM s) WHERE place <= 10"
-)
+@query(f"WITH {_KNN} SELECT question, vec_id, score, place FROM k WHERE place <= 10")
 def knn_all_questions(spark, d):
     vectors = table(spark, d, "embeddings")
     return meaning.nearest_to_all(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
-@query(f"WITH {_KNN}, n AS (SELECT * FROM k ORDER BY score DESC, vec_id LIMIT 200) SELECT label, arg_min(vec_id, -score * 1000000000 + vec_id / 100000000) AS vec_id, max(score) AS score FROM n GROUP BY label")
+@query(f"WITH {_KNN} SELECT question, label, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question, label ORDER BY score DESC, vec_id) AS first FROM k WHERE place <= 200) WHERE first = 1")
 def best_passage_per_doc(spark, d):
-    return meaning.best_passage(_nearest(spark, d, 200), "label", "vec_id").select("label", "vec_id", "score")
+    return meaning.best_passage(_nearest(spark, d, 200), ["question", "label"], "vec_id").select("question", "label", "vec_id", "score")
 
 
-@query(f"WITH {_KNN}, n AS (SELECT * FROM k ORDER BY score DESC, vec_id LIMIT 200) SELECT vec_id, label, score FROM n WHERE score >= greatest((SELECT max(score) FROM n) - 0.7, 0.2)")
+@query(f"WITH {_KNN} SELECT question, vec_id, label, score FROM (SELECT *, max(score) OVER (PARTITION BY question) AS top FROM k WHERE place <= 200) WHERE score >= greatest(top - 0.7, 0.2)")
 def meaning_cut(spark, d):
-    return meaning.relative_cut(_nearest(spark, d, 200), 0.7, 0.2)
+    return meaning.relative_cut(_nearest(spark, d, 200), 0.7, 0.2, by="question").select("question", "vec_id", "label", "score")
 
 
 @query(
-    f"WITH {_KNN}, m AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS m FROM (SELECT * FROM k ORDER BY score DESC, vec_id LIMIT 60)), {_T}, "
-    f"w AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n DESC, doc_id) AS w FROM (SELECT doc_id, {_n('the')} AS n FROM t WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 200)) "
-    "SELECT coalesce(w.id, m.id) AS id, round(coalesce(1 / (60 + w), 0) + coalesce(1 / (60 + m), 0), 9) AS score, w.id IS NULL AS only_meaning FROM w FULL JOIN m ON w.id = m.id"
+    f"WITH {_KNN}, m AS (SELECT question, vec_id AS id, place AS m FROM k WHERE place <= 60), {_T}, "
+    f"l AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS w FROM (SELECT doc_id AS id, {_n('the')} AS n FROM t WHERE n > 0 ORDER BY n DESC, id LIMIT 200)), w AS (SELECT question, id, w FROM l, (SELECT DISTINCT question FROM m)) "
+    "SELECT coalesce(w.question, m.question) AS question, coalesce(w.id, m.id) AS id, round(coalesce(1 / (60 + w), 0) + coalesce(1 / (60 + m), 0), 9) AS score, w.id IS NULL AS only_meaning FROM w FULL JOIN m ON w.id = m.id AND w.question = m.question"
 )
 def rrf_fusion(spark, d):
     words = found(spark, d, "the").select(F.col("doc_id").alias("id"), F.col("matches").cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(200)
-    near = _nearest(spark, d, meaning.DOCUMENTS).select(F.col("vec_id").alias("id"), "score")
-    return meaning.fuse(words, near, "id").select("id", F.round("score", 9).alias("score"), "only_meaning")
+    near = _nearest(spark, d, meaning.DOCUMENTS).select("question", F.col("vec_id").alias("id"), "score")
+    return meaning.fuse(words, near, "id", by="question").select("question", "id", F.round("score", 9).alias("score"), "only_meaning")
 
 
 def _crawl_and_manifest(spark, d) -> tuple[DataFrame, DataFrame]:

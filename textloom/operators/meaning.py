@@ -129,24 +129,38 @@ def nearest_to_all(vectors: DataFrame, questions: DataFrame, k: int = 10, key: s
     return found.withColumn("place", place.cast("long")).where(F.col("place") <= k)
 
 
-def best_passage(found: DataFrame, doc: str, passage: str) -> DataFrame:
-    """The best passage of each document; of equal scores the first."""
-    first = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), passage))
+def best_passage(found: DataFrame, doc: str | list[str], passage: str) -> DataFrame:
+    """The best passage of each document, or of each question and document; of equal scores the first."""
+    first = F.row_number().over(Window.partitionBy(*([doc] if isinstance(doc, str) else doc)).orderBy(F.desc("score"), passage))
     return found.withColumn("_rank", first).where("_rank = 1").drop("_rank")
 
 
-def relative_cut(found: DataFrame, margin: float = MARGIN, floor: float = FLOOR) -> DataFrame:
-    """Rows within a margin of the best score and above a floor."""
+def relative_cut(found: DataFrame, margin: float = MARGIN, floor: float = FLOOR, by: str | None = None) -> DataFrame:
+    """Rows within a margin of the best score, of all or of each question ``by``, and above a floor."""
+    if by:
+        top = F.max("score").over(Window.partitionBy(by))
+        return found.withColumn("_top", top).where(F.col("score") >= F.greatest(F.col("_top") - margin, F.lit(floor))).drop("_top")
     top = found.agg(F.max("score").alias("_top"))
     return found.join(F.broadcast(top), F.col("score") >= F.greatest(F.col("_top") - margin, F.lit(floor))).drop("_top")
 
 
-def fuse(words: DataFrame, meaning: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
-    """(key, score): sum of 1 / (k + rank) over two lists of at most a few hundred rows each."""
-    ranked = lambda df, name: df.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias(name))
-    both = ranked(words, "w").join(ranked(meaning, "m"), key, "full")
+def fuse(words: DataFrame, meaning: DataFrame, key: str, k: int = RRF_K, by: str | None = None) -> DataFrame:
+    """(key, score, only_meaning): sum of 1 / (k + rank) over two lists of at most a few hundred rows each.
+
+    With ``by``, ``meaning`` has a list for each question, each of which is fused with the one list of words.
+    """
+    if by:
+        place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))
+        near = meaning.select(by, key, place.alias("m"))
+        listed = words.select(F.struct(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("w")).alias("x")).agg(F.collect_list("x").alias("x"))
+        # the list of words, a few hundred ids, goes to every question as one value
+        asked = near.select(by).distinct().join(F.broadcast(listed)).select(by, F.explode("x").alias("x")).select(by, f"x.{key}", "x.w")
+        both, keys = asked.join(near, [by, key], "full"), [by, key]
+    else:
+        ranked = lambda df, name: df.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias(name))
+        both, keys = ranked(words, "w").join(ranked(meaning, "m"), key, "full"), [key]
     part = lambda c: F.when(F.col(c).isNotNull(), 1.0 / (k + F.col(c))).otherwise(0.0)
-    return both.select(key, (part("w") + part("m")).alias("score"), F.col("w").isNull().alias("only_meaning"))
+    return both.select(*keys, (part("w") + part("m")).alias("score"), F.col("w").isNull().alias("only_meaning"))
 
 
 def build_index(docs: DataFrame, embed, batch: int = 32, most: int | None = None) -> DataFrame:
