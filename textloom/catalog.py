@@ -398,14 +398,28 @@ def copies_of(spark, d):
     return dupes.copies_of(documents(spark, d), "doc-1.txt")
 
 
-@query()
+#: All pairs of different texts by the shingles that they share, and copies of a text with the first of them.
+_PAIRS = (
+    r"d AS (SELECT 'doc-' || doc_id || '.txt' AS path, lower(text) AS t FROM documents WHERE regexp_matches(text, '\S')), c AS (SELECT t, min(path) AS path FROM d GROUP BY t), "
+    r"w AS (SELECT path, list_filter(string_split_regex(t, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS w FROM c), "
+    "s AS (SELECT DISTINCT path, sh FROM (SELECT path, unnest(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w)), "
+    "n AS (SELECT path, count(*) AS n FROM s GROUP BY path), j AS (SELECT x.path AS a, y.path AS b, count(*) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.path < y.path GROUP BY ALL), "
+    "p AS (SELECT a, b, k / (x.n + y.n - k) AS similarity FROM j JOIN n x ON a = x.path JOIN n y ON b = y.path WHERE similarity >= 0.8 - 1e-9 UNION ALL SELECT c.path, d.path, 1.0 FROM d JOIN c USING (t) WHERE d.path <> c.path)"
+)
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, similarity FROM p")
 def near_dup_pairs(spark, d):
     return dupes.similar_pairs(dupes.signatures(documents(spark, d)))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a), g AS (SELECT node, min(other) AS root FROM r GROUP BY node), "
+    "m AS (SELECT root, min(similarity) AS similarity FROM p JOIN g ON a = node GROUP BY root) SELECT root, string_agg(node, ',' ORDER BY node) AS paths, similarity FROM g JOIN m USING (root) GROUP BY ALL"
+)
 def near_dup_groups(spark, d):
-    return dupes.similar_groups(dupes.similar_pairs(dupes.signatures(documents(spark, d))))
+    groups = dupes.similar_groups(dupes.similar_pairs(dupes.signatures(documents(spark, d))))
+    return groups.withColumn("paths", F.array_join("paths", ","))
 
 
 #: Every vector whose id is divisible by 100 is a question, asked of all vectors.
