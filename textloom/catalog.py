@@ -12,8 +12,8 @@ from .operators import dupes, filters, intervals, matching, meaning, search
 from .operators.search import SearchRequest
 from .plans import query as q
 from .plans.compile import Options, Source, compile_query
-from .session import delete_path, new_path, ship_package
-from .sources import incremental, kinds
+from .session import delete_path, materialize, new_path, ship_package
+from .sources import folders, incremental, kinds
 from .store.index import SearchIndex, _asked, build_index
 from .streaming import alerts, changes
 
@@ -206,6 +206,32 @@ def in_folder_prefix(spark, d):
     return table(spark, d, "pages").where(filters.in_folder("url", "https://www.ththen.example.com/en/")).select("page_id", "url")
 
 
+def _placed_pages(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Pages as files of their hosts' folders: the tree of these, and the pages by the numbers of their folders."""
+    pages = table(spark, d, "pages").select("page_id", F.array_join(F.slice(F.split(F.regexp_replace("url", "[?#].*$", ""), "/", -1), 3, 2**30), "/").alias("path"))
+    tree = materialize(folders.folder_tree(pages), "folder-tree")
+    return tree, materialize(folders.place_documents(pages, tree), "placed-pages")
+
+
+_PATHS = "p AS (SELECT page_id, array_to_string(string_split(regexp_replace(url, '[?#].*$', ''), '/')[3:], '/') AS path FROM pages), "
+
+
+@query(f"WITH {_PATHS} q AS (SELECT page_id, path, array_to_string(string_split(path, '/')[1:2], '/') AS top FROM p), m AS (SELECT min(lower(top)) AS top FROM q WHERE length(path) > length(top)) SELECT page_id, path FROM q WHERE starts_with(lower(path), (SELECT top FROM m) || '/')")
+def in_folder_tree(spark, d):
+    """All pages under the first second-level folder, by a range of folder numbers; the folder is asked for in other case."""
+    tree, placed = _placed_pages(spark, d)
+    first = tree.where("length(folder) - length(replace(folder, '/', '')) = 1").agg(F.min("key").alias("k")).first()["k"]
+    return folders.full_paths(placed.where(folders.within(tree, (first or "none").upper())), tree)
+
+
+@query(f"WITH {_PATHS} h AS (SELECT max(string_split(path, '/')[1]) AS host FROM p) SELECT page_id, CASE WHEN lower(string_split(path, '/')[1]) = lower((SELECT host FROM h)) AND contains(path, '/') THEN 'archive/old' || path[length((SELECT host FROM h)) + 1:] ELSE path END AS path FROM p")
+def folder_remap(spark, d):
+    """All pages with their paths after the last host's folder moved: the tree is rewritten, the pages are not."""
+    tree, placed = _placed_pages(spark, d)
+    host = table(spark, d, "pages").select(F.max(F.get(F.split(F.regexp_replace("url", "[?#].*$", ""), "/", -1), F.lit(2))).alias("h")).first()["h"]
+    return folders.full_paths(placed, folders.moved(tree, host, "archive/old"))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def within_results_semi(spark, d):
     return filters.within(table(spark, d, "documents"), table(spark, d, "labels").where("toxic = 1"), "doc_id").select("doc_id", "lang")
