@@ -177,10 +177,12 @@ HUBS = 2
 def connecting_pairs(texts: DataFrame, components, threshold: float, width: int = SHINGLE, first: DataFrame | None = None) -> DataFrame:
     """(a, b): verified pairs that connect what all pairs would connect.
 
-    In a few rounds, each shared shingle links its texts to a hub.  ``components`` finds what the links connect,
-    and only texts of a shingle that are still apart are then compared: all those outside the shingle's largest
-    component with all others.  A large group of near copies that are like one of them is not squared.  Of ``first``, candidates (a, b) that
-    are known otherwise, those that reach the threshold are links from the start.
+    In a few rounds, each shared shingle links its texts to a hub.  ``components`` finds what the links connect.  Only
+    texts that share a shingle and are still apart go on: their prefixes are made anew, in the order of all their
+    shingles, and those outside a shingle's largest component are compared with all others.  That is exact, since such
+    texts are all there and any one order serves.  Neither a large group of near copies nor a passage that many
+    otherwise different texts share gives more pairs than are alike.  Of ``first``, candidates (a, b) that are known otherwise, those that
+    reach the threshold are links from the start.
     """
     buckets, sets = prefixes(texts, threshold, width)
     links = [] if first is None else [materialize(verified(first.select("a", "b").distinct(), sets, threshold).select("a", "b"), "near")]
@@ -189,13 +191,71 @@ def connecting_pairs(texts: DataFrame, components, threshold: float, width: int
         links.append(_star(labelled, sets, threshold))
         discard(labelled)
     near = materialize(reduce(DataFrame.unionByName, links), "near")
-    roots = materialize(components(near), "roots")
-    rooted = materialize(buckets.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "rooted")
-    mixed = materialize(rooted.join(_apart(rooted), "h"), "mixed")
-    x = _side(mixed.where("root <> main"), "a", "x", F.col("root").alias("p"))
-    y = _side(mixed, "b", "y", F.col("root").alias("q"))
-    rest = x.join(y, "h").where((F.col("p") != F.col("q")) & _fitting(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    far = materialize(verified(rest, sets, threshold).select("a", "b"), "far")
+    roots = materialize(components(near).select(F.col("node").alias("k"), "root"), "roots")
+    mixed = _mixed(buckets, roots)
+    apart = _complete_prefixes(mixed.select("k").distinct(), sets, threshold)
+    anew = _mixed(apart, roots)
+    far = materialize(verified(_still_apart(anew, threshold), sets, threshold).select("a", "b"), "far")
     out = materialize(near.unionByName(far), "links")
-    discard(buckets, sets, *links, near, roots, rooted, mixed, far)
+    discard(buckets, sets, *links, near, roots, mixed, apart, anew, far)
     return out
+
+
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of texts by shingle with their ``root`` and the shingle's ``main`` one, of shingles whose texts have several."""
+    rooted = materialize(buckets.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")), "rooted")
+    mixed = materialize(rooted.join(_apart(rooted), "h"), "mixed")
+    discard(rooted)
+    return mixed
+
+
+#: Words of 64 bits of a text's parity map.
+PARITY = 16
+
+
+def _parities(shingles: DataFrame) -> DataFrame:
+    """(k, bits) of ``shingles(k, h)``: for each of 1024 classes of shingles whether the text has an odd number of them."""
+    bit = "shiftleft(1L, cast(shiftright(h, 4) & 63 as int))"
+    words = [F.expr(f"coalesce(bit_xor(case when h & {PARITY - 1} = {w} then {bit} end), 0L)").alias(f"w{w}") for w in range(PARITY)]
+    return shingles.groupBy("k").agg(*words).select("k", F.array(*[f"w{w}" for w in range(PARITY)]).alias("bits"))
+
+
+def _alike(threshold: float):
+    """Whether two texts can reach the similarity by their parity maps, which differ in no more bits than the sets do in shingles."""
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col("xbits")[w].bitwiseXOR(F.col("ybits")[w])) for w in range(PARITY)])
+    return apart <= (F.col("xn") + F.col("yn")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+
+
+def _complete_prefixes(keys: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(h, k, n, bits, pos): prefix shingles of the texts of ``keys(k)``, in the order of their frequency among these texts.
+
+    All shingles of these texts are counted, so those that a text has alone come before any that it shares, and a
+    passage that many texts share is in the prefix of a text that has little else.
+    """
+    own = materialize(sets.join(keys, "k", "left_semi").select("k", "n", F.explode("shingles").alias("h")), "shingles")
+    shared = materialize(own.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    met, each = own.join(shared, "h"), Window.partitionBy("k")
+    pos = F.col("n") - F.count("*").over(each) + F.row_number().over(each.orderBy("df", "h")) - 1
+    placed = met.withColumn("pos", pos.cast("int")).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9))
+    bits = materialize(_parities(own), "parities")
+    out = materialize(placed.join(bits, "k").select("h", "k", "n", "bits", "pos"), "prefixes")
+    discard(own, shared, bits)
+    return out
+
+
+def _still_apart(mixed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of texts with different roots that can reach the similarity.
+
+    Of two texts the one with fewer shingles has the more in common with the other: at least 2t / (1 + t) of its own.
+    So it needs no more than the shingles that leave as many behind them, about half of its prefix.  Copies that were
+    altered in different places share most of their prefixes; what they lack is seen by their parity maps.
+    """
+    part = 2 * threshold / (1 + threshold)
+    short = mixed.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * part - 1e-9))
+    pairs = []
+    for outside in (True, False):  # pairs within the main root are not even met
+        x = _side(short.where(F.col("root") != F.col("main") if outside else F.col("root") == F.col("main")), "a", "x", F.col("root").alias("p"), F.col("bits").alias("xbits"))
+        y = _side(mixed if outside else mixed.where("root <> main"), "b", "y", F.col("root").alias("q"), F.col("bits").alias("ybits"))
+        order = (F.col("xn") < F.col("yn")) | (F.col("xn") == F.col("yn")) & (F.col("a") < F.col("b"))
+        pairs.append(x.join(y, "h").where(order & (F.col("p") != F.col("q")) & _fitting(threshold) & _alike(threshold)).select("a", "b"))
+    return pairs[0].unionByName(pairs[1]).distinct()
