@@ -494,6 +494,22 @@ def rrf_fusion(spark, d):
     return meaning.fuse(words, near, "id", by="question").select("question", "id", F.round("score", 9).alias("score"), "only_meaning")
 
 
+@query(
+    "WITH f AS (SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars >= 1000), "
+    "s AS (SELECT q.vec_id AS question, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 WHERE v.vec_id IN (FROM f)), "
+    f"m AS (SELECT * FROM (SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS m FROM s) WHERE m <= 60), {_T}, "
+    f"l AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) AS w FROM (SELECT doc_id AS id, {_n('with')} + {_n('from')} AS n FROM t WHERE {_n('with')} > 0 AND {_n('from')} > 0 AND doc_id IN (FROM f) ORDER BY n DESC, id LIMIT 200)), w AS (SELECT question, id, w FROM l, (SELECT DISTINCT question FROM m)) "
+    "SELECT coalesce(w.question, m.question) AS question, coalesce(w.id, m.id) AS doc_id, round(coalesce(1 / (60 + w), 0) + coalesce(1 / (60 + m), 0), 9) AS score, w.id IS NULL AS only_meaning FROM w FULL JOIN m ON w.id = m.id AND w.question = m.question"
+)
+def composed_search(spark, d):
+    """English documents of some length by words and by the vectors of the same numbers, for every question."""
+    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    kept = indexed(spark, d).documents.where("lang = 'en' and size >= 1000").select("doc_id")
+    words = found(spark, d, "with from").join(kept, "doc_id", "left_semi").select("doc_id", F.col("matches").cast("double").alias("score")).orderBy(F.desc("score"), "doc_id").limit(200)
+    fused = meaning.composed_search(words, vectors, vectors.where("doc_id % 100 = 0"), kept, "doc_id")
+    return fused.select("question", "doc_id", F.round("score", 9).alias("score"), "only_meaning")
+
+
 def _crawl_and_manifest(spark, d) -> tuple[DataFrame, DataFrame]:
     """A crawl that sees the labelled documents, and a manifest of all documents whose toxic ones have changed since."""
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("site_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.lit(0).cast("long").alias("modified"))

@@ -163,6 +163,17 @@ def fuse(words: DataFrame, meaning: DataFrame, key: str, k: int = RRF_K, by: str
     return both.select(*keys, (part("w") + part("m")).alias("score"), F.col("w").isNull().alias("only_meaning"))
 
 
+def composed_search(words: DataFrame, vectors: DataFrame, questions: DataFrame, kept: DataFrame, key: str, most: int = DOCUMENTS, column: str = "embedding") -> DataFrame:
+    """(question, key, score, only_meaning): each question's nearest vectors fused with the hits of a word search, of the same rows.
+
+    ``kept(key)`` are the rows that pass the request's filters.  It narrows the vectors before the nearest are taken, so
+    a filter never leaves a question with fewer neighbours than pass it, and it narrows ``words(key, score)``.
+    """
+    passed = kept.select(key).distinct()
+    near = nearest_to_all(vectors.join(passed, key, "left_semi"), questions, most, key, column)
+    return fuse(words.join(passed, key, "left_semi"), near.select("question", key, "score"), key, by="question")
+
+
 def build_index(docs: DataFrame, embed, batch: int = 32, most: int | None = None) -> DataFrame:
     """(site_id, path, file, passage, start, end, vec): ``embed`` turns a list of texts into vectors.
 
