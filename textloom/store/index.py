@@ -377,15 +377,18 @@ class SearchIndex:
             form = lambda i: F.struct("token", "lang", "raw").isin(*f) if (f := spelled(i)) else none
         else:
             # one inner join by token, which adaptive execution can split, and forms beside it; what is not asked for is never kept
-            found = materialize(found, "spellings")
+            inflected = any(a.forms for a in asked)
+            found = materialize(found, "spellings") if inflected else found
             flag = lambda i, way: F.coalesce(F.max((F.col("clause") == i) & (F.col("way") == way)), none)
             each = [(i, way) for i in range(len(asked)) for way in "cz"]
             named = [self.spark.createDataFrame([(w,) for w in static], "token string").select(F.lit(-1).alias("clause"), F.lit("").alias("way"), "token")] if static else []
             by_token = reduce(DataFrame.unionByName, [found.select("clause", "way", "token"), *named]).groupBy("token").agg(*[flag(i, way).alias(f"{way}_{i}") for i, way in each])
-            by_form = found.where("way = 's'").groupBy("token", "lang", "raw").agg(*[flag(i, "s").alias(f"s_{i}") for i in range(len(asked))])
-            rows = self.postings.join(by_token, "token").join(by_form, ["token", "lang", "raw"], "left")
+            rows = self.postings.join(by_token, "token")
+            if inflected:
+                by_form = found.where("way = 's'").groupBy("token", "lang", "raw").agg(*[flag(i, "s").alias(f"s_{i}") for i in range(len(asked))])
+                rows = rows.join(by_form, ["token", "lang", "raw"], "left")
             hit = lambda i, way: F.col(f"{way}_{i}")
-            form = lambda i: F.coalesce(F.col(f"s_{i}"), none)
+            form = lambda i: F.coalesce(F.col(f"s_{i}"), none) if inflected else none
         flags = []
         for i, e in enumerate(exact):
             own = e | hit(i, "c")
