@@ -90,3 +90,22 @@ def test_batches_of_changes(spark, tmp_path):
     assert found(SearchIndex(spark, index.folder), "pear") == {3: 1} and len(index.numbers) == 3
     _ = (tmp_path / "i" / "g000002" / "sites" / "_SUCCESS").unlink()  # a batch that did not end
     assert found(SearchIndex(spark, index.folder), "pear") == {}
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_grouped_where_their_text_is_read(spark, tmp_path, monkeypatch):
+    """A text's words become postings without a shuffle, in runs sorted by token, however long a run is."""
+    texts = [(7, "s", "en", False, 0, ["café", "a", "café", "b"], ["", " ", "\n", "--é"]), (8, None, "fr", False, 0, [], []), (9, "s", "fr", True, 100, ["cafe"], ["> "])]
+    rows = spark.createDataFrame(texts, "doc_id long, site_id string, lang string, named boolean, start int, raw array<string>, gap array<string>").coalesce(1)
+    wanted = {("a", "a", "en", "s", 7, False, 1, (1,), (5,)), ("b", "b", "en", "s", 7, False, 1, (3,), (14,)), ("cafe", "café", "en", "s", 7, False, 2, (0, 2), (0, 7)), ("cafe", "cafe", "fr", "s", 9, True, 1, (100,), (2,))}
+    for words in (module.RUN_WORDS, 1):
+        monkeypatch.setattr(module, "RUN_WORDS", words)
+        made = module._postings(rows)
+        assert "Exchange" not in _plan(made)
+        got = [tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in made.collect()]
+        assert set(got) == wanted and len(got) == len(wanted)
+        assert words == 1 or [r[0] for r in got] == sorted(r[0] for r in got)
+

@@ -1,7 +1,7 @@
 """A word index: postings clustered by token, ways from spellings to tokens, and documents without their bodies.
 
-``postings`` (token, raw, lang, site_id, doc_id, named, tf, positions, starts) are ranged and sorted by token and
-document, so that a search for a few tokens reads the row groups that hold them; words of a document's name are
+``postings`` (token, raw, lang, site_id, doc_id, named, tf, positions, starts) are sorted by token in runs of texts as they
+are read, ranged by token when generations are merged, so that a search for a few tokens reads the pages that hold them; words of a document's name are
 ``named``, and ``starts`` are characters of the folded text.  ``dictionary`` (lang, raw, token, df, stem, core) has each
 spelling once.  ``grams`` (gram, pos, length, token) are the trigrams of the tokens, padded at both ends: partial words
 and typos find their candidates there.  ``stems`` (stem, lang, raw, token, core) does so for inflected forms.
@@ -15,21 +15,25 @@ texts instead, which an index can keep as ``bodies`` (doc_id, body).
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stem import stem
-from ..functions.text import MAX_TOKEN_BYTES, WORD, core_length, fold, fold_text, fuzzy_distance, split_words, stem_input, with_lam
+from ..functions.text import MAX_TOKEN_BYTES, WORD, _fold_table, core_length, fold, fold_text, fuzzy_distance, split_words, stem_input, with_lam
 from ..operators.intervals import mutual_counts
 from ..operators.search import B, K1, SearchRequest, hits, with_snippets
 from ..plans import query as q
 from ..plans.compile import APPROXIMATE_ONLY, CONTAINS_BOOST, FUZZY_BOOST, NAME_BOOST, STEM_BOOST, Options, count_in
-from ..session import delete_path, materialize
+from ..session import delete_path, materialize, return_memory
 
 #: A spelling: a word character, then word characters and marks.
 RAW = rf"([{WORD}][{WORD}\p{{M}}]*)"
@@ -54,13 +58,97 @@ GRAM, BEFORE, BEHIND = 3, "\x02", "\x03"
 TIER = 4
 #: Removed documents up to this number are broadcast, ids of eight bytes or a path each.
 BROADCAST_REMOVED = 100_000
+#: Words and trigrams of a run that is sorted at once, rows that a task passes on at once, and bytes of a row group.
+RUN_WORDS, RUN_GRAMS, OUT_ROWS, ROW_GROUP = 2_000_000, 1_000_000, 50_000, 8 << 20
 #: Places of words of the name begin here, so that no phrase runs from the name into the text.
 NAME_PLACES = 1 << 30
 
 
+def _runs(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows that hold about ``most`` of what ``size`` counts in each; a longer row is a run of its own."""
+    held, n = [], 0
+    for batch in batches:
+        through, first = np.cumsum(size(batch)), 0
+        while first < batch.num_rows:
+            before = int(through[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(through, before + most - n, "right")))
+            held.append(batch.slice(first, last - first))
+            n, first = n + int(through[last - 1]) - before, last
+            if n >= most or first < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _parts(run: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (run.slice(i, OUT_ROWS) for i in range(0, run.num_rows, OUT_ROWS))
+
+
+def _postings(texts: DataFrame) -> DataFrame:
+    """Postings of ``texts(doc_id, site_id, lang, named, start, raw, gap)``: spellings, and what stands before each.
+
+    A text is one row, so its words are grouped where it is read, a run of texts at a time.  A run is sorted by token
+    and is no longer than a few row groups, of which a search reads the pages that hold its tokens.
+    """
+    source, target = _fold_table()
+    folded = str.maketrans(source[: len(target)], target, source[len(target) :])
+
+    def run(batches):
+        for batch in _runs(batches, lambda b: b.column("raw").value_lengths().to_numpy(zero_copy_only=False), RUN_WORDS):
+            sizes = batch.column("raw").value_lengths().to_numpy(zero_copy_only=False)
+            coded = batch.column("raw").flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            spelled = coded.dictionary.to_pylist()
+            tokens = [r.translate(folded) for r in spelled]
+            order = sorted(range(len(tokens)), key=lambda i: (tokens[i], spelled[i]))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            width = np.array([len(t) for t in tokens])[code]
+            gaps = batch.column("gap").flatten().dictionary_encode()
+            end = np.cumsum(np.array([len(g.translate(folded)) for g in gaps.dictionary.to_pylist()])[gaps.indices.to_numpy()] + width)
+            first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+            base = np.concatenate(([0], end))[first]
+            key = rank[code] * len(sizes) + row
+            place = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.diff(key[place], prepend=-1))
+            pos = (np.arange(len(code)) - first[row] + batch.column("start").to_numpy()[row])[place].astype(np.int32)
+            at = (end - width - base[row])[place].astype(np.int32)
+            bounds = pa.array(np.append(starts, len(code)), pa.int32())
+            which, text = pa.array(code[place][starts]), pa.array(row[place][starts])
+            columns = [pa.array(tokens).take(which), coded.dictionary.take(which), *[batch.column(c).take(text) for c in ("lang", "site_id", "doc_id", "named")]]
+            columns += [pa.array(np.diff(np.append(starts, len(code))), pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(pos)), pa.ListArray.from_arrays(bounds, pa.array(at))]
+            yield from _parts(pa.RecordBatch.from_arrays(columns, ["token", "raw", "lang", "site_id", "doc_id", "named", "tf", "positions", "starts"]))
+        return_memory()
+
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+    return texts.mapInArrow(run, f"token string, raw string, lang string, site_id {kinds['site_id']}, doc_id {kinds['doc_id']}, named boolean, tf int, positions array<int>, starts array<int>")
+
+
+def _grams(words: DataFrame) -> DataFrame:
+    """(gram, pos, length, token) of ``words(token)``, in runs sorted by gram."""
+
+    def run(batches):
+        for batch in _runs(batches, lambda b: pc.utf8_length(b.column("token")).to_numpy() + GRAM - 1, RUN_GRAMS):
+            tokens = batch.column("token").to_pylist()
+            sizes = np.array([len(t) + GRAM - 1 for t in tokens])
+            coded = pa.array([g for t in tokens for g, _ in _trigrams(t)], pa.string()).dictionary_encode()
+            rank = pc.rank(coded.dictionary).to_numpy().astype(np.int64)
+            place = np.argsort(rank[coded.indices.to_numpy()], kind="stable")
+            of = np.repeat(np.arange(len(tokens)), sizes)
+            pos = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            columns = [coded.dictionary.take(coded.indices.take(pa.array(place))), pa.array(pos[place], pa.int32()), pa.array((sizes - GRAM + 1)[of][place], pa.int32()), batch.column("token").take(pa.array(of[place]))]
+            yield from _parts(pa.RecordBatch.from_arrays(columns, ["gram", "pos", "length", "token"]))
+        return_memory()
+
+    return words.mapInArrow(run, "gram string, pos int, length int, token string")
+
+
 def _write_postings(postings: DataFrame, path: str) -> DataFrame:
-    """Postings in order; a token of very many documents lies in several ranges."""
-    postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    """Merged postings in one order; a token of very many documents lies in several ranges."""
+    postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
     return postings.sparkSession.read.schema(postings.schema).parquet(f"{path}/postings")
 
 
@@ -68,11 +156,7 @@ def _write_spellings(words: DataFrame, path: str) -> None:
     """The dictionary of ``words(lang, raw, token, df, stem, core)`` and the tables by which its tokens are found."""
     words.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/dictionary")
     written = words.sparkSession.read.schema(words.schema).parquet(f"{path}/dictionary")
-    length = F.length("token")
-    padded = F.concat(F.lit(BEFORE * (GRAM - 1)), F.col("token"), F.lit(BEHIND * (GRAM - 1)))
-    pieces = F.transform(F.sequence(F.lit(1), length + GRAM - 1), lambda i: F.substring(padded, i, F.lit(GRAM)))
-    grams = written.select("token").distinct().select("token", length.alias("length"), F.posexplode(pieces).alias("pos", "gram")).select("gram", "pos", "length", "token")
-    grams.repartitionByRange("gram", "token").sortWithinPartitions("gram", "token").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/grams")
+    _grams(written.select("token").distinct()).write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/grams")
     stems = written.where("stem is not null").select("stem", "lang", "raw", "token", "core")
     stems.repartitionByRange("stem", "raw").sortWithinPartitions("stem", "raw").write.mode("overwrite").parquet(f"{path}/stems")
 
@@ -84,15 +168,11 @@ def _write_generation(docs: DataFrame, folder: str, number: int, body: str, key:
     texts = F.array(*[F.struct(F.lit(named).alias("named"), F.lit(start).alias("start"), F.coalesce(text, F.lit("")).alias("text")) for named, text, start in fields])
     each = docs.select(F.col(key).alias("doc_id"), "site_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(texts).alias("t"))
     each = each.select("doc_id", "site_id", "lang", "t.named", "t.start", stem_input(F.col("t.text")).alias("text"))
-    pieces = F.arrays_zip(F.regexp_extract_all("text", F.lit(RAW), 1).alias("raw"), F.split("text", RAW, -1).alias("gap"))
-    spelled = each.select("doc_id", "site_id", "lang", "named", "start", F.posexplode(pieces).alias("pos", "p")).where("p.raw is not null")
-    spelled = spelled.select("doc_id", "site_id", "lang", "named", (F.col("start") + F.col("pos")).alias("pos"), "p.raw", fold(F.col("p.raw")).alias("token"), F.length(fold(F.col("p.gap"))).alias("gap"))
-    # one shuffle by document serves the running sum of lengths and the grouping of its words
-    through = F.sum(F.col("gap") + F.length("token")).over(Window.partitionBy("doc_id", "named").orderBy("pos"))
-    placed = spelled.withColumn("at", F.struct("pos", (through - F.length("token")).cast("int").alias("start")))
-    grouped = placed.groupBy("doc_id", "named", "site_id", "lang", "raw", "token").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("at"))
-    postings = grouped.select("token", "raw", "lang", "site_id", "doc_id", "named", "tf", F.col("at.pos").alias("positions"), F.col("at.start").alias("starts"))
-    written = _write_postings(postings.where("token <> ''"), path)
+    raw = F.regexp_extract_all("text", F.lit(RAW), 1)
+    gap = F.slice(F.split("text", RAW, -1), F.lit(1), F.size(raw))
+    postings = _postings(each.select("doc_id", "site_id", "lang", "named", "start", raw.alias("raw"), gap.alias("gap")))
+    postings.where("token <> ''").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
+    written = docs.sparkSession.read.schema(postings.schema).parquet(f"{path}/postings")
     words = written.groupBy("lang", "raw", "token").agg(F.count("*").alias("df"))
     _write_spellings(words.withColumns({"stem": _stems("raw", "lang"), "core": _cores("token")}), path)
     lengths = written.where("not named").groupBy("doc_id").agg(F.sum("tf").alias("length")).withColumnRenamed("doc_id", "_id")
@@ -159,7 +239,7 @@ def _size(spark: SparkSession, path: str, removed: bool) -> tuple[int, int]:
 def build_index(docs: DataFrame, folder: str, body: str = "body", key: str = "doc_id", bodies: bool = False) -> SearchIndex:
     """Write the index of ``docs(doc_id, site_id, lang, body, ...)`` into ``folder`` and open it, with the texts if ``bodies``.
 
-    Ids are unique and not null; a null text has no tokens.  Tokens are shuffled once, by document and spelling.
+    Ids are unique and not null; a null text has no tokens.  Words are grouped where their text is read; only spellings are shuffled.
     """
     path = _write_generation(docs, folder, 0, body, key, bodies)
     _commit(docs.sparkSession, folder, {0: _size(docs.sparkSession, path, False)})
