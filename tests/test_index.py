@@ -109,3 +109,10 @@ def test_words_are_grouped_where_their_text_is_read(spark, tmp_path, monkeypatch
         assert set(got) == wanted and len(got) == len(wanted)
         assert words == 1 or [r[0] for r in got] == sorted(r[0] for r in got)
 
+
+def test_many_spellings_need_no_shuffle_of_postings(index, monkeypatch):
+    few = {o: found(index, w, **o_) for o, (w, o_) in {"part": ("a", {"whole_word": False}), "typo": ("LIKE contrat", {})}.items()}
+    monkeypatch.setattr(module, "STATIC_TOKENS", 0)
+    assert {o: found(index, w, **o_) for o, (w, o_) in {"part": ("a", {"whole_word": False}), "typo": ("LIKE contrat", {})}.items()} == few
+    rows, _ = index._rows([module._asked(q.Word("a"), Options(whole_word=False), False)])
+    assert "Exchange" not in _plan(rows) and "Join" not in _plan(rows)

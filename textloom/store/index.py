@@ -38,7 +38,7 @@ from ..session import delete_path, materialize, return_memory
 #: A spelling: a word character, then word characters and marks.
 RAW = rf"([{WORD}][{WORD}\p{{M}}]*)"
 STEMMED = ("en", "fr", "es", "ar")
-#: Up to so many tokens are searched by a condition on the postings; more are joined as a table.
+#: Up to so many tokens are searched by a list of them; more by the conditions that they fulfil, and forms by a join.
 STATIC_TOKENS = 1000
 
 
@@ -365,6 +365,12 @@ def _trigrams(word: str) -> list[tuple[str, int]]:
     return [(padded[i : i + GRAM], i) for i in range(len(word) + GRAM - 1)]
 
 
+def _within(word: str, distance: int) -> Column:
+    """Whether a token is within an edit distance of a word."""
+    about = F.length("token").between(len(word) - distance, len(word) + distance)
+    return about & (F.octet_length("token") < MAX_TOKEN_BYTES) & (F.levenshtein("token", F.lit(word), distance) >= 0)
+
+
 def _moved(places: Column, k: int) -> Column:
     return F.transform(places, lambda p: p - k)
 
@@ -414,7 +420,7 @@ class SearchIndex:
             some = met.where(F.col("n") >= F.greatest(F.lit(n), F.col("length")) + GRAM - 1 - GRAM * distance)
         else:
             some = rows.where("pos = 0").select("token").distinct()
-        return some.where((F.octet_length("token") < MAX_TOKEN_BYTES) & (F.levenshtein("token", F.lit(word), distance) >= 0)).select("token")
+        return some.where(_within(word, distance)).select("token")
 
     def _forms(self, raw: str) -> DataFrame:
         """(token, lang, raw) of spellings of a language that have the word's stem there and about its length."""
@@ -456,19 +462,21 @@ class SearchIndex:
             hit = lambda i, way: F.col("token").isin(*t) if (t := tokens(i, way)) else none
             form = lambda i: F.struct("token", "lang", "raw").isin(*f) if (f := spelled(i)) else none
         else:
-            # one inner join by token, which adaptive execution can split, and forms beside it; what is not asked for is never kept
-            inflected = any(a.forms for a in asked)
-            found = materialize(found, "spellings") if inflected else found
-            flag = lambda i, way: F.coalesce(F.max((F.col("clause") == i) & (F.col("way") == way)), none)
-            each = [(i, way) for i in range(len(asked)) for way in "cz"]
-            named = [self.spark.createDataFrame([(w,) for w in static], "token string").select(F.lit(-1).alias("clause"), F.lit("").alias("way"), "token")] if static else []
-            by_token = reduce(DataFrame.unionByName, [found.select("clause", "way", "token"), *named]).groupBy("token").agg(*[flag(i, way).alias(f"{way}_{i}") for i, way in each])
-            rows = self.postings.join(by_token, "token")
+            # parts and typos are judged on the postings themselves, which are read once and not shuffled; forms are joined beside them
+            def hit(i: int, way: str) -> Column:
+                a, token = asked[i], F.col("token")
+                if a.plain or not a.exact or not (a.partial if way == "c" else a.typos):
+                    return none
+                return F.contains(token, F.lit(a.words[0])) if way == "c" else _within(a.words[0], a.typos)
+
+            inflected, rows = any(a.forms for a in asked), self.postings
             if inflected:
-                by_form = found.where("way = 's'").groupBy("token", "lang", "raw").agg(*[flag(i, "s").alias(f"s_{i}") for i in range(len(asked))])
+                found = materialize(found.where("way = 's'"), "spellings")
+                by_form = found.groupBy("token", "lang", "raw").agg(*[F.coalesce(F.max(F.col("clause") == i), none).alias(f"s_{i}") for i in range(len(asked))])
                 rows = rows.join(by_form, ["token", "lang", "raw"], "left")
-            hit = lambda i, way: F.col(f"{way}_{i}")
             form = lambda i: F.coalesce(F.col(f"s_{i}"), none) if inflected else none
+            some_way = [hit(i, way) for i in range(len(asked)) for way in "cz"] + [form(i) for i in range(len(asked))]
+            rows = rows.where(reduce(lambda a, b: a | b, some_way, F.col("token").isin(*static)))
         flags = []
         for i, e in enumerate(exact):
             own = e | hit(i, "c")
