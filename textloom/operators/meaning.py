@@ -6,10 +6,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import exploded
+
 PASSAGES, DOCUMENTS, MARGIN, FLOOR, RRF_K = 400, 60, 0.05, 0.78, 60
 TARGET_WORDS, MOST_WORDS, MOST_PASSAGES = 120, 160, 12
 SENTENCE_ENDS = ".!?؟\n。"
@@ -48,14 +51,12 @@ def split_passages(name: str, text: str, most: int | None = MOST_PASSAGES) -> li
 
 def passages(docs: DataFrame, name: str = "name", body: str = "body", most: int | None = None) -> DataFrame:
     """(site_id, path, file, passage, start, end, text) of whole texts, or of the first ``most`` passages of each."""
-    kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
 
-    @F.pandas_udf(kind)
-    def cut(names: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b, "text": t} for a, b, t in split_passages(n or "", x or "", most)] for n, x in zip(names, texts)])
+    def cut(title, text):
+        return [(n, *p) for n, p in enumerate(split_passages(title or "", text or "", most))]
 
-    rows = docs.select("site_id", "path", "file", F.posexplode(cut(F.col(name), F.col(body))).alias("passage", "p"))
-    return rows.select("site_id", "path", "file", "passage", "p.start", "p.end", "p.text")
+    rows = docs.select("site_id", "path", "file", F.col(name).alias("_name"), F.col(body).alias("_body"))
+    return exploded(rows, ["site_id", "path", "file"], lambda: cut, {"passage": pa.int32(), "start": pa.int32(), "end": pa.int32(), "text": pa.string()})
 
 
 def clean_question(text: str) -> str:

@@ -6,9 +6,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import from_arrow_type
 
 _SHIPPED: set[str] = set()
 _OWN_DIR: dict[str, str] = {}
@@ -77,6 +80,42 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+#: Items and characters of input after which a task passes on what it has made.
+ITEMS_AT_ONCE, CHARACTERS_AT_ONCE = 5_000, 1 << 20
+
+
+def exploded(rows: DataFrame, keep: list[str], make: Callable[[], Callable[..., list[tuple]]], items: dict[str, pa.DataType]) -> DataFrame:
+    """The ``keep`` columns of ``rows`` beside each item, of the columns ``items``, that a function gives for the others.
+
+    ``make`` gives the function of a task.
+    """
+    others = [c for c in rows.columns if c not in keep]
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), *(f"`{c}` {from_arrow_type(t).simpleString()}" for c, t in items.items())])
+
+    def run(batches):
+        yield from exploded_batches(batches, len(keep), make(), items)
+        return_memory()
+
+    return rows.select(*keep, *others).mapInArrow(run, schema)
+
+
+def exploded_batches(batches: Iterable[pa.RecordBatch], keep: int, function: Callable[..., list[tuple]], items: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The first ``keep`` columns beside the items of each row; rows are read one by one, however large their batch is."""
+    for batch in batches:
+        names, others = [*batch.schema.names[:keep], *items], batch.columns[keep:]
+        of, held, size = [], [], 0
+        for i in range(batch.num_rows):
+            values = [c[i].as_py() for c in others]
+            size += sum(len(v) for v in values if isinstance(v, str))
+            made = function(*values)
+            of += [i] * len(made)
+            held += made
+            if len(held) >= ITEMS_AT_ONCE or size >= CHARACTERS_AT_ONCE or i == batch.num_rows - 1:
+                kept = [batch.column(c).take(pa.array(of, pa.int64())) for c in range(keep)]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array([x[k] for x in held], t) for k, t in enumerate(items.values())], names)
+                of, held, size = [], [], 0
+
+
 def return_memory() -> None:
     """Give freed memory of a Python worker, which outlives its task, back to the machine."""
     import ctypes
