@@ -116,3 +116,10 @@ def test_many_spellings_need_no_shuffle_of_postings(index, monkeypatch):
     assert {o: found(index, w, **o_) for o, (w, o_) in {"part": ("a", {"whole_word": False}), "typo": ("LIKE contrat", {})}.items()} == few
     rows, _ = index._rows([module._asked(q.Word("a"), Options(whole_word=False), False)])
     assert "Exchange" not in _plan(rows) and "Join" not in _plan(rows)
+
+
+@pytest.mark.parametrize("word", ["contrat", "عقد"])
+def test_many_forms_beside_typos(index, monkeypatch, word):
+    few = found(index, word, stems=True, fuzzy=True)
+    monkeypatch.setattr(module, "STATIC_TOKENS", 0)
+    assert found(index, word, stems=True, fuzzy=True) == few and few
