@@ -121,3 +121,12 @@ def test_nothing_and_nulls(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, " a b "), (4, "A B")], KEYS)
     got = {(min(r), max(r)) for r in map(tuple, setjoin.connecting_pairs(rows, dupes.components, 0.8).collect())}
     assert got == {(1, 2), (3, 4)}
+
+
+def test_unlike_candidates_are_dropped_before_sets_are_sent(spark):
+    from textloom.operators import setjoin
+
+    rows = [(1, list(range(0, 3200, 16))), (2, list(range(0, 3184, 16))), (3, list(range(16, 6400, 32)))]
+    sets = spark.createDataFrame([(k, len(h), h) for k, h in rows], "k long, n int, shingles array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert [tuple(r) for r in setjoin._alike_candidates(pairs, sets, 0.8).collect()] == [(1, 2)]

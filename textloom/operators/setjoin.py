@@ -140,7 +140,15 @@ def all_pairs(texts: DataFrame, threshold: float, width: int = SHINGLE) -> DataF
     met, sets = prefixes(texts, threshold, width)
     both = _side(met, "a", "x").join(_side(met, "b", "y"), "h").where((F.col("a") < F.col("b")) & _fitting(threshold))
     candidates = materialize(both.select("a", "b").distinct(), "candidates")
-    return verified(candidates, sets, threshold)
+    return verified(_alike_candidates(candidates, sets, threshold), sets, threshold)
+
+
+def _alike_candidates(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The candidates that can reach the similarity by their parity maps, so that sets are not sent to the others."""
+    bits = materialize(_parities(sets.select("k", F.explode("shingles").alias("h"))).join(sets.select("k", "n"), "k"), "parities")
+    side = lambda key, x: bits.select(F.col("k").alias(key), F.col("n").alias(f"{x}n"), F.col("bits").alias(f"{x}bits"))
+    met = candidates.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_alike(threshold))
+    return materialize(met.select("a", "b"), "alike")
 
 
 def _labelled(buckets: DataFrame, links: list[DataFrame]) -> DataFrame:
