@@ -9,12 +9,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
 
-from textloom.llm import bpe_duckdb, chat_format, decontaminate, flac_media, graph, line_dedup, ordinal_quality, simhash_mih, token_files, url_reputation, warc_zstd
+from textloom.llm import bpe_duckdb, chat_format, decontaminate, flac_media, graph, line_dedup, ordinal_quality, piece_cache, simhash_mih, token_files, url_reputation, warc_zstd
 from textloom.llm.piece_cache import PieceEncoder
 from textloom.llm.queries import vocabulary
 
@@ -801,6 +802,21 @@ def test_bpe_holds_the_pieces_of_few_texts_at_a_time():
     assert [len(x) for x in coder.encode(["", ""])] == [0, 0]
 
 
+def test_bpe_worker_keeps_no_words_after_a_task():
+    """Idle workers take tasks in turn, so an executor would hold the words of each of them."""
+    texts, seen = pa.array([prose(400, 20, i) for i in range(20)] + [None]), []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(21)), texts], ["id", "text"])
+    for run in (bpe_duckdb._report_batches, bpe_duckdb._encode_batches, bpe_duckdb._report_batches):
+        seen.append([x.to_pydict() for x in run(iter([batch]), RANKS, public_tokenizers.PATTERN)])
+        coder = bpe_duckdb.Coder._loaded[RANKS, public_tokenizers.PATTERN]
+        assert not (coder.words or coder.pieces or coder.old_words or coder.old_pieces or coder._con)
+    assert seen[0] == seen[2] and len(seen[0][0]["id"]) == 21
+    stopped = bpe_duckdb._report_batches(iter([batch]), RANKS, public_tokenizers.PATTERN)
+    next(stopped)
+    stopped.close()
+    assert not coder.words
+
+
 def test_bpe_of_very_long_words():
     """Cut words, neighbourhoods, runs of equal pairs, and ranks below those of their parts, against the library."""
     import tiktoken

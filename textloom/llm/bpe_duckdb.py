@@ -4,8 +4,9 @@ Words (matches of the split pattern) are token-position rows, at first one for e
 the recursion joins neighbouring tokens to the merge table and contracts, in each word, the leftmost
 pair of the least rank; a word without such a pair is done.  As in tiktoken, a word that is a token of
 the vocabulary as a whole is that token; a join finds these.  Distinct words are merged
-once for as long as a worker remembers them.  Decoding joins ids to their bytes and aggregates them in
-order.
+once for as long as a task remembers them: Spark deals tasks to all idle workers in turn, so what
+a worker kept would be held as often as an executor has workers.  Decoding joins ids to their bytes
+and aggregates them in order.
 
 A word of more than ``LONG_WORD`` bytes is first cut where no token of the vocabulary lies across:
 no merge can cross such a place, so the parts are merged by themselves.  A part that is still longer
@@ -31,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_cache import cut_text, letters_and_tail, with_lead
-from .shared import return_memory
+from .shared import return_memory, text_slices
 
 #: The pattern of byte_bpe_50k; only under it texts are cut at spaces first, which changes nothing.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Of words, and of pieces of text, in a generation of what a worker remembers.  Results do not depend on it.
+#: Of words, and of pieces of text, in a generation of what a task remembers.  Results do not depend on it.
 CACHE_WORDS, CACHE_PIECES = 300_000, 100_000
 #: Bytes of text that are encoded together, ids that are decoded together, token rows of a recursion,
 #: and rows over all its steps.
-BATCH_BYTES, DECODE_IDS, QUERY_ROWS, STEP_ROWS = 4 << 20, 1 << 18, 100_000, 2_000_000
+BATCH_BYTES, DECODE_IDS, QUERY_ROWS, STEP_ROWS = 1 << 20, 1 << 18, 100_000, 2_000_000
 #: Characters of texts whose pieces are strings at the same time.
 CUT_CHARS = 1 << 18
 #: Bytes of a word that is not cut, and of a part that contracts one pair in a step.
@@ -135,21 +136,17 @@ class Coder:
     _loaded: dict[tuple, Coder] = {}
 
     def __init__(self, path: str, pattern: str):
-        import duckdb
-
         self.ranks, self.pattern, self.cut = load_ranks(path), regex.compile(pattern), pattern == SPACED_PATTERN
         ranks = self.ranks
         self.shown = [str(i) for i in range(max(ranks.values()) + 1)]
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.tables: dict[str, pa.Table] = {}
+        self._con = None
         # bytes as characters of the same number, so that they can be joined as text
         self._table("vocabulary", id=np.array(list(ranks.values()), np.int32), piece=[t.decode("latin-1") for t in ranks], raw=list(ranks))
         self.trie: _Trie | None = None
         self.merging = False
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.forget()
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Coder:
@@ -158,9 +155,35 @@ class Coder:
             cls._loaded[key] = cls(path, pattern)
         return cls._loaded[key]
 
+    @property
+    def con(self):
+        if self._con is None:
+            import duckdb
+
+            self._con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": "", "preserve_insertion_order": False})
+            for name in self.tables:
+                self._load(name)
+        return self._con
+
+    def _load(self, name: str) -> None:
+        self._con.register("rows", self.tables[name])
+        self._con.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
+        self._con.unregister("rows")
+
+    def forget(self) -> None:
+        """Drop words and pieces, and what DuckDB has taken; the vocabulary stays."""
+        if self._con is not None:
+            self._con.close()
+            self._con = None
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
     def _table(self, name: str, **columns) -> None:
-        rows = pa.table(columns)  # noqa: F841  read by name
-        self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM rows")
+        self.con.execute(f"DROP TABLE IF EXISTS {name}")
+        self.tables[name] = pa.table(columns)
+        self._load(name)
 
     def _prepare_merges(self) -> None:
         """The merge table: every pair of tokens that make a token.  Who only decodes does not need it."""
@@ -324,26 +347,24 @@ def _text_groups(texts: list[str], most: int = CUT_CHARS):
         yield texts[at:]
 
 
-def _text_slices(batch, most: int = BATCH_BYTES):
-    at, size = 0, 0
-    for i, text in enumerate(batch.column(1)):
-        size += len(text.as_buffer()) if text.is_valid else 0
-        if size >= most:
-            yield batch.slice(at, i + 1 - at)
-            at, size = i + 1, 0
-    if at < batch.num_rows:
-        yield batch.slice(at)
+def _slices(batches, path: str, pattern: str):
+    """(coder, slice) of the texts of a task; in the end the worker forgets them."""
+    coder = Coder.of(path, pattern)
+    try:
+        for batch in batches:
+            for part in text_slices(batch, BATCH_BYTES):
+                yield coder, part
+    finally:
+        coder.forget()
+        return_memory()
 
 
 def _encode_batches(batches, path: str, pattern: str):
-    coder = Coder.of(path, pattern)
-    for batch in batches:
-        for part in _text_slices(batch):
-            ids = coder.encode([t.as_py() or "" for t in part.column(1)])
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-            flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["id", "ids"])
-    return_memory()
+    for coder, part in _slices(batches, path, pattern):
+        ids = coder.encode([t.as_py() or "" for t in part.column(1)])
+        sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["id", "ids"])
 
 
 def _decode_batches(batches, path: str, pattern: str):
@@ -354,6 +375,7 @@ def _decode_batches(batches, path: str, pattern: str):
             texts = coder.decode([np.asarray(x.values) if x.is_valid else np.zeros(0, np.int32) for x in part.column(1)])
             texts = [t if x.is_valid else None for t, x in zip(texts, part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["id", "bytes"])
+    coder.forget()
     return_memory()
 
 
@@ -380,17 +402,14 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str = SPACED_PATTERN) ->
 
 def _report_batches(batches, path: str, pattern: str):
     """Encoding and decoding of a slice in one worker, so that a task needs a single vocabulary."""
-    coder = Coder.of(path, pattern)
-    for batch in batches:
-        for part in _text_slices(batch):
-            ids = coder.encode([t.as_py() or "" for t in part.column(1)])
-            texts = coder.decode(ids)
-            columns = [
-                pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(coder.shown.__getitem__, x.tolist())).encode()).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return_memory()
+    for coder, part in _slices(batches, path, pattern):
+        ids = coder.encode([t.as_py() or "" for t in part.column(1)])
+        texts = coder.decode(ids)
+        columns = [
+            pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(coder.shown.__getitem__, x.tolist())).encode()).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def coding_report(docs: DataFrame, ranks_path: str, pattern: str = SPACED_PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

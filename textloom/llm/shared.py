@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.session import delete_path, discard, materialize, new_path, return_memory, shared_root
 
-__all__ = ["delete_path", "discard", "materialize", "new_path", "one_task_each", "open_fs", "read_table", "return_memory", "row_tag", "shared_root", "write_atomically"]
+__all__ = ["delete_path", "discard", "materialize", "new_path", "one_task_each", "open_fs", "read_table", "return_memory", "row_tag", "shared_root", "text_slices", "write_atomically"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,18 @@ def one_task_each(files: DataFrame) -> DataFrame:
     return spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), files.schema)
 
 
+def text_slices(batch, most: int):
+    """Slices of a batch whose texts, the second column, have about ``most`` bytes; one text can have more."""
+    at, size = 0, 0
+    for i, text in enumerate(batch.column(1)):
+        size += len(text.as_buffer()) if text.is_valid else 0
+        if size >= most:
+            yield batch.slice(at, i + 1 - at)
+            at, size = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def open_fs(uri: str):
     """(filesystem, path) of pyarrow for a URI or a plain path, to be used inside tasks."""
     from pyarrow import fs
