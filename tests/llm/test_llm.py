@@ -58,6 +58,22 @@ def test_pieces_give_the_ids_of_the_text():
     assert 50256 in np.frombuffer(encoder.encode("x <|endoftext|> y"), "<u4")
 
 
+def test_parts_of_many_texts_give_their_ids(monkeypatch):
+    """Texts together, of which each part is looked up once, against the library; parts are forgotten between them."""
+    monkeypatch.setattr(piece_cache, "CACHE_PIECES", 50)
+    encoder, library = PieceEncoder(JSON), fresh_tokenizer()
+    marks = ["don't 'tis a'b's (x) -y- 12,5 e.g. «é» Œuvre's\nz's\n(q)\nw", "a\x01b", "\x01", "a\n", "\na", "a \nb", "a\n b", "a\n\nb", "x<|endoftext|> y", "naïve-ish, ŝi’s…", "a'll 'll l'l ''s"]
+    texts = [*ODD, *marks, None, prose(40, 200, 5), prose(50, 1000)]
+    for _ in range(2):
+        got = encoder.encode_many(pa.array(texts, pa.string()).slice(1))
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids if t else [] for t in texts[1:]]
+    assert encoder.encode_many(pa.array([], pa.string())) == []
+    looked, known = [], encoder.parts.__class__.__getitem__
+    monkeypatch.setattr(encoder, "parts", type("Seen", (dict,), {"__getitem__": lambda s, k: looked.append(k) or known(encoder.words, k)})())
+    encoder.encode_many(pa.array(["the end, the end."] * 5))
+    assert sorted(looked) == sorted([" end", " the", ",", ".", "the"])
+
+
 def test_token_files_against_the_library(spark, tmp_path):
     texts = ODD + [prose(3000, 50, 1), prose(40, 1000, 2)]
     order = list(range(len(texts)))[::-1]

@@ -14,6 +14,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Of distinct pieces in a generation of what a worker remembers.  Results do not depend on it.
 CACHE_PIECES = 350_000
@@ -21,9 +23,14 @@ CACHE_PIECES = 350_000
 #: A space beside anything else than these is not cut at.
 _SAFE = "!-~¡-¬®-ɏ"
 _ODD = re.compile(f"[^ \n{_SAFE}]")
+#: A text of which not every space and line feed is a place to cut, as a pattern of Arrow.
+_UNEVEN = f"[^ \n{_SAFE}]|  |\n |\n\n| \n|\\A[ \n]|[ \n]\\z"
 _SAFE_SPACE = re.compile(f"(?<=[{_SAFE}]) (?=[{_SAFE}])")
 #: Letters up to U+024F, which every Unicode version knows, then ASCII punctuation.
-_PLAIN = re.compile(r"( ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
+_LETTERS, _SIGNS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
+_PLAIN = re.compile(f"( ?[{_LETTERS}]+)([{_SIGNS}]*)")
+#: What the pattern does not split any more, of the parts between marks; no text that is cut has a mark.
+_SPLIT, _MARK = re.compile(f" ?[{_LETTERS}]+|[{_SIGNS}]+"), "\x01"
 
 
 def cut_text(text: str) -> list[str]:
@@ -86,6 +93,7 @@ class PieceEncoder:
         self.shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
         self.spaced = _Pieces(self._encode_piece)
         self.words = _Pieces(self._encode_split)
+        self.parts = _Pieces(self._encode_alone)
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -127,3 +135,29 @@ class PieceEncoder:
         first, *rest = cut_text(text) if self.alone else [text]
         spaced = self.spaced
         return self._encode_whole(first) + b"".join([spaced[w] for w in rest])
+
+    def _encode_alone(self, part: str) -> bytes:
+        return self._encode_split(part) if _SPLIT.fullmatch(part) else self._encode_whole(part)
+
+    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """:meth:`encode` of each text, null as empty; a part is looked up once for all of them."""
+        texts, even = pc.fill_null(texts, ""), np.full(len(texts), self.alone)
+        if self.alone:
+            even &= ~np.asarray(pc.match_substring_regex(texts, _UNEVEN))
+            for x in self.added:
+                even &= ~np.asarray(pc.match_substring(texts, x))
+        out = [np.zeros(0, "<u4") if e else np.frombuffer(self.encode(t.as_py()), "<u4") for t, e in zip(texts, even.tolist())]
+        if not even.any():
+            return out
+        marked = pc.replace_substring(pc.replace_substring(texts.filter(pa.array(even)), " ", f"{_MARK} "), "\n", f"{_MARK}\n{_MARK}")
+        parts = pc.split_pattern(pc.replace_substring_regex(marked, f"([{_LETTERS}])([{_SIGNS}])", f"\\1{_MARK}\\2"), _MARK)
+        coded, known = parts.flatten().dictionary_encode(), self.parts
+        blobs = [known[x] for x in coded.dictionary.to_pylist()]
+        sizes = np.array([len(x) >> 2 for x in blobs], np.int64)
+        # ids of each part in its places: one gather for all texts
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(blobs), "<u4")))
+        flat, ends = lists.take(coded.indices).flatten().to_numpy(), np.cumsum(np.asarray(pc.list_value_length(parts)))
+        until = np.concatenate([[0], np.cumsum(sizes[np.asarray(coded.indices)])])[np.concatenate([[0], ends])].tolist()
+        for i, a, b in zip(np.flatnonzero(even).tolist(), until, until[1:]):
+            out[i] = flat[a:b]
+        return out

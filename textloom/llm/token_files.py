@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .piece_cache import PieceEncoder
-from .shared import discard, materialize, new_path, one_task_each, open_fs, write_atomically
+from .shared import discard, materialize, new_path, one_task_each, open_fs, text_slices, write_atomically
 
 MAGIC = b"TLTOKEN1"
 #: Ids of a block; a document is never cut, so a block can hold one longer document.
 BLOCK_IDS = 1 << 18
 #: About so many ids go into one file; it sets the number of files.
 FILE_IDS = 1 << 24
+#: Bytes of text that are encoded together.
+BATCH_BYTES = 4 << 20
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 _FILLED = np.arange(4) < np.arange(5)[:, None]
@@ -61,11 +63,9 @@ def _encode_batches(batches, path: str, end_id: int):
     """Ids of each text with the end id, as zstd-compressed 16- or 32-bit integers."""
     encoder, squeeze = PieceEncoder.of(path), zstandard.ZstdCompressor(level=3)
     kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-    end = struct.pack("<I", end_id)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            blobs = [squeeze.compress(np.frombuffer(encoder.encode(t.as_py() or "") + end, "<u4").astype(kind).tobytes()) for t in part.column(1)]
+        for part in text_slices(batch, BATCH_BYTES):
+            blobs = [squeeze.compress(np.append(ids, np.uint32(end_id)).astype(kind).tobytes()) for ids in encoder.encode_many(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.dtype(kind).itemsize] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["id", "width", "ids"])
 
 
