@@ -833,6 +833,33 @@ def test_bpe_worker_keeps_no_words_after_a_task():
     assert not coder.words
 
 
+def test_bpe_looks_up_each_word_once_whatever_follows_it():
+    """Words between which the pattern always splits, among others, against the library; null is empty."""
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_duckdb.load_ranks(RANKS), special_tokens={})
+    coder = bpe_duckdb.Coder(RANKS, public_tokenizers.PATTERN)
+    coder.encode(["Zorblat, zorblat. zorblat!\nzorblat; zorblat's (zorblat) zorblat"])
+    assert not coder.pieces and {w for w in coder.words if "orblat" in w} == {"Zorblat", " zorblat", "zorblat", " (zorblat"}
+    pick = random.Random(11)
+    kinds = ["a", "Don't", "'s", "'tis", "ø", "ªº", "x²", "1,5", "×", "=", "--", "é.", "(", "'", "''ll", " ", "\n", "b" * 60]
+    texts = [" ".join("".join(pick.choice(kinds[:most]) for _ in range(pick.randrange(1, 4))) for _ in range(30)) for most in [15, 18] * 40]
+    texts += [*ODD, "日本 a,b", "x" * 3000 + ",", "\x01 a", "a\x01,b"]
+    even = piece_cache.even_texts(pa.array([t or "" for t in texts]))
+    assert even.any() and not even.all()
+    ids = coder.encode(pa.array(texts))
+    assert [x.tolist() for x in ids] == [library.encode_ordinary(t or "") for t in texts]
+    assert [bytes(x).decode() for x in coder.decimals(ids)] == [" ".join(map(str, x.tolist())) for x in ids]
+    assert coder.decode(ids) == [(t or "").encode() for t in texts]
+    assert coder.encode([]) == coder.decode([]) == coder.decimals([]) == []
+
+
+def test_bpe_decodes_no_list_with_an_unknown_id():
+    coder = bpe_duckdb.Coder.of(RANKS, public_tokenizers.PATTERN)
+    with pytest.raises(ValueError, match="not in the vocabulary"):
+        coder.decode([np.array([72, 10**6, 71], "<u4")])
+
+
 def test_bpe_of_very_long_words():
     """Cut words, neighbourhoods, runs of equal pairs, and ranks below those of their parts, against the library."""
     import tiktoken

@@ -27,11 +27,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .piece_cache import cut_text, letters_and_tail, with_lead
+from .piece_cache import coded_parts, cut_text, even_texts, letters_and_tail, one_split, with_lead
 from .shared import return_memory, text_slices
 
 #: The pattern of byte_bpe_50k; only under it texts are cut at spaces first, which changes nothing.
@@ -138,12 +139,12 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern, self.cut = load_ranks(path), regex.compile(pattern), pattern == SPACED_PATTERN
         ranks = self.ranks
-        self.shown = [str(i) for i in range(max(ranks.values()) + 1)]
+        #: Ids as decimals, each with the space before the next one.
+        self.shown = pa.array([f"{i} " for i in range(max(ranks.values()) + 1)], pa.large_string())
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.tables: dict[str, pa.Table] = {}
         self._con = None
-        # bytes as characters of the same number, so that they can be joined as text
-        self._table("vocabulary", id=np.array(list(ranks.values()), np.int32), piece=[t.decode("latin-1") for t in ranks], raw=list(ranks))
+        self._table("vocabulary", id=np.array(list(ranks.values()), np.int32), raw=list(ranks))
         self.trie: _Trie | None = None
         self.merging = False
         self.forget()
@@ -249,8 +250,6 @@ class Coder:
 
     def learn(self, words: set[str]) -> None:
         """Remember the ids of words."""
-        if len(self.words) > CACHE_WORDS:
-            self.old_words, self.words = self.words, {}
         known = self.words
         new = [w for w in words if w not in known]
         if self.old_words:
@@ -276,15 +275,32 @@ class Coder:
         plain = letters_and_tail(piece) if self.cut else None
         return [x for x in plain if x] if plain else self.pattern.findall(piece)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts, as unsigned 32-bit integers."""
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of whole texts, as unsigned 32-bit integers; null is an empty text."""
+        texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()), "")
+        even = even_texts(texts) if self.cut else np.zeros(len(texts), bool)
         gc.disable()  # nothing here makes cycles, and the lists of words would be searched for them
         try:
-            return self._encode(texts)
+            if len(self.words) > CACHE_WORDS:
+                self.old_words, self.words = self.words, {}
+            coded = iter(coded_parts(texts.filter(pa.array(even)), self._ids_of_parts))
+            others = iter(self._encode([] if even.all() else texts.filter(pa.array(~even)).to_pylist()))
+            return [next(coded if e else others) for e in even.tolist()]
         finally:
             gc.enable()
 
+    def _ids_of_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts between which the pattern always splits; those of several words are remembered like a word."""
+        known, old = self.words, self.old_words
+        known |= {x: old[x] for x in parts if x in old}
+        several = {x: self.pattern.findall(x) for x in parts if x not in known and not one_split(x)}
+        self.learn({x for x in parts if x not in several}.union(*several.values()))
+        known |= {x: b"".join([known[w] for w in words]) for x, words in several.items()}
+        return [known[x] for x in parts]
+
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
         if len(self.pieces) > CACHE_PIECES:
             self.old_pieces, self.pieces = self.pieces, {}
         known, old = self.pieces, self.old_pieces
@@ -316,24 +332,30 @@ class Coder:
         return [np.concatenate([lead, flat[a:b]]) for lead, a, b in zip(leads, through, through[1:])]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each list of ids, by ordered aggregation."""
-        parts = [(i, x[a : a + DECODE_IDS]) for i, x in enumerate(ids) for a in range(0, len(x), DECODE_IDS)]
-        out: list[list[bytes]] = [[] for _ in ids]
-        at = 0
-        while at < len(parts):
-            until, size = at, 0
-            while until < len(parts) and (until == at or size + len(parts[until][1]) <= DECODE_IDS):
-                size += len(parts[until][1])
-                until += 1
-            some = [x for _, x in parts[at:until]]
-            rows = pa.table({"d": np.repeat(np.arange(len(some), dtype=np.int32), [len(x) for x in some]), "p": np.arange(size, dtype=np.int32), "id": np.concatenate(some).astype(np.int32)})
-            self.con.register("coded", rows)
-            got = dict(self.con.execute("SELECT d, string_agg(piece, '' ORDER BY p) FROM coded JOIN vocabulary USING (id) GROUP BY d").fetchall())
+        """The bytes of each list of ids: those of a bounded number of tokens at a time, in order."""
+        flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
+        ends, done, made = np.cumsum([0] + [len(x) for x in ids]), [], [np.zeros(1, np.int64)]
+        for at in range(0, len(flat), DECODE_IDS):
+            some = flat[at : at + DECODE_IDS]
+            self.con.register("coded", pa.table({"p": np.arange(len(some), dtype=np.int32), "id": some}))
+            got = self.con.sql("SELECT raw FROM coded JOIN vocabulary USING (id) ORDER BY p").to_arrow_table().column("raw")
             self.con.unregister("coded")
-            for d, (i, _) in enumerate(parts[at:until]):
-                out[i].append(got[d].encode("latin-1"))
-            at = until
-        return [b"".join(x) for x in out]
+            if len(got) != len(some):
+                raise ValueError("an id is not in the vocabulary")
+            for chunk in got.cast(pa.large_binary()).chunks:
+                until = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+                made.append(np.diff(until))
+                done.append(memoryview(chunk.buffers()[2] or b"")[until[0] : until[-1]])
+        cuts = np.cumsum(np.concatenate(made), dtype=np.int64)[ends].tolist()
+        whole = memoryview(b"".join(done))
+        return [bytes(whole[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def decimals(self, ids: list[np.ndarray]) -> list[memoryview]:
+        """Each list of ids as decimals joined by a space."""
+        shown = self.shown.take(pa.array(np.concatenate([*ids, np.zeros(0, "<u4")])))
+        until = np.frombuffer(shown.buffers()[1], np.int64)[np.cumsum([0] + [len(x) for x in ids])].tolist()
+        whole = memoryview(shown.buffers()[2] or b"")
+        return [whole[a : max(a, b - 1)] for a, b in zip(until, until[1:])]
 
 
 def _text_groups(texts: list[str], most: int = CUT_CHARS):
@@ -361,7 +383,7 @@ def _slices(batches, path: str, pattern: str):
 
 def _encode_batches(batches, path: str, pattern: str):
     for coder, part in _slices(batches, path, pattern):
-        ids = coder.encode([t.as_py() or "" for t in part.column(1)])
+        ids = coder.encode(part.column(1))
         sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
         flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32))
         yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["id", "ids"])
@@ -403,10 +425,10 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str = SPACED_PATTERN) ->
 def _report_batches(batches, path: str, pattern: str):
     """Encoding and decoding of a slice in one worker, so that a task needs a single vocabulary."""
     for coder, part in _slices(batches, path, pattern):
-        ids = coder.encode([t.as_py() or "" for t in part.column(1)])
+        ids = coder.encode(part.column(1))
         texts = coder.decode(ids)
         columns = [
-            pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(coder.shown.__getitem__, x.tolist())).encode()).hexdigest() for x in ids], pa.string()),
+            pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in coder.decimals(ids)], pa.string()),
             pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
         ]
         yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,35 @@ def letters_and_tail(piece: str) -> tuple[str, str] | None:
     return plain.groups() if plain else None
 
 
+def even_texts(texts: pa.Array) -> np.ndarray:
+    """Of which texts every space and line feed is a place to cut."""
+    return ~np.asarray(pc.match_substring_regex(texts, _UNEVEN))
+
+
+def coded_parts(texts: pa.Array, ids_of: Callable[[list[str]], list[bytes]]) -> list[np.ndarray]:
+    """Ids of each of the :func:`even_texts`; ``ids_of`` gives those of its parts, each once for all texts.
+
+    A part is letters, or begins with something else; one that is not :func:`one_split` has several splits.
+    """
+    if not len(texts):
+        return []
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", f"{_MARK} "), "\n", f"{_MARK}\n{_MARK}")
+    parts = pc.split_pattern(pc.replace_substring_regex(marked, f"([{_LETTERS}])([{_SIGNS}])", f"\\1{_MARK}\\2"), _MARK)
+    coded = parts.flatten().dictionary_encode()
+    blobs = ids_of(coded.dictionary.to_pylist())
+    sizes = np.array([len(x) >> 2 for x in blobs], np.int64)
+    # ids of each part in its places: one gather for all texts
+    lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(blobs), "<u4")))
+    flat, ends = lists.take(coded.indices).flatten().to_numpy(), np.cumsum(np.asarray(pc.list_value_length(parts)))
+    until = np.concatenate([[0], np.cumsum(sizes[np.asarray(coded.indices)])])[np.concatenate([[0], ends])].tolist()
+    return [flat[a:b] for a, b in zip(until, until[1:])]
+
+
+def one_split(part: str) -> bool:
+    """Whether the pattern does not split a part any more, as its characters say."""
+    return _SPLIT.fullmatch(part) is not None
+
+
 class _Pieces(dict):
     """Ids as bytes by piece; fills itself, and forgets what two generations have not used."""
 
@@ -137,27 +167,15 @@ class PieceEncoder:
         return self._encode_whole(first) + b"".join([spaced[w] for w in rest])
 
     def _encode_alone(self, part: str) -> bytes:
-        return self._encode_split(part) if _SPLIT.fullmatch(part) else self._encode_whole(part)
+        return self._encode_split(part) if one_split(part) else self._encode_whole(part)
 
     def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
         """:meth:`encode` of each text, null as empty; a part is looked up once for all of them."""
-        texts, even = pc.fill_null(texts, ""), np.full(len(texts), self.alone)
+        texts = pc.fill_null(texts, "")
+        even = even_texts(texts) if self.alone else np.zeros(len(texts), bool)
         if self.alone:
-            even &= ~np.asarray(pc.match_substring_regex(texts, _UNEVEN))
             for x in self.added:
                 even &= ~np.asarray(pc.match_substring(texts, x))
-        out = [np.zeros(0, "<u4") if e else np.frombuffer(self.encode(t.as_py()), "<u4") for t, e in zip(texts, even.tolist())]
-        if not even.any():
-            return out
-        marked = pc.replace_substring(pc.replace_substring(texts.filter(pa.array(even)), " ", f"{_MARK} "), "\n", f"{_MARK}\n{_MARK}")
-        parts = pc.split_pattern(pc.replace_substring_regex(marked, f"([{_LETTERS}])([{_SIGNS}])", f"\\1{_MARK}\\2"), _MARK)
-        coded, known = parts.flatten().dictionary_encode(), self.parts
-        blobs = [known[x] for x in coded.dictionary.to_pylist()]
-        sizes = np.array([len(x) >> 2 for x in blobs], np.int64)
-        # ids of each part in its places: one gather for all texts
-        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(blobs), "<u4")))
-        flat, ends = lists.take(coded.indices).flatten().to_numpy(), np.cumsum(np.asarray(pc.list_value_length(parts)))
-        until = np.concatenate([[0], np.cumsum(sizes[np.asarray(coded.indices)])])[np.concatenate([[0], ends])].tolist()
-        for i, a, b in zip(np.flatnonzero(even).tolist(), until, until[1:]):
-            out[i] = flat[a:b]
-        return out
+        known = self.parts
+        coded = iter(coded_parts(texts.filter(pa.array(even)), lambda parts: [known[x] for x in parts]))
+        return [next(coded) if e else np.frombuffer(self.encode(t.as_py()), "<u4") for t, e in zip(texts, even.tolist())]
