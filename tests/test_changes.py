@@ -3,9 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import catalog
 from textloom.plans import query as q
 from textloom.plans.compile import Options, Source, compile_query
 from textloom.sources.extract import SEPARATOR
@@ -72,6 +74,38 @@ def test_a_lost_batch_is_written_once(spark, tmp_path):
     assert sorted(map(tuple, spark.read.schema(changes.LOG).parquet(f"{tmp_path}/log").collect())) == first == sorted(set(first))
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_the_log_of_large_batches(spark, tmp_path, seed):
+    """Windows over each batch and a table of what was announced give the rows of one window over all; a batch whose commit was lost leaves none twice."""
+    rows, log, state = change_rows(240, seed), f"{tmp_path}/log", f"{tmp_path}/state"
+    assert changes.read_news(spark, log, state).count() == 0
+    start = lambda: changes.log_announcements(rows_of(spark.readStream.schema(CHANGES).parquet(f"{tmp_path}/in")), log, state, f"{tmp_path}/checkpoint").awaitTermination()
+    for k in range(4):
+        spark.createDataFrame(rows[60 * k : 60 * k + 60], CHANGES).write.mode("append").parquet(f"{tmp_path}/in")
+        start()
+        found = sorted(map(tuple, changes.read_news(spark, log, state).collect()))
+        assert found == sorted(map(tuple, changes.announced_so_far(rows_of(spark.createDataFrame(rows[: 60 * k + 60], CHANGES))).collect()))
+        if k == 2:
+            for name in ("2", ".2.crc"):
+                (tmp_path / "checkpoint/commits" / name).unlink()
+            start()
+            assert sorted(map(tuple, changes.read_news(spark, log, state).collect())) == found
+    (tmp_path / "state/v000000000003/_SUCCESS").unlink()
+    assert 0 < changes.read_news(spark, log, state).count() < len(found)
+
+
+def test_alert_stream_keeps_the_batches_out_of_python(spark, tmp_path, monkeypatch):
+    """Rows of the registered stream pass no Python state, and events without a time are the last, as in its SQL."""
+    monkeypatch.setattr(changes, "announcements", None)
+    pick = random.Random(3)
+    events = [(i, None if i % 17 == 0 else START + timedelta(seconds=pick.randrange(400)), pick.randrange(12), pick.choice(["error", "signup", "purchase", "view"])) for i in range(600)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["alert_stream"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.sql(catalog.ORACLES["alert_stream"]).fetchall()) and len(got) > 100
+
+
 def test_known_documents_and_reads(spark):
     rows = [("a", 1, "known"), ("a", 2, "matches"), ("b", 3, "matches"), ("c", 4, "gone"), ("b", 5, "gone"), ("b", 6, "matches"), ("d", 7, "matches")]
     table = spark.createDataFrame([("x", p, START + timedelta(seconds=s), s, k) for p, s, k in rows], "alert string, document string, at timestamp, seq long, kind string")

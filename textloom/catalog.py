@@ -587,18 +587,18 @@ def _event_rows(events: DataFrame) -> DataFrame:
 
 
 def _event_log(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
-    """The log of a stream over ``events`` that arrives in batches by time; the stream stops after each and starts again."""
-    own, events = changes.state_session(spark), table(spark, d, "events")
-    arriving, log, checkpoint = (new_path(spark, f"events-{x}") for x in ("arriving", "log", "checkpoint"))
+    """The log of a stream over ``events`` that arrives in batches by time, null last; the stream stops after each and starts again."""
+    events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    arriving, log, state, checkpoint = (new_path(spark, f"events-{x}") for x in ("arriving", "log", "state", "checkpoint"))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = events.agg(F.percentile_approx(micros, [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
     for low, high in zip([None, *cuts], [*cuts, None]):
-        part = events.where((F.lit(True) if low is None else micros > low) & (F.lit(True) if high is None else micros <= high))
+        part = events.where((F.lit(True) if low is None else micros > low) & (micros <= high) if high is not None else F.lit(True) if low is None else micros.isNull() | (micros > low))
         part.write.mode("append").parquet(arriving)
-        stream = own.readStream.schema(events.schema).parquet(arriving)
-        changes.write_log(changes.announcements(_event_rows(stream)), log, checkpoint).awaitTermination()
+        stream = spark.readStream.schema(events.schema).parquet(arriving)
+        changes.log_announcements(_event_rows(stream), log, state, checkpoint).awaitTermination()
     delete_path(spark, arriving)
-    return spark.read.schema(changes.LOG).parquet(log)
+    return changes.read_news(spark, log, state)
 
 
 @query(f"WITH {_NEWS} SELECT alert, document, seq, news FROM n")

@@ -4,7 +4,8 @@ Reports name files or folders, written or gone.  :func:`settled` merges the repo
 :func:`resolve_reports` turns them into changed and removed files by joins of reported folders with the folders above
 each known file, so that a folder that went takes its files along.  :func:`alert_rows` lets the alerts' predicates judge
 changed documents, and :func:`announcements` keeps, for each alert and document, whether it has been announced: once,
-and again only after it was removed.  The same rows come out of :func:`announced_so_far`, a window over a whole log.
+and again only after it was removed.  The same rows come out of :func:`log_announcements`, for large batches, and of
+:func:`announced_so_far`, a window over a whole log.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.text import file_of
+from ..session import delete_path
+from .alerts import current_version
 
 #: What a row of a change stream says of a document, and what comes out of the state.
 MATCHES, KNOWN, GONE = "matches", "known", "gone"
 ANNOUNCED, FORGOTTEN = "announced", "forgotten"
 LOG = "alert string, document string, at timestamp, seq long, news string"
+SEEN = "alert string, document string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -168,3 +172,40 @@ def write_log(news: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     It takes what is there and stops; the next start goes on from the checkpoint.
     """
     return news.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def log_announcements(rows: DataFrame, log: str, state: str, checkpoint: str) -> StreamingQuery:
+    """Append the news of a stream of :func:`alert_rows` to ``log``, as :func:`announcements` has them, without Python.
+
+    Within a micro-batch a row counts by the one before it, in a window; only the first row of a document asks the
+    state, a table of what has been announced, of which each batch writes a new version.  So a batch costs as much as
+    its rows and the state: this is for batches that are not small beside it.  Batch N writes its part of the log and
+    then version N, and both again if it is repeated; :func:`read_news` takes parts whose version is complete.
+    """
+    order = Window.partitionBy("alert", "document").orderBy(F.asc_nulls_last("at"), F.asc_nulls_last("seq"))
+    last = F.struct(F.col("at").isNull(), "at", F.col("seq").isNull(), "seq")
+    gone, keys = F.col("kind") == GONE, ["alert", "document"]
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = current_version(spark, state, below=number)
+        seen = spark.createDataFrame([], SEEN) if before is None else spark.read.schema(SEEN).parquet(f"{state}/v{before:012d}")
+        judged = batch.withColumns({"_gone": gone, "_before": F.lag(gone).over(order)}).join(seen.withColumn("_seen", F.lit(True)), keys, "left")
+        news = F.when(gone, F.lit(FORGOTTEN)).when(F.col("kind") == KNOWN, F.lit(KNOWN)).otherwise(F.lit(ANNOUNCED))
+        changed = judged.where(F.col("_gone") != F.coalesce("_before", F.col("_seen").isNull()))
+        changed.select(*keys, "at", "seq", news.alias("news")).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        latest = batch.groupBy(*keys).agg(F.max_by(gone, last).alias("_gone"))
+        kept = seen.join(latest, keys, "left_anti").unionByName(latest.where(~F.col("_gone")).select(*keys))
+        kept.write.mode("overwrite").parquet(f"{state}/v{number:012d}")
+        while before is not None and (older := current_version(spark, state, below=before)) is not None:
+            delete_path(spark, f"{state}/v{older:012d}")
+
+    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_news(spark: SparkSession, log: str, state: str) -> DataFrame:
+    """The log of :func:`log_announcements` as far as its batches are complete."""
+    version = current_version(spark, state)
+    if version is None:
+        return spark.createDataFrame([], LOG)
+    return spark.read.schema(f"{LOG}, batch long").parquet(log).where(F.col("batch") <= version).drop("batch")
