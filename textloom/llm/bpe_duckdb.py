@@ -6,7 +6,7 @@ pair of the least rank; a word without such a pair is done.  As in tiktoken, a w
 the vocabulary as a whole is that token; a join finds these.  Distinct words are merged
 once for as long as a task remembers them: Spark deals tasks to all idle workers in turn, so what
 a worker kept would be held as often as an executor has workers.  Decoding joins ids to their bytes
-and aggregates them in order.
+in the order of their places.
 
 A word of more than ``LONG_WORD`` bytes is first cut where no token of the vocabulary lies across:
 no merge can cross such a place, so the parts are merged by themselves.  A part that is still longer
